@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotledger.llm import bpe, packing, quality
+from slotledger.llm import bpe, chat, packing, quality, secrets, urls
 from slotledger.llm.common import table
 
 
@@ -14,9 +14,21 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark, sf_dir):
+    return chat.digests(chat.formatted(chat.with_conflict(spark, table(spark, sf_dir, "conversations"))))
+
+
+def op6_secret_scans(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_packing, op8_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op10_url_filters(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_packing, op5_chat_formatting, op6_secret_scans, op8_byte_bpe, op10_url_filters)}
+ORACLES = {"op5_chat_formatting": chat.ORACLE, "op10_url_filters": urls.ORACLE}
