@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotledger.llm import bpe, chat, packing, quality, secrets, urls
+from slotledger.llm import ann, bpe, chat, html, packing, quality, secrets, simhash, urls
 from slotledger.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op1_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_simhash_near_dedup(spark, sf_dir):
+    return simhash.linked(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,9 +34,13 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_packing, op5_chat_formatting, op6_secret_scans, op8_byte_bpe, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_simhash_near_dedup, op4_packing, op5_chat_formatting, op6_secret_scans, op8_byte_bpe, op9_nearest_neighbours, op10_url_filters)}
 ORACLES = {"op5_chat_formatting": chat.ORACLE, "op10_url_filters": urls.ORACLE}

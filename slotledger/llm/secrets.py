@@ -24,6 +24,7 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST = 20
 TOKEN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 MEAN_BITS = 1.0
+DISTINCT = 8  # signs; fewer are a rule, a date or a run
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Parts of which ordinary identifiers are composed.
 PARTS = "get set user name file path data list item value index count total default config request response handler manager service client server window button image table column format string number buffer stream thread process system update create delete insert select current previous version message error result session account address document language country customer order product category temperature".split()
@@ -88,7 +89,10 @@ def scan(docs: DataFrame, ratios: np.ndarray, *keep: str) -> DataFrame:
     def apart(m):
         return ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
 
-    added = spans(F.filter("_m", lambda m: apart(m) & (bits(m["got"]) >= MEAN_BITS * (F.length(m["got"]) - 1))), 3)
+    def varied(token):
+        return token.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.regexp_extract_all(token, F.lit("."), F.lit(0)))) >= DISTINCT)
+
+    added = spans(F.filter("_m", lambda m: apart(m) & varied(m["got"]) & (bits(m["got"]) >= MEAN_BITS * (F.length(m["got"]) - 1))), 3)
     return x.select(*keep, "text", "base", added.alias("added"))
 
 
