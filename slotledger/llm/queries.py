@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotledger.llm import ann, bpe, chat, html, packing, quality, secrets, simhash, urls
+from slotledger.llm import ann, bpe, chat, html, lm, packing, quality, secrets, simhash, urls
 from slotledger.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_simhash_near_dedup, op4_packing, op5_chat_formatting, op6_secret_scans, op8_byte_bpe, op9_nearest_neighbours, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_simhash_near_dedup, op4_packing, op5_chat_formatting, op6_secret_scans, op7_lm_scoring, op8_byte_bpe, op9_nearest_neighbours, op10_url_filters)}
 ORACLES = {"op5_chat_formatting": chat.ORACLE, "op10_url_filters": urls.ORACLE}
