@@ -1,0 +1,54 @@
+"""Sentences of an event stream to slot facts, in built-in functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Relations and the values that guarded attributes may take.
+RELATIONS = "friend sister brother manager advisor teammate cousin neighbor colleague roommate".split()
+COMPANIES = "Tencent Alibaba ByteDance Huawei Baidu JD Meituan Xiaomi Google Microsoft Apple".split()
+LANGUAGES = "Python Java Rust Go Kotlin Swift TypeScript".split()
+#: Attribute, pattern of its value; the first that matches wins.
+PATTERNS = (
+    ("location", r"(?:lives in|moved to|relocated to|settled in) ([A-Za-z ]+)"),
+    ("company", r"(?:works at|joined|now works for) (?!project\b)([A-Za-z]+)"),
+    ("language", r"(?:codes in|switched to|programs in) ([A-Za-z]+)"),
+    ("preference", r"(?:prefers|likes|favorite drink is) ([A-Za-z ]+)"),
+    ("timezone", r"timezone is ([A-Za-z0-9+:-]+)"),
+    ("hobby", r"hobby is ([A-Za-z ]+)"),
+    ("instrument", r"instrument is ([A-Za-z ]+)"),
+    ("project", r"works on project ([A-Za-z ]+)"),
+)
+
+
+def attribute_and_value(text: Column) -> Column:
+    """struct<attribute, value>, or null if no pattern fits."""
+    out = F.lit(None).cast("struct<attribute: string, value: string>")
+    for name, pattern in reversed(PATTERNS):
+        value = F.regexp_replace(F.trim(F.regexp_extract(text, "(?i)" + pattern, 1)), r"\.+$", "")
+        fits = value != ""
+        if name == "company":
+            fits &= value.isin(COMPANIES)
+        if name == "language":
+            fits &= value.isin(LANGUAGES)
+        out = F.when(fits, F.struct(F.lit(name).alias("attribute"), value.alias("value"))).otherwise(out)
+    return out
+
+
+def parse(events: DataFrame) -> DataFrame:
+    """episode_id, event_idx, text with entity, attribute, value; null where a sentence holds no fact.
+
+    ``my <relation> <Name>`` binds the name to the relation from that event on; a bare name
+    takes its latest binding in the episode.
+    """
+    bound = rf"(?i)\bmy ({'|'.join(RELATIONS)}) ([A-Z][a-z]+)"
+    name = F.coalesce(F.nullif(F.regexp_extract("text", bound, 2), F.lit("")), F.nullif(F.regexp_extract("text", r"says: ([A-Z][a-z]+)\b", 1), F.lit("")))
+    relation = F.nullif(F.lower(F.regexp_extract("text", bound, 1)), F.lit(""))
+    x = events.select("episode_id", "event_idx", "text", F.lower(name).alias("name"), relation.alias("relation"), attribute_and_value(F.col("text")).alias("slot"))
+    last = Window.partitionBy("episode_id", "name").orderBy("event_idx").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.last("relation", ignorenulls=True).over(last)
+    entity = F.when(F.col("name").isNotNull() & known.isNotNull(), F.concat_ws("_", known, "name")).otherwise("user")
+    x = x.withColumn("entity", entity)
+    has = F.col("slot").isNotNull()
+    return x.select("episode_id", "event_idx", "text", F.when(has, F.col("entity")).alias("entity"), F.col("slot.attribute").alias("attribute"), F.col("slot.value").alias("value"))

@@ -1,0 +1,15 @@
+"""Synthetic event splits: updates of a target slot, distractors on another slot, and sentences that hold no fact."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def split_events(spark: SparkSession, ks: tuple[int, ...], densities: tuple[int, ...]) -> DataFrame:
+    """(k, d, kind, i): k updates, k - 1 distractors, k near misses and k // d noise sentences for each k and density."""
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, ks))).alias("k")).select("k", F.explode(F.array(*map(F.lit, densities))).alias("d"))
+    k, d = F.col("k"), F.col("d")
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), c.cast("int").alias("n")) for n, c in (("update", k), ("distractor", k - 1), ("near_miss", k), ("noise", F.floor(k / d)))])
+    x = grid.select("k", "d", F.explode(kinds).alias("x")).where("x.n > 0")
+    return x.select("k", "d", "x.kind", F.explode(F.sequence(F.lit(1), F.col("x.n"))).alias("i"))
