@@ -49,6 +49,15 @@ def parse_action(c: Column) -> Column:
     return F.struct(F.when(noop, "NOOP").when(op != "", op).otherwise("INVALID").alias("operation"), F.lower(part(2)).alias("entity"), F.lower(part(3)).alias("attribute"), F.trim(part(4)).alias("value"))
 
 
+def parse_operation(c: Column) -> Column:
+    """struct<operation, target, content> of a free operation: ``ADD: text``, ``UPDATE id: text``, ``DELETE id``, else NOOP."""
+    line = F.trim(c)
+    op = F.upper(F.regexp_extract(line, r"(?i)^(ADD|UPDATE|DELETE)\b", 1))
+    target = F.nullif(F.regexp_extract(line, r"(?i)^(?:UPDATE|DELETE)\s+\[?([A-Za-z0-9_-]+)\]?", 1), F.lit(""))
+    content = F.nullif(F.trim(F.regexp_extract(line, r"(?is)^(?:ADD|UPDATE[^:]*)\s*:\s*(.*)$", 1)), F.lit(""))
+    return F.struct(F.when(op == "", "NOOP").otherwise(op).alias("operation"), target.alias("target"), content.alias("content"))
+
+
 def run_name(c: Column) -> Column:
     """struct<method, answer_mode, k> of ``<method>_<answer>_k<k>``; direct and prompt are short for the slot modes."""
     pattern = r"^(.+)_(slot_direct|slot_prompt|direct|prompt)_k(\d+)$"
