@@ -98,7 +98,9 @@ def search(vectors: DataFrame, k: int = TOP, every: int = EVERY, sample: int = S
     lengths = x.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     d, n = (lengths[0]["d"], lengths[0]["count"]) if lengths else (1, 0)
     x = x.where(F.size("vector") == d)
-    got = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
+    most = min(1 << 20, 2 * (sample << 20) // max(n, 1))  # a threshold first, so that few rows leave the executors
+    some = x.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= most)
+    got = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
     books = fit(np.stack(got.to_numpy())) if len(got) else np.zeros((BOOKS, WORDS, d))
     shared = x.sparkSession.sparkContext.broadcast(books)  # BOOKS x WORDS x dimension, whatever the input
 
