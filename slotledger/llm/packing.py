@@ -103,25 +103,35 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """``k`` lists of positions in ``sizes`` with nearly equal sums."""
     if k == 1:
         return [list(range(len(sizes)))]
-    # a partial partition: sums in falling order, less the least; the positions behind each sum
+    # a partial partition: sums in falling order, less the least; its number in ``joined``
+    first = np.zeros(k, np.int64)
     heap = []
     for i, n in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
+        sums = first.copy()
         sums[0] = n
-        heap.append((-n, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+        heap.append((-n, i, sums))
     heapq.heapify(heap)
-    tick = len(sizes)
+    joined = []
     while len(heap) > 1:
-        _, _, a, held = heapq.heappop(heap)
-        _, _, b, more = heapq.heappop(heap)
-        sums = a + b[::-1]
-        for own, other in zip(held, reversed(more)):
-            own += other
+        _, a, sums = heapq.heappop(heap)
+        _, b, more = heapq.heappop(heap)
+        sums = sums + more[::-1]
         order = np.argsort(-sums, kind="stable")
-        sums = sums[order] - sums.min()
-        heapq.heappush(heap, (-int(sums[0]), tick, sums, [held[i] for i in order]))
-        tick += 1
-    return heap[0][3]
+        sums = sums[order]
+        sums -= sums[-1]
+        heapq.heappush(heap, (-int(sums[0]), len(sizes) + len(joined), sums))
+        joined.append((a, b, order))
+    # from the last join down: the window of each place in a partial partition
+    at = {heap[0][1]: np.arange(k)}
+    for n in reversed(range(len(joined))):
+        a, b, order = joined[n]
+        own = np.empty(k, np.int64)
+        own[order] = at.pop(len(sizes) + n)
+        at[a], at[b] = own, own[::-1]
+    out: list[list[int]] = [[] for _ in range(k)]
+    for i in range(len(sizes)):
+        out[at[i][0]].append(i)
+    return out
 
 
 def windows(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
