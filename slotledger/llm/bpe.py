@@ -24,6 +24,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from slotledger.llm.common import text_batches
+
 RANKS = "byte_bpe_50k.tiktoken"
 SPACE, LETTER, NUMBER, OTHER, BLANK, END = range(6)
 #: What is open after a character: nothing that a token can go on from, a blank that joins what follows, a word, other signs.
@@ -201,7 +203,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             got = [x for s in slabs(b["text"].fillna("").tolist()) for x in encode(s, path)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [x[0] for x in got], "offsets": [x[1] for x in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, offsets array<bigint>")
+    return text_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, offsets array<bigint>")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -214,4 +216,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [x[0] for s in slabs(b["text"].fillna("").tolist()) for x in encode(s, path)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(decode(x, path)) for x in ids]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

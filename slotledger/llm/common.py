@@ -38,6 +38,13 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def ascii_lower_bytes(raw: bytes) -> bytes:
-    """``bytes.lower`` changes ASCII letters alone."""
-    return raw.lower()
+#: Rows of an Arrow batch of whole texts. The default of 10,000 holds a gigabyte where texts are long.
+TEXT_ROWS = 500
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept small enough for whole texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, TEXT_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return df

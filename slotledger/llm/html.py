@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotledger.llm.common import text_batches
+
 #: Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|iframe|svg|math|canvas|object|textarea|title|select|video|audio"
@@ -174,5 +176,5 @@ def extracted(pages: pd.Series) -> pd.Series:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
-    x = pages.select("page_id", "url", extracted("html").alias("text"))
+    x = text_batches(pages).select("page_id", "url", extracted("html").alias("text"))
     return x.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from slotledger.llm.common import cut
+from slotledger.llm.common import cut, text_batches
 
 MODEL = "word_bpe_49k.json"
 END = np.array([1], "<u4").tobytes()
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, part:
                     rows += [(d, i, m, zlib.crc32(got[4 * i : 4 * (i + m)]), n) for i, m in spans(n, length, part)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES.format(docs.schema["doc_id"].dataType.simpleString()))
+    return text_batches(docs).select("doc_id", "text").mapInPandas(run, PIECES.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:

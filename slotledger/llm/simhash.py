@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotledger.llm.common import cut
+from slotledger.llm.common import cut, text_batches
 
 SHINGLE = 3
 SEED = 42
@@ -184,7 +184,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def linked(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint and component_id of each row."""
-    prints = cut(docs.select("doc_id", simhash("text").alias("fp")))
+    prints = cut(text_batches(docs).select("doc_id", simhash("text").alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(nodes.select("fp"), radius, most))
     named = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
