@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalize_value(c: Column) -> Column:
@@ -38,24 +42,75 @@ def contains_raw(answer: Column, gold: Column) -> Column:
     return F.contains(F.lower(F.trim(answer)), F.lower(F.trim(gold)))
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def parse_action(c: Column) -> Column:
-    """struct<operation, entity, attribute, value> of a constrained action's first line; INVALID where it does not parse."""
-    line = F.trim(F.split(F.trim(c), "\n")[0])
-    pattern = r"(?i)^(ADD|UPDATE)\s+([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)\s*=\s*(.+?)(?:\s+(?:ADD|UPDATE|NOOP))?\s*$"
-    op = F.upper(F.regexp_extract(line, pattern, 1))
-    noop = F.upper(line).startswith("NOOP")
-    none = F.lit(None).cast("string")
-    part = lambda i: F.when(op != "", F.regexp_extract(line, pattern, i)).otherwise(none)
-    return F.struct(F.when(noop, "NOOP").when(op != "", op).otherwise("INVALID").alias("operation"), F.lower(part(2)).alias("entity"), F.lower(part(3)).alias("attribute"), F.trim(part(4)).alias("value"))
-
-
-def parse_operation(c: Column) -> Column:
-    """struct<operation, target, content> of a free operation: ``ADD: text``, ``UPDATE id: text``, ``DELETE id``, else NOOP."""
-    line = F.trim(c)
-    op = F.upper(F.regexp_extract(line, r"(?i)^(ADD|UPDATE|DELETE)\b", 1))
-    target = F.nullif(F.regexp_extract(line, r"(?i)^(?:UPDATE|DELETE)\s+\[?([A-Za-z0-9_-]+)\]?", 1), F.lit(""))
-    content = F.nullif(F.trim(F.regexp_extract(line, r"(?is)^(?:ADD|UPDATE[^:]*)\s*:\s*(.*)$", 1)), F.lit(""))
-    return F.struct(F.when(op == "", "NOOP").otherwise(op).alias("operation"), target.alias("target"), content.alias("content"))
+    """struct<operation, entity, attribute, value> of a constrained action's first line; INVALID where it does not parse.
+
+    Parts that are not there are empty. A value loses its final dots and an operation's name after it.
+    """
+    line = strip(F.split(strip(c), "\n")[0])
+    part = lambda i: F.regexp_extract(line, r"(?i)^(ADD|UPDATE)\s+([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)\s*=\s*(.+?)\s*$", i)
+    value = strip(F.regexp_replace(part(4), r"(?i)(?:\.*\s+(?:NOOP|ADD|UPDATE|DELETE))?\.*\s*$", ""))
+    op = F.when(F.upper(line) == "NOOP", "NOOP").when(part(1) != "", F.upper(part(1))).otherwise("INVALID")
+    return F.struct(op.alias("operation"), F.lower(part(2)).alias("entity"), F.lower(part(3)).alias("attribute"), value.alias("value"))
+
+
+#: What ends an operation's content when a line begins with it.
+STOPS = "ADD UPDATE DELETE NOOP ### Explanation: Operations: Decision:".split()
+
+
+def parse_operation(c: Column, fallback: Column) -> Column:
+    """struct<operation, target, content> of a free operation: ``ADD: text``, ``UPDATE id: text``, ``DELETE id``, else NOOP.
+
+    ``fallback`` is the content where none is given. Any text that begins with an operation's name
+    counts as one, in either case; only the upper-case name is taken off a target. An update needs a colon.
+    """
+    line = strip(c)
+    begins = lambda w: F.upper(line).startswith(w)
+    colon = F.contains(line, F.lit(":"))
+    add, update, delete = begins("ADD"), begins("UPDATE") & colon, begins("DELETE")
+    name = F.when(delete, F.replace(line, F.lit("DELETE"), F.lit(""))).otherwise(F.replace(F.substring_index(line, ":", 1), F.lit("UPDATE"), F.lit("")))
+    target = F.regexp_replace(strip(F.regexp_replace(strip(name), r"\.+$", "")), r"(?i)^id(?:_| \s*)", "")
+    given = F.when(colon, F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1)).otherwise(fallback)
+    content = strip(F.regexp_replace(strip(given), r"(?s)\n(?:" + "|".join(STOPS) + r").*$", ""))
+    content = F.when(content == "", fallback).otherwise(content)
+    op = F.when(add, "ADD").when(update, "UPDATE").when(delete, "DELETE").otherwise("NOOP")
+    return F.struct(op.alias("operation"), F.when(update | delete, target).otherwise("").alias("target"), F.when(add | update, content).otherwise("").alias("content"))
+
+
+#: Keys of a payload that hold its text, the first that does first.
+TEXT_KEYS = ("memory", "text", "content", "value")
+
+
+def texts_within(payload) -> list[str]:
+    """The texts of nested lists and maps, in order; a map with a text key counts for that text alone, one with results for these."""
+    open_, out = [payload], []
+    while open_:
+        x = open_.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, list):
+            open_ += x[::-1]
+        elif isinstance(x, dict):
+            own = next((x[k] for k in TEXT_KEYS if isinstance(x.get(k), str)), None)
+            open_ += [x["results"]] if "results" in x else [own] if own is not None else list(x.values())[::-1]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def payload_texts(payloads: pd.Series) -> pd.Series:
+    """The texts of JSON payloads of any depth; a payload that is null or no JSON has none."""
+
+    def read(p):
+        try:
+            return texts_within(json.loads(p)) if p is not None else []
+        except ValueError:
+            return []
+
+    return pd.Series([read(p) for p in payloads], dtype=object)
 
 
 def run_name(c: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotledger.functions.text import normalize_value
+from slotledger.functions.text import contains_value, normalize_value, strip
 
 
 def gold_slots(facts: DataFrame) -> DataFrame:
@@ -65,3 +65,56 @@ def kendall_tau(ranks: DataFrame, key: str, a: str, b: str) -> DataFrame:
     da, db = F.signum(F.col(f"l.{a}") - F.col(f"r.{a}")), F.signum(F.col(f"l.{b}") - F.col(f"r.{b}"))
     sums = pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(F.sum(da * db).alias("s"), F.sum(da * da).alias("x"), F.sum(db * db).alias("y"))
     return sums.select(key, F.coalesce(F.try_divide("s", F.sqrt(F.col("x") * F.col("y"))), F.lit(0.0)).alias("tau"))
+
+
+def execution_stats(actions: DataFrame) -> DataFrame:
+    """Effective operations of each episode: an UPDATE of a slot without an entry adds one, an INVALID action fails."""
+    writes = F.col("operation").isin("ADD", "UPDATE")
+    n = F.row_number().over(Window.partitionBy("episode_id", "entity", "attribute", writes).orderBy("event_idx"))
+    x = actions.select("episode_id", F.when((F.col("operation") == "UPDATE") & (n == 1), "ADD").otherwise(F.col("operation")).alias("op"))
+    count = lambda o: F.count_if(F.col("op") == o)
+    return x.groupBy("episode_id").agg(count("ADD").alias("n_add"), count("UPDATE").alias("n_update"), count("NOOP").alias("n_noop"), count("INVALID").alias("n_failed"))
+
+
+def action_outcomes(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Counters over (gold, pred), structs of operation, entity, attribute and value, by ``keys``.
+
+    The parts of an action are judged only where it is not right as a whole and the gold one is a write.
+    """
+    same = lambda c: F.col(f"pred.{c}").eqNullSafe(F.col(f"gold.{c}"))
+    value = normalize_value(F.coalesce("pred.value", F.lit(""))) == normalize_value(F.coalesce("gold.value", F.lit("")))
+    op, gold = F.coalesce("pred.operation", F.lit("INVALID")), F.coalesce("gold.operation", F.lit("INVALID"))
+    x = pairs.select(*keys, op.alias("op"), gold.alias("gold_op"), same("entity").alias("entity"), same("attribute").alias("attribute"), value.alias("value"))
+    right = F.col("op") == F.col("gold_op")
+    whole = right & ((F.col("gold_op") == "NOOP") | (F.col("entity") & F.col("attribute") & F.col("value")))
+    noop, gold_noop, part = F.col("op") == "NOOP", F.col("gold_op") == "NOOP", ~whole & F.col("gold_op").isin("ADD", "UPDATE")
+    counts = {"invalid_action": F.col("op") == "INVALID", "operation_correct": right, "wrong_operation": ~right, "unnecessary_noop": noop & ~gold_noop, "missed_noop": ~noop & gold_noop, "full_action_correct": whole}
+    for c in ("entity", "attribute", "value"):
+        counts |= {f"{c}_correct": part & F.col(c), f"wrong_{c}": part & ~F.col(c)}
+    return x.groupBy(*keys).agg(F.count("*").alias("total_actions"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+def attribute_error(rows: DataFrame) -> DataFrame:
+    """The layer at which an answer failed; missing numbers are zero."""
+    n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    e = F.when(n("em") >= 1, "correct").when(n("state_value_em") <= 0, "state_wrong").when(n("gold_retrieved_count") <= 0, "gold_not_retrieved").when(n("answer_value_present") > 0, "gold_present_but_non_exact").when(n("stale_retrieved_count") > 0, "gold_retrieved_stale_competition").otherwise("gold_retrieved_answer_layer_failure")
+    return rows.withColumn("error", e)
+
+
+#: What an answer may name, and what betrays a label or prompt after it.
+CANDIDATES = "python,java,go,rust,kotlin,scala,typescript,c++,swift,ruby,tencent,alibaba,baidu,bytedance,meituan,jd,huawei,netease,google,microsoft,dalian,qingdao,wuhan,ningbo,suzhou,xiamen,harbin,chengdu,jinan,hefei,espresso,oolong tea,matcha,latte,mocha,cold brew,green tea,black coffee,cocoa,jasmine tea".split(",")
+SPILLS = ("latest", "outdated", "event idx", "question", "final value only")
+
+
+def same_value_failure(rows: DataFrame) -> DataFrame:
+    """How an answer (predicted, gold) that should repeat a value failed to be it; the first line of an answer counts."""
+    told, gold = strip(F.split(strip(F.coalesce("predicted", F.lit(""))), "\n")[0]), F.coalesce("gold", F.lit(""))
+    flat = lambda c: strip(F.regexp_replace(F.lower(c), r"\s+", " "))
+    a, g = flat(told), flat(gold)
+    at = F.instr(a, g)
+    rest = F.concat(a.substr(F.lit(1), at - 1), a.substr(at + F.length(g), F.length(a)))
+    spills = F.exists(F.array(*map(F.lit, SPILLS)), lambda s: F.contains(rest, s))
+    named = F.size(F.filter(F.array(*map(F.lit, CANDIDATES)), lambda v: F.contains(a, v)))
+    held = (g != "") & F.contains(a, g)
+    f = F.when(normalize_value(told) == normalize_value(gold), "exact_after_normalization").when(held & spills, "gold_plus_annotation_or_prompt_spillover").when(held, "gold_plus_extraneous_text").when(named >= 2, "multiple_candidate_values").when(~contains_value(told, gold), "behavioral_non_exact_other").otherwise("unexpected_answer_value_present_false_positive")
+    return rows.withColumn("failure", f)

@@ -1,14 +1,12 @@
 """Write policies over slot facts, and the states that they leave.
 
 Facts: episode_id, event_idx, entity, attribute, value; entity is null for events without
-a slot. Policies are projections and aggregations; only the similarity policy,
-whose target depends on the store so far, folds in order, one episode at a time.
+a slot. These policies are projections and aggregations; those whose target depends on
+the store so far are in ``folds``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,27 +53,3 @@ def replay(actions: DataFrame) -> DataFrame:
     x = actions.where(F.col("operation").isin("ADD", "UPDATE")).withColumn("starts", starts.cast("int"))
     x = x.withColumn("entry", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy(*SLOT, "entry").agg(F.max_by("value", "event_idx").alias("value"), F.count("*").alias("n_writes"))
-
-
-def similarity_upsert(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(episode_id, event_idx, vector) folded in order: the nearest entry is overwritten at ``threshold`` or more, else one is added.
-
-    An episode's entries are bounded by its events; episodes are folded apart.
-    """
-
-    def fold(key, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("event_idx")
-        store, writes, last = [], [], []
-        for i, v in zip(x["event_idx"], x["vector"]):
-            near = np.stack(store) @ v if store else np.zeros(0)
-            at = int(near.argmax()) if len(near) else -1
-            if at >= 0 and near[at] >= threshold:
-                store[at], last[at] = v, i
-                writes[at] += 1
-            else:
-                store.append(v)
-                writes.append(1)
-                last.append(i)
-        return pd.DataFrame({"episode_id": key[0], "entry": range(len(store)), "n_writes": writes, "last_event_idx": last})
-
-    return vectors.groupBy("episode_id").applyInPandas(fold, "episode_id long, entry long, n_writes long, last_event_idx long")

@@ -94,11 +94,6 @@ def learned_islands(spark, sf):
     return policies.replay(facts(spark, sf).withColumn("operation", F.when(F.col("event_idx") % 4 == 0, "ADD").otherwise("UPDATE")))
 
 
-@query()
-def similarity_upsert(spark, sf):
-    return policies.similarity_upsert(vectors(spark, sf), 0.45)
-
-
 @query(f"""WITH {FACTS}, {GOLD} SELECT g.episode_id, count(*) AS memory_size,
 count(*) FILTER (f.attribute = g.attribute) AS same_slot, count(*) FILTER (f.attribute = g.attribute AND f.value = g.gold) AS gold_entries,
 count(*) FILTER (f.attribute = g.attribute AND f.value <> g.gold) AS stale_entries FROM gold g JOIN facts f ON f.episode_id = g.episode_id GROUP BY g.episode_id""")
@@ -309,15 +304,6 @@ def confidence_sigmoid(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(text.confidence(F.col("value") / 100, e % 5, e % 7, e % 48), 6).alias("confidence"))
 
 
-@query(f"""WITH {FACTS} SELECT episode_id, event_idx, CASE WHEN event_idx % 4 = 3 THEN 'INVALID' WHEN event_idx % 4 = 2 THEN 'NOOP' WHEN event_idx % 4 = 1 THEN 'UPDATE' ELSE 'ADD' END AS operation,
-CASE WHEN event_idx % 4 < 2 THEN entity END AS entity, CASE WHEN event_idx % 4 < 2 THEN attribute END AS attribute, CASE WHEN event_idx % 4 < 2 THEN value END AS value FROM facts""")
-def parse_constrained_action(spark, sf):
-    m = F.col("event_idx") % 4
-    body = F.concat(F.initcap("entity"), F.lit("."), F.col("attribute"), F.lit(" = "), F.col("value"))
-    out = F.when(m == 0, F.concat(F.lit("ADD "), body)).when(m == 1, F.concat(F.lit(" update "), body, F.lit(" NOOP\nmore"))).when(m == 2, "NOOP").otherwise("perhaps")
-    return facts(spark, sf).select("episode_id", "event_idx", text.parse_action(out).alias("a")).select("episode_id", "event_idx", "a.*")
-
-
 @query(f"""WITH {FACTS} SELECT episode_id, event_idx, CASE WHEN event_idx % 5 = 4 THEN NULL ELSE 'friend_alex' END AS entity,
 CASE event_idx % 5 WHEN 0 THEN 'location' WHEN 1 THEN 'company' WHEN 2 THEN 'language' WHEN 3 THEN 'timezone' END AS attribute,
 CASE event_idx % 5 WHEN 0 THEN 'Wuxi' WHEN 1 THEN 'Tencent' WHEN 2 THEN 'Kotlin' WHEN 3 THEN 'UTC+' || value END AS value FROM facts""")

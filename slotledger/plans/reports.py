@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from slotledger.functions import text
 from slotledger.operators import metrics, retrieval
 from slotledger.plans.registry import FACTS, GOLD, SCORED, VECTORS, facts, query, scored, vectors
 from slotledger.sources.facts import table
@@ -135,29 +133,3 @@ def action_alignment(spark, sf):
     gold = facts(spark, sf).select("episode_id", "event_idx", "attribute")
     told = gold.where("event_idx % 4 <> 1").select("episode_id", "event_idx", F.lit("ADD").alias("operation"))
     return gold.join(told, ["episode_id", "event_idx"], "left").select("episode_id", "event_idx", "attribute", F.coalesce("operation", F.lit("MISSING")).alias("predicted"))
-
-
-@query(f"""WITH {FACTS} SELECT episode_id, event_idx, CASE event_idx % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' ELSE 'NOOP' END AS operation,
-CASE WHEN event_idx % 4 IN (1, 2) THEN 'e' || event_idx END AS target, CASE WHEN event_idx % 4 < 2 THEN value END AS content FROM facts""")
-def parse_freeform_op(spark, sf):
-    m, i = F.col("event_idx") % 4, F.col("event_idx").cast("string")
-    out = F.when(m == 0, F.concat(F.lit("ADD: "), F.col("value"))).when(m == 1, F.concat(F.lit("update e"), i, F.lit(": "), F.col("value"))).when(m == 2, F.concat(F.lit("Delete [e"), i, F.lit("]"))).otherwise("NOOP, nothing new")
-    return facts(spark, sf).select("episode_id", "event_idx", text.parse_operation(out).alias("a")).select("episode_id", "event_idx", "a.*")
-
-
-def keyword_fold(key, x: pd.DataFrame) -> pd.DataFrame:
-    """A store of one conversation: a text that shares over three words with an entry overwrites the first such, else it is added."""
-    store: list[tuple[int, set, int]] = []
-    for turn, t in x.sort_values("turn")[["turn", "text"]].itertuples(index=False):
-        own = set((t or "").lower().split())
-        at = next((i for i, (_, w, _) in enumerate(store) if len(w & own) > 3), None)
-        if at is None:
-            store.append((turn, own, 1))
-        else:
-            store[at] = (turn, own, store[at][2] + 1)
-    return pd.DataFrame({"conv_id": key[0], "entry": range(len(store)), "last_turn": [s[0] for s in store], "n_writes": [s[2] for s in store]})
-
-
-@query()
-def keyword_upsert(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(keyword_fold, "conv_id long, entry long, last_turn long, n_writes long")

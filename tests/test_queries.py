@@ -39,7 +39,7 @@ def test_entry(spark):
 def test_similarity_upsert_against_loop(spark):
     import numpy as np
 
-    from slotledger.operators.policies import similarity_upsert
+    from slotledger.operators.folds import similarity_upsert
 
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 8))
@@ -103,3 +103,54 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("latest").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("latest").collect())) == sorted(map(tuple, latest_stream(src).collect()))
+
+
+def test_keyword_upsert_against_loop(spark):
+    from slotledger.operators import folds
+
+    texts = ["Ann lives in a big red house", "ann lives in a big red house", "Ann lives in a small red flat", "hm", None, "Bob works at sea", "Cy was here", "Di has one", ""]
+    df = spark.createDataFrame([(k, i, t) for k in (1, 2) for i, t in enumerate(texts)] + [(None, 0, "x is y")], "key long, idx long, text string")
+    got = folds.keyword_upsert(df, capacity=3).where("key = 2").orderBy("entry").collect()
+    # the second text equals the first, so it is added; the third overwrites the first of them; the oldest goes at each add beyond three
+    assert [(r.last_idx, r.n_writes) for r in got] == [(5, 1), (6, 1), (7, 1)]
+    assert folds.keyword_upsert(df).where("key = 1").count() == 5
+    assert folds.keyword_upsert(df.limit(0)).count() == 0
+
+
+def test_bounded_store_against_loop(spark):
+    import numpy as np
+
+    from slotledger.operators import folds
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(120, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sure, at = rng.integers(0, 5, 120) / 5, np.cumsum(rng.integers(0, 40, 120))
+    df = spark.createDataFrame([(i % 2, i, float(at[i]), float(sure[i]), v[i].tolist()) for i in range(120)], "episode_id long, event_idx long, at double, confidence double, vector array<double>")
+    got = {(r.episode_id, r.event_idx): r.n_links for r in folds.bounded_store(df, 10, least=0.5).collect()}
+    want = {}
+    for e in (0, 1):
+        kept, pairs = [], set()
+        for i in range(e, 120, 2):
+            order = sorted([*kept, i], key=lambda j: (-float(v[j] @ v[i]), j))[:3]
+            pairs |= {frozenset((i, j)) for j in order if j != i and v[j] @ v[i] > 0.5}
+            kept.append(i)
+            if len(kept) > 10:
+                old = [j for j in kept if at[i] - at[j] > 60] or kept
+                gone = min(old, key=lambda j: (sure[j], j))
+                kept.remove(gone)
+                pairs = {p for p in pairs if gone not in p}
+        want |= {(e, j): sum(j in p for p in pairs) for j in kept}
+    assert got == want
+
+
+def test_parts_of_operations(spark):
+    from pyspark.sql import functions as F
+
+    from slotledger.functions import text
+
+    x = spark.createDataFrame([("ADD:\nUPDATE x",), ("DELETE id 7. ",), ("UPDATE",), ("",), (None,)], "c string")
+    got = x.select(text.parse_operation(F.col("c"), F.lit("f")).alias("a")).select("a.*").collect()
+    assert list(map(tuple, got)) == [("ADD", "", "UPDATE x"), ("DELETE", "7", ""), ("NOOP", "", ""), ("NOOP", "", ""), ("NOOP", "", "")]
+    y = spark.createDataFrame([("not json",), (None,), ('"s"',), ('{"results": []}',)], "p string").select(text.payload_texts("p").alias("t"))
+    assert [r.t for r in y.collect()] == [[], [], ["s"], []]
