@@ -181,6 +181,12 @@ def normalize_value(spark, sf):
     return x.select("doc_id", text.normalize_value(F.col("t")).alias("norm"))
 
 
+@query()
+def normalize_value_whole(spark, sf):
+    """The whole text of every document; beyond ASCII the two engines' lower case and white space differ, so no SQL."""
+    return table(spark, sf, "documents").select("doc_id", text.normalize_value(F.col("text")).alias("norm"))
+
+
 @query("""WITH p AS (SELECT d.doc_id, list_filter(string_split_regex(lower(d.text), '\\s+'), lambda w: w <> '') AS a, list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: w <> '') AS b,
 lower(trim(d.text)) = lower(trim(b.text)) AS same, contains(lower(trim(d.text)), lower(trim(b.text))) AS held FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
 s AS (SELECT *, len(list_intersect(a, b)) AS i FROM p)

@@ -154,3 +154,16 @@ def test_parts_of_operations(spark):
     assert list(map(tuple, got)) == [("ADD", "", "UPDATE x"), ("DELETE", "7", ""), ("NOOP", "", ""), ("NOOP", "", ""), ("NOOP", "", "")]
     y = spark.createDataFrame([("not json",), (None,), ('"s"',), ('{"results": []}',)], "p string").select(text.payload_texts("p").alias("t"))
     assert [r.t for r in y.collect()] == [[], [], ["s"], []]
+
+
+def test_normalize_value_whole(spark, tmp_path):
+    import re
+
+    texts = ["  The CAFÉ, 12\t", "naïve " * 200 + "End", "x" * 500 + " tail!", "\u00a0a\u2003b\u0085c ", "\u0130I \u212a9", "漢字", "", " \n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    run = __spark_entry__.queries()["normalize_value_whole"]
+    brute = lambda t: None if t is None else " ".join(re.findall("[a-z0-9]+", t.lower()))
+    assert {r.doc_id: r.norm for r in run(spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert {r.doc_id: r.norm for r in run(spark, DATA).collect()} == {r.doc_id: brute(r.text) for r in docs}
