@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,69 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         front = front.join(both, front["node"] == both["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         seen = seen.unionByName(front)
     return seen.where("start <> node")
+
+
+#: Rows of a block of queries and of a block of entries; a task meets one of each. Partial results grow with the number of the latter.
+BLOCK, WIDE = 2048, 32_768
+
+
+def block_pairs(entries: DataFrame, key: str, meet, schema: str, block: int, wide: int) -> DataFrame:
+    """``meet(queries, entries)`` for all pairs of blocks of a key's rows, each pair a task's work.
+
+    Rows are dealt by the hash of entry_id to as many blocks of ``block`` queries and ``wide`` entries as the key's count needs.
+    """
+    n = entries.groupBy(F.col(key).alias("n_key")).agg(*[F.ceil(F.count("*") / size).cast("int").alias(name) for name, size in (("qs", block), ("es", wide))])
+    x = entries.join(n, entries[key].eqNullSafe(F.col("n_key"))).drop("n_key")
+    own = lambda c: F.pmod(F.xxhash64("entry_id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = x.withColumn("qb", own("qs")).withColumn("eb", each("es")).drop("qs", "es")
+    right = x.withColumn("eb", own("es")).withColumn("qb", each("qs")).drop("qs", "es")
+    by = [key, "qb", "eb"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own, as both come from ``entries``
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, schema)
+
+
+def top_k_within(entries: DataFrame, key: str, k: int, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
+    """query_id, entry_id, score, rank: for every entry the k best others of its key, as ``top_k`` of ``scored_within`` has them."""
+
+    def meet(q, e):
+        rows = []
+        if len(q) and len(e):
+            e = e.sort_values("entry_id", kind="stable")
+            ids, x, own, v = e["entry_id"].to_numpy(), np.stack(e["vector"].to_numpy()), q["entry_id"].to_numpy(), np.stack(q["vector"].to_numpy())
+            for a in range(0, len(v), 64):
+                score = np.round(v[a : a + 64] @ x.T, 6)
+                for i, s in zip(own[a : a + 64], score):
+                    least = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -np.inf
+                    near = np.flatnonzero(s >= least)  # the k + 1 best and their ties, of which the own row is at most one
+                    near = near[ids[near] != i]
+                    rows += [(i, ids[j], s[j]) for j in near[np.argsort(-s[near], kind="stable")[:k]]]
+        return pd.DataFrame(rows, columns=["query_id", "entry_id", "score"])
+
+    return top_k(block_pairs(entries, key, meet, "query_id long, entry_id long, score double", block, wide), k)
+
+
+def links_within(entries: DataFrame, key: str, least: float, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
+    """The pairs of ``links``, found in pairs of blocks."""
+
+    def meet(q, e):
+        if not len(q) or not len(e):
+            return pd.DataFrame({"src": [], "dst": []}).astype("int64")
+        a, b = q["entry_id"].to_numpy(), e["entry_id"].to_numpy()
+        v, x, out = np.stack(q["vector"].to_numpy()), np.stack(e["vector"].to_numpy()), []
+        for i in range(0, len(a), 64):
+            r, c = np.nonzero((v[i : i + 64] @ x.T >= least) & (b[None, :] < a[i : i + 64, None]))
+            out.append(pd.DataFrame({"src": a[i : i + 64][r], "dst": b[c]}))
+        return pd.concat(out)
+
+    return block_pairs(entries, key, meet, "src long, dst long", block, wide)
+
+
+def newest_within(entries: DataFrame, key: str, k: int) -> DataFrame:
+    """``latest_per_slot`` for every entry as query.
+
+    Without the query itself a slot's newest entries are among those of its two newest indices.
+    """
+    w = Window.partitionBy(key, "slot").orderBy(F.desc("event_idx"))
+    some = entries.withColumn("n", F.dense_rank().over(w)).where("n <= 2 or slot is null").drop("n")
+    return latest_per_slot(scored_within(entries.select(F.col("entry_id").alias("query_id"), key, "vector"), some), k)

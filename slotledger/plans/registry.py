@@ -48,6 +48,12 @@ def scored(spark, sf):
     return retrieval.scored_within(v.where("entry_id % 50 = 0").withColumnRenamed("entry_id", "query_id"), v)
 
 
+def every(spark, sf, k):
+    """The k best for every entry as query, with slot and event_idx."""
+    v = vectors(spark, sf)
+    return retrieval.top_k_within(v, "episode_id", k).join(v.select("entry_id", "slot", "event_idx"), "entry_id")
+
+
 @query(f"WITH {FACTS}, {LATEST} SELECT * FROM latest")
 def latest_per_slot(spark, sf):
     return policies.latest(facts(spark, sf))
@@ -147,12 +153,36 @@ def topk_confident(spark, sf):
 q AS (SELECT vec_id AS query_id, label FROM embeddings)
 SELECT k, round(avg(CASE WHEN r.slot = q.label THEN 1.0 ELSE 0.0 END), 6) AS same_slot_rate FROM r JOIN q USING (query_id) JOIN (SELECT unnest([1, 3, 5, 10]) AS k) ON rank <= k GROUP BY k""")
 def topk_sweep(spark, sf):
-    wide = retrieval.top_k(scored(spark, sf), 10)
+    return sweep(spark, sf, retrieval.top_k(scored(spark, sf), 10))
+
+
+def sweep(spark, sf, wide):
     own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     x = wide.join(own, "query_id").select("slot", "label", "rank", F.explode(F.array(*map(F.lit, (1, 3, 5, 10)))).alias("k")).where("rank <= k")
     return x.groupBy("k").agg(F.round(F.avg(F.when(F.col("slot") == F.col("label"), 1.0).otherwise(0.0)), 6).alias("same_slot_rate"))
 
 
+@query()
+def topk_cosine_whole(spark, sf):
+    return every(spark, sf, 5)
+
+
+@query()
+def latest_per_slot_topk_whole(spark, sf):
+    return retrieval.newest_within(vectors(spark, sf), "episode_id", 5)
+
+
+@query()
+def topk_confident_whole(spark, sf):
+    x = every(spark, sf, 15).drop("rank").withColumn("confidence", F.col("entry_id") % 10 / 10.0)
+    return retrieval.confident_top_k(x, "confidence", 5).select("query_id", "entry_id", "mixed", "rank")
+
+
+@query()
+def topk_sweep_whole(spark, sf):
+    return sweep(spark, sf, every(spark, sf, 10))
+
+
 @query(f"""WITH {VECTORS} SELECT a.entry_id AS src, b.entry_id AS dst FROM vectors a JOIN vectors b ON a.episode_id = b.episode_id AND b.entry_id < a.entry_id
 WHERE list_inner_product(a.vector, b.vector) >= 0.45""")
 def threshold_links(spark, sf):
@@ -167,6 +197,12 @@ def bfs_depth2(spark, sf):
     return retrieval.neighbours(retrieval.links(v, "episode_id", 0.35), v.where("entry_id % 50 = 0").select(F.col("entry_id").alias("start")), 2)
 
 
+@query()
+def bfs_depth2_whole(spark, sf):
+    v = vectors(spark, sf)
+    return retrieval.neighbours(retrieval.links_within(v, "episode_id", 0.35), v.select(F.col("entry_id").alias("start")), 2)
+
+
 @query(f"""WITH {VECTORS}, l AS (SELECT a.entry_id AS src, b.entry_id AS dst FROM vectors a JOIN vectors b ON a.episode_id = b.episode_id AND b.entry_id < a.entry_id WHERE list_inner_product(a.vector, b.vector) >= 0.35),
 e AS (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l) SELECT src AS node, count(*) AS degree FROM e GROUP BY src HAVING count(*) >= 2""")
 def dense_subgraph(spark, sf):
@@ -199,6 +235,15 @@ def answer_scores(spark, sf):
     return x.select("doc_id", F.round(text.token_f1(p, g), 6).alias("f1"), text.exact_match(p, g).alias("em"), text.contains_raw(p, g).alias("contains_raw"))
 
 
+@query()
+def answer_scores_whole(spark, sf):
+    """Documents are dealt over all items of the benchmark."""
+    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"))
+    x = d.withColumn("item_id", F.col("doc_id") % b.count()).join(b, "item_id")
+    p, g = F.col("text"), F.col("gold")
+    return x.select("doc_id", "item_id", F.round(text.token_f1(p, g), 6).alias("f1"), text.exact_match(p, g).alias("em"), text.contains_raw(p, g).alias("contains_raw"))
+
+
 @query("""WITH c AS (SELECT conv_id, turn, text, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM conversations WHERE trim(text) <> ''),
 q AS (SELECT conv_id, arg_max(w, turn) AS q FROM c GROUP BY conv_id), s AS (SELECT c.conv_id, turn AS idx, CAST(len(list_intersect(q, w)) AS BIGINT) AS overlap FROM c JOIN q ON c.conv_id = q.conv_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, idx DESC) AS rank FROM s) WHERE rank <= 3""")

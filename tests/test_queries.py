@@ -167,3 +167,42 @@ def test_normalize_value_whole(spark, tmp_path):
     assert {r.doc_id: r.norm for r in run(spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     assert {r.doc_id: r.norm for r in run(spark, DATA).collect()} == {r.doc_id: brute(r.text) for r in docs}
+
+
+def test_whole_queries_take_every_entry(spark, monkeypatch):
+    """The whole queries against the plain all-pairs plans, in blocks smaller than an episode."""
+    from pyspark.sql import functions as F
+
+    from slotledger.operators import retrieval
+
+    monkeypatch.setattr(retrieval.top_k_within, "__defaults__", (64, 48))
+    monkeypatch.setattr(retrieval.links_within, "__defaults__", (64, 48))
+    v = registry.vectors(spark, DATA)
+    s = retrieval.scored_within(v.withColumnRenamed("entry_id", "query_id"), v).cache()
+    x = s.withColumn("confidence", F.col("entry_id") % 10 / 10.0)
+    want = {
+        "topk_cosine": retrieval.top_k(s, 5),
+        "latest_per_slot_topk": retrieval.latest_per_slot(s, 5),
+        "topk_confident": retrieval.confident_top_k(x, "confidence", 5).select("query_id", "entry_id", "mixed", "rank"),
+        "topk_sweep": registry.sweep(spark, DATA, retrieval.top_k(s, 10)),
+        "bfs_depth2": retrieval.neighbours(retrieval.links(v, "episode_id", 0.35), v.select(F.col("entry_id").alias("start")), 2),
+    }
+    found = __spark_entry__.queries()
+    for name, df in want.items():
+        assert rows(found[f"{name}_whole"](spark, DATA).toPandas()) == rows(df.toPandas()), name
+    assert found["topk_cosine_whole"](spark, DATA).select("query_id").distinct().count() == v.count()
+    flags = {r.query_id: r for r in found["trace_flags_whole"](spark, DATA).collect()}
+    old = {r.query_id: r for r in found["trace_flags"](spark, DATA).collect()}
+    assert len(flags) == v.count() and all(flags[q] == r for q, r in old.items())
+    assert sum(r.n for r in found["answer_error_taxonomy_whole"](spark, DATA).collect()) == v.count()
+    rate = found["retrieval_rates_whole"](spark, DATA).first()
+    assert rate.gold_rate == round(sum(r.gold for r in flags.values()) / len(flags), 6)
+    assert found["retrieved_trace_whole"](spark, DATA).count() == 10 * v.count()
+
+
+def test_answer_scores_whole_reaches_every_item(spark, tmp_path):
+    words = lambda i: f"item {i} of many"
+    spark.createDataFrame([(i, words(i % 90)) for i in range(180)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, words(i)) for i in range(90)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = __spark_entry__.queries()["answer_scores_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == 180 and {r.item_id for r in got} == set(range(90)) and all((r.f1, r.em, r.contains_raw) == (1.0, 1.0, True) for r in got)
