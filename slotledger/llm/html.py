@@ -4,7 +4,8 @@ A page is read as a tree. Each leaf text belongs to a tag path from the root; ov
 path's text length and punctuation are summed and set against its number of nodes. The
 two ratios are smoothed along the page's order of paths, fused by their product, and
 thresholded by their spread. Nodes on the paths above the threshold are content; menus,
-notices and other named furniture never are. The article is the innermost container that
+notices and other furniture never are: by their tag, or by a whole class, id or role of which each
+part is in ``NAMED``; a name or a form alone does not make most of a page furniture. The article is the innermost container that
 holds the content (an article or main element where there is one), and all its blocks
 but the furniture are kept, short ones too.
 
@@ -35,6 +36,8 @@ CONTAINER = frozenset("html body div section article main center table tbody tr
 FURNITURE = frozenset("nav footer aside form button menu dialog head label fieldset input".split())
 NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies share sharing social related newsletter subscribe popup modal widget toolbar pagination skip legal copyright".split())
 HEADER = frozenset({"header", "topbar"})
+#: Elements that no name makes junk.
+NEVER = frozenset("html body main article".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUND = frozenset("ul ol dl table td th div section article main body html nav aside header footer form blockquote".split())
 
@@ -45,20 +48,43 @@ SPREAD = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "up", "path", "junk", "n")
+    __slots__ = ("tag", "up", "path", "junk", "soft", "hard", "n", "size")
 
     def __init__(self, tag, up, names, n):
         self.tag, self.up, self.n = tag, up, n
         self.path = (up.path if up else ()) + (tag + "." + names if names else tag,)
-        words = set(re.split(r"[\s_-]+", names.lower()))
+        named = [re.split(r"[_-]+", x) for x in names.lower().split()]
         inside = up is not None and any(x.startswith(("article", "main")) for x in up.path)
-        header = (tag == "header" or bool(words & HEADER)) and not inside
-        self.junk = bool(up and up.junk) or tag in FURNITURE or bool(words & NAMED) or header
+        header = any(len(x) == 1 and x[0] in HEADER for x in named) and not inside
+        self.hard = tag in FURNITURE and tag != "form" or tag == "header" and not inside
+        self.soft = tag not in NEVER and (tag == "form" or header or any(NAMED.issuperset(x) for x in named))
+        self.junk, self.size = False, 0
+
+
+def mark(nodes: list[Node], found: list[tuple[Node, int, str]]) -> None:
+    """Set ``junk``: furniture, named nodes, and all within them.
+
+    A node that only its name or a form's tag marks is spared if it holds most of the text
+    outside the furniture, unless an article or main element lies elsewhere.
+    """
+    for x in nodes[1:]:
+        x.junk = x.hard or x.up.junk
+    for x, _, text in found:
+        if not x.junk:
+            x.size += len(text.strip())
+    holds = [x.tag in ("article", "main") and not x.junk for x in nodes]
+    for x in reversed(nodes[1:]):
+        x.up.size += x.size
+        holds[x.up.n] += holds[x.n]
+    for x in nodes[1:]:
+        spared = 2 * x.size > nodes[0].size and (holds[x.n] or not holds[0])
+        x.junk = x.hard or x.up.junk or x.soft and not spared
 
 
 def leaves(page: str) -> list[tuple[Node, int, str]]:
     """(node, block number, text) in page order; a block ends where an element that is not inline begins or ends."""
     root = at = Node("#root", None, "", 0)
+    nodes = [root]
     out, block, last, n = [], 0, 0, 0
     for m in TOKEN.finditer(page):
         if m.start() > last:
@@ -93,8 +119,10 @@ def leaves(page: str) -> list[tuple[Node, int, str]]:
                 n += 1
                 names = " ".join(a[1] or a[2] or a[3] for a in ATTR.findall(m["attrs"])) if m["attrs"] else ""
                 at = Node(tag, at, names, n)
+                nodes.append(at)
     if last < len(page):
         out.append((at, block, page[last:]))
+    mark(nodes, out)
     return out
 
 
