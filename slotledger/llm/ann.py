@@ -2,9 +2,11 @@
 
 Full-dimensional codebooks are fitted by residual k-means on a bounded sample of ``SAMPLE``
 vectors. A vector is encoded by beam search, which keeps the ``BEAM`` best partial sums; its
-code and the norm of its approximation are stored. A query's inner products with all
-codewords form a lookup table, so a score is a sum of lookups; the best ``RERANK`` distinct
-vectors of each shard are scored again exactly, and the shard's best ``k`` go on.
+code and the length of what its approximation leaves are stored. A query's inner products
+with all codewords form a lookup table, so a score is a sum of lookups, off by at most that
+length times the query's. The best ``RERANK`` distinct vectors of each shard are scored again
+exactly, then every other one whose lookup score lies within that error of the ``k``-th exact
+score; so no neighbour is lost to the codes, and the shard's best ``k`` go on.
 
 Queries and rows meet in blocks: (query block, row shard), both of bounded size. The
 product of blocks is the search of a stated query set against all rows.
@@ -53,8 +55,8 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows x books) and norms of the approximations, by beam search over sums of codewords."""
-    codes, norms = [], []
+    """Codes (rows x books) and lengths of the residuals, by beam search over sums of codewords."""
+    codes, left = [], []
     for a in range(0, len(x), 1024):
         v = x[a : a + 1024]
         n = len(v)
@@ -68,25 +70,34 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
             rest = rest[rows, src] - c[word]
             path = np.concatenate([path[rows, src], word[:, :, None].astype(np.uint8)], 2)
         codes.append(path[:, 0])
-        norms.append(np.linalg.norm(v - rest[:, 0], axis=1))
-    return (np.concatenate(codes), np.concatenate(norms)) if codes else (np.zeros((0, len(books)), np.uint8), np.zeros(0))
+        left.append(np.linalg.norm(rest[:, 0], axis=1))
+    return (np.concatenate(codes), np.concatenate(left)) if codes else (np.zeros((0, len(books)), np.uint8), np.zeros(0))
 
 
-def _search(q_ids, q, ids, x, codes, books, k, rerank) -> pd.DataFrame:
+def _search(q_ids, q, ids, x, codes, errors, books, k, rerank) -> pd.DataFrame:
     order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
+    ids, x, codes, errors = ids[order], x[order], codes[order], errors[order]
     rank = {}
     group = np.fromiter((rank.setdefault(r.tobytes(), len(rank)) for r in x + 0.0), np.int64, len(x))
     first = np.unique(group, return_index=True)[1]
-    x, codes = x[first], codes[first]
+    x, codes, errors = x[first], codes[first], errors[first]
     by = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[by], np.arange(len(first) + 1))
-    rows = []
+    rows, rerank = [], max(rerank, k + 1)
     for i, v in enumerate(q):
         table = books @ v
         score = table[np.arange(len(books)), codes].sum(1)
         near = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
         exact = (x[near] * v).sum(1)
+        if len(near) < len(score):
+            least = np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]  # one more than k, as the query may be among them
+            length = np.linalg.norm(v)
+            least -= 1e-9 * max(length, 1) * max(np.abs(exact).max(), 1)
+            far = score + errors * length >= least
+            far[near] = False
+            far &= x @ v >= least  # the same scores but for rounding
+            more = np.flatnonzero(far)
+            near, exact = np.concatenate([near, more]), np.concatenate([exact, (x[more] * v).sum(1)])
         members = [(-s, int(m)) for s, g in zip(exact.tolist(), near.tolist()) for m in ids[by[bounds[g] : bounds[g + 1]][: k + 1]] if m != q_ids[i]]
         rows += [(int(q_ids[i]), m, -s) for s, m in sorted(members)[:k]]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
@@ -107,20 +118,20 @@ def search(vectors: DataFrame, k: int = TOP, every: int = EVERY, sample: int = S
     def codes(batches):
         for b in batches:
             if len(b):
-                c, norm = encode(np.stack(b["vector"].to_numpy()), shared.value)
-                yield b.assign(code=[r.tobytes() for r in c], norm=norm)
+                c, error = encode(np.stack(b["vector"].to_numpy()), shared.value)
+                yield b.assign(code=[r.tobytes() for r in c], error=error)
 
-    coded = x.mapInPandas(codes, "vec_id long, vector array<double>, code binary, norm double")
+    coded = x.mapInPandas(codes, "vec_id long, vector array<double>, code binary, error double")
     shards, queries = -(-n // shard), x.where(F.col("vec_id") % every == 0)
     blocks = -(-n // every // block) + 1
     left = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), F.explode(F.expr(f"sequence(0L, {max(shards, 1) - 1}L)")).alias("s"))
-    right = coded.select("vec_id", "vector", "code", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(shards, 1))).alias("s"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"))
+    right = coded.select("vec_id", "vector", "code", "error", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(shards, 1))).alias("s"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"))
 
     def meet(q, r):
         if not len(q) or not len(r):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         code = np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1)
-        return _search(q["vec_id"].to_numpy(), np.stack(q["vector"].to_numpy()), r["vec_id"].to_numpy(), np.stack(r["vector"].to_numpy()), code, shared.value, k, rerank)
+        return _search(q["vec_id"].to_numpy(), np.stack(q["vector"].to_numpy()), r["vec_id"].to_numpy(), np.stack(r["vector"].to_numpy()), code, r["error"].to_numpy(), shared.value, k, rerank)
 
     found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)
