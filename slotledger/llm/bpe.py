@@ -7,7 +7,8 @@ without a regex or a loop over characters. Many texts are scanned as one array w
 a class of its own between them.
 
 Defined results: a null or empty text has no ids and decodes to nothing; repeated rows
-are encoded alike; text length is bounded only by the worker's memory for one text.
+are encoded alike; text length is bounded only by the worker's memory for one text; columns other than doc_id
+and text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from slotledger.llm.common import text_batches
+from slotledger.llm.common import slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 SPACE, LETTER, NUMBER, OTHER, BLANK, END = range(6)
@@ -199,11 +200,11 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [x for s in slabs(b["text"].fillna("").tolist()) for x in encode(s, path)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [x[0] for x in got], "offsets": [x[1] for x in got]})
 
-    return text_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, offsets array<bigint>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, offsets array<bigint>")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -212,8 +213,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = [x[0] for s in slabs(b["text"].fillna("").tolist()) for x in encode(s, path)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(decode(x, path)) for x in ids]})
 
-    return text_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,20 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a new temporary folder; a cluster gets an error."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor sees")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which ends its lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back, which ends its lineage and survives lost executors.
+
+    What is written stays until ``drop``, or until the application clears the folder.
+    """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``, once nothing reads it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):
@@ -38,13 +53,23 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-#: Rows of an Arrow batch of whole texts. The default of 10,000 holds a gigabyte where texts are long.
+#: Rows of a piece of an Arrow batch. Spark bounds a batch of texts by bytes; what is made of them may be larger.
 TEXT_ROWS = 500
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches kept small enough for whole texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, TEXT_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
-    return df
+def slices(batches: Iterable[pd.DataFrame], rows: int = TEXT_ROWS) -> Iterator[pd.DataFrame]:
+    """The batches of a mapInPandas function in pieces, so that results of few texts are held at once."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.iloc[a : a + rows]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running sums (or what ``join`` gives) of an array, by doubling steps: work grows with its size times the logarithm."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc, r):
+        back = lambda i: i - F.pow(F.lit(2), r).cast("int")
+        return F.transform(acc, lambda v, i: F.when(back(i) >= 0, join(v, F.get(acc, back(i)))).otherwise(v))
+
+    return F.aggregate(steps, values, step)

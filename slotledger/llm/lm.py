@@ -5,38 +5,51 @@ remainder other than 0), by partial sums before the shuffle. The ``WORDS`` most
 are the network's words, in classes of equal size by frequency; all others are one more word,
 unknown, whose mass is shared among them as their smoothed counts are, so the score is
 a proper probability of the whole text. Output biases start at the corpus's log
-frequencies. The recurrent weights are fitted by truncated backpropagation on a bounded sample:
-``SAMPLE_DOCS`` training documents of at most ``SAMPLE_CHARS`` characters each, in order of
-hash. Documents are scored whole, window by window, with the state carried over.
+frequencies.
+
+The weights are learned from every training document, whole: documents are dealt by hash
+into rounds of ``SHARES``. In a round each task starts from the common weights, runs truncated
+backpropagation over all its documents of that round, and gives its weights, whose mean by tokens
+(taken in two steps, so that no group holds more than ``FAN`` rows or one row for each of them) is the next
+round's start. Documents are scored whole, window by window, with the state carried over.
 
 Tokens that make up at least 1 / ``COMMON`` of all tokens, of which there are at most
 ``COMMON``, are looked up from a broadcast; the others are summed per document and joined
 with the counts.
 
-Defined results: a null or empty text is the end token alone; repeated rows are scored each
-for itself; without training documents the counts are zero and every token is unknown; an
-empty table gives no rows; a null doc_id counts as not held out.
+Defined results: a null or empty text is the end token alone; a text of any length is one
+sequence, learned and scored whole (a task's memory grows with its ids, two bytes a token); repeated rows are
+scored each for itself; without training documents the counts are zero and every token is
+unknown; an empty table gives no rows; a null doc_id counts as not held out; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import cut, text_batches
+from slotledger.llm.common import cut, slices
 
 END = b""
 WORDS, HIDDEN = 1023, 16
 COMMON = 200_000
 FLUSH = 300_000
-SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 1200, 20_000, 2
-STREAMS, WINDOW = 64, 16
-RATE, CLIP = 0.01, 5.0
-BATCH, STRIDE = 256, 32
+#: Of 16 parts of the training documents, by hash, those of each round; every document is in one.
+SHARES = (1, 2, 4, 9)
+STREAMS, WINDOW = 256, 16
+RATE, CLIP = 0.02, 5.0
+TALL = 60.0  # logits start as logarithms of shares, so that none of a class is far below zero; this keeps exp finite above
+WIDE, STRIDE = 512, 32
+HELD = 1 << 22  # ids that a task holds before it learns from them or scores them
+BLOCK, FAN = 1024, 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -82,10 +95,22 @@ class Network:
         self.p = {"g": f(k, 3 * hidden), "u": f(hidden, 3 * hidden), "wc": f(hidden, n) * 0, "bc": np.log(by_class / by_class.sum()).astype(np.float32), "wo": np.zeros((n, hidden, w), np.float32), "bo": inner.astype(np.float32)}
         self.hidden = hidden
 
+    def copy(self) -> Network:
+        out = object.__new__(Network)
+        out.__dict__ |= self.__dict__ | {"p": {k: v.copy() for k, v in self.p.items()}}
+        return out
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def set(self, flat: np.ndarray) -> None:
+        at = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: x.reshape(v.shape) for (k, v), x in zip(self.p.items(), np.split(flat, at))}
+
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple:
         m = self.hidden
         g, a = self.p["g"][ids], h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-np.clip(g[:, : 2 * m] + a[:, : 2 * m], -30, 30)))
+        zr = 0.5 + 0.5 * np.tanh(0.5 * (g[:, : 2 * m] + a[:, : 2 * m]))
         z, r = zr[:, :m], zr[:, m:]
         n = np.tanh(g[:, 2 * m :] + r * a[:, 2 * m :])
         return n + z * (h - n), z, r, n, a[:, 2 * m :]
@@ -94,10 +119,10 @@ class Network:
         """Natural log-probability of each id after its state; with ``grads``, also the losses' gradient for the states."""
         p, cls, at = self.p, ids // self.width, ids % self.width
         rows = np.arange(len(ids))
-        c = h @ p["wc"] + p["bc"]
-        c -= c.max(1, keepdims=True)
+        ones = np.ones(max(self.n, self.width), np.float32)
+        c = np.minimum(h @ p["wc"] + p["bc"], TALL)
         e = np.exp(c)
-        total = e.sum(1)
+        total = e @ ones[: self.n]
         out = c[rows, cls] - np.log(total)
         back = None
         if grads is not None:
@@ -106,108 +131,164 @@ class Network:
             grads["wc"] += h.T @ d
             grads["bc"] += d.sum(0)
             back = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.n + 1))
         for k in np.flatnonzero(np.diff(edges)):
             own = order[edges[k] : edges[k + 1]]
-            x = h[own] @ p["wo"][k] + p["bo"][k]
-            x -= x.max(1, keepdims=True)
+            states, i, j = h[own], rows[: len(own)], at[own]
+            x = np.minimum(states @ p["wo"][k] + p["bo"][k], TALL)
             e = np.exp(x)
-            total = e.sum(1)
-            i = np.arange(len(own))
-            out[own] += x[i, at[own]] - np.log(total)
+            total = e @ ones[: self.width]
+            out[own] += x[i, j] - np.log(total)
             if grads is not None:
                 d = e / total[:, None]
-                d[i, at[own]] -= 1
-                grads["wo"][k] += h[own].T @ d
+                d[i, j] -= 1
+                grads["wo"][k] += states.T @ d
                 grads["bo"][k] += d.sum(0)
                 back[own] += d @ p["wo"][k].T
         return out, back
 
-    def fit(self, texts: list[np.ndarray], end: int, epochs: int = EPOCHS) -> list[float]:
-        """Adam over windows of parallel streams; returns the mean loss of each epoch. State stops at an end token."""
-        line = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-        streams = min(STREAMS, len(line) // WINDOW)
-        if not streams:
-            return []
-        grid = line[: len(line) // streams * streams].reshape(streams, -1)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        losses, t = [], 0
-        for _ in range(epochs):
-            h, told = np.zeros((streams, self.hidden), np.float32), []
-            for a in range(0, grid.shape[1], WINDOW):
-                ids = grid[:, a : a + WINDOW]
-                grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-                kept, before = [], []
-                for j in range(ids.shape[1]):
-                    before.append(h)
-                    new, *gates = self.step(ids[:, j], h)
-                    live = (ids[:, j] != end)[:, None].astype(np.float32)
-                    kept.append((h, gates, live))
-                    h = new * live
-                n, back = self.log_probs(np.concatenate(before), ids.T.reshape(-1), grads)
-                told.append(-float(n.mean()))
-                back = back.reshape(ids.shape[1], streams, -1)
-                dh = np.zeros_like(h)
-                for j in reversed(range(ids.shape[1])):
-                    prior, (z, r, new, a_n), live = kept[j]
-                    dh = dh * live
-                    dn = dh * (1 - z) * (1 - new * new)
-                    dz = dh * (prior - new) * z * (1 - z)
-                    dr = dn * a_n * r * (1 - r)
-                    da = np.concatenate([dz, dr, dn * r], 1)
-                    np.add.at(grads["g"], ids[:, j], np.concatenate([dz, dr, dn], 1))
-                    grads["u"] += prior.T @ da
-                    dh = dh * z + da @ self.p["u"].T + back[j]
-                t += 1
-                size = np.sqrt(sum(float((g / ids.size) .ravel() @ (g / ids.size).ravel()) for g in grads.values()))
-                for k, g in grads.items():
-                    g = g / ids.size * min(1, CLIP / max(size, 1e-9))
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)
-            losses.append(float(np.mean(told)))
-        return losses
+    def learn(self, line: np.ndarray, last: np.ndarray, state: dict, rate: float = RATE, streams: int = STREAMS) -> float:
+        """Adam over windows of parallel streams of ``line``; returns the mean loss. The state starts anew after a ``last`` id.
+
+        ``state`` is kept between calls, empty at first.
+        """
+        n = len(line)
+        streams = max(1, min(streams, n // WINDOW))
+        width = -(-n // streams)
+        fill = lambda v: np.concatenate([v, np.zeros(streams * width - n, v.dtype)]).reshape(streams, width)
+        grid, keep, there = fill(line.astype(np.int64)), fill(1 - last.astype(np.float32))[:, :, None], fill(np.ones(n, bool))
+        if not state:
+            state |= {"t": 0, "m": {k: np.zeros_like(v) for k, v in self.p.items()}, "s": {k: np.zeros_like(v) for k, v in self.p.items()}}
+        m, s, k3 = state["m"], state["s"], 3 * self.hidden
+        h, told = np.zeros((streams, self.hidden), np.float32), 0.0
+        for a in range(0, width, WINDOW):
+            ids, live, valid = grid[:, a : a + WINDOW].T, keep[:, a : a + WINDOW], there[:, a : a + WINDOW].T
+            grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+            kept, before = [], np.empty((len(ids), streams, self.hidden), np.float32)
+            for j in range(len(ids)):
+                before[j] = h
+                new, *gates = self.step(ids[j], h)
+                kept.append((new, *gates))
+                h = new * live[:, j]
+            back = np.zeros_like(before)
+            got, back[valid] = self.log_probs(before[valid], ids[valid], grads)
+            told -= float(got.sum())
+            dh, inner = np.zeros_like(h), np.empty((len(ids), streams, k3), np.float32)
+            for j in reversed(range(len(ids))):
+                prior, (_, z, r, n_, a_n) = before[j], kept[j]
+                dh = dh * live[:, j]
+                dn = dh * (1 - z) * (1 - n_ * n_)
+                dz = dh * (prior - n_) * z * (1 - z)
+                dr = dn * a_n * r * (1 - r)
+                da = np.concatenate([dz, dr, dn * r], 1)
+                inner[j] = np.concatenate([dz, dr, dn], 1)
+                grads["u"] += prior.T @ da
+                dh = dh * z + da @ self.p["u"].T + back[j]
+            flat = ids.reshape(-1)
+            order = np.argsort(flat.astype(np.uint16), kind="stable")
+            starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            grads["g"][flat[order[starts]]] = np.add.reduceat(inner.reshape(-1, k3)[order], starts, axis=0)
+            state["t"] += 1
+            t, share = state["t"], 1 / max(int(valid.sum()), 1)
+            size = share * np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads.values()))
+            share *= min(1, CLIP / max(size, 1e-9))
+            for k, g in grads.items():
+                g *= share
+                m[k] += 0.1 * (g - m[k])
+                s[k] += 0.01 * (g * g - s[k])
+                self.p[k] -= (rate / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)
+        return told / max(n, 1)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log-probability of each sequence of ids, in windows with the state carried over."""
-        out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for a in range(0, len(order), BATCH):
-            own = order[a : a + BATCH]
-            sizes = np.array([len(texts[i]) for i in own])
-            h = np.zeros((len(own), self.hidden), np.float32)
-            for w in range(0, int(sizes[0]) if len(own) else 0, STRIDE):
-                live = int((sizes > w).sum())
-                h, sizes = h[:live], sizes[:live]
-                span = int(min(STRIDE, sizes[0] - w))
-                ids = np.zeros((span, live), np.int64)
-                for k in range(live):
-                    x = texts[own[k]][w : w + span]
-                    ids[: len(x), k] = x
-                states = np.empty((span, live, self.hidden), np.float32)
-                for j in range(span):
-                    states[j] = h
-                    h = self.step(ids[j], h)[0]
-                valid = (np.arange(span)[:, None] + w) < sizes
-                got, _ = self.log_probs(states[valid], ids[valid])
-                np.add.at(out, np.asarray(own)[np.nonzero(valid)[1]], got)
-        return out
+        """Natural log-probability of each sequence of ids; sequences follow one another in streams, each from a fresh state."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not sizes.sum():
+            return np.zeros(len(texts))
+        streams = int(np.clip(sizes.sum() // sizes.max(), 1, WIDE))
+        free, place = [(0, k) for k in range(streams)], [(0, 0)] * len(texts)
+        for i in np.argsort(-sizes, kind="stable").tolist():  # the longest first, each where least is yet
+            n, k = free[0]
+            place[i] = (k, n)
+            heapq.heapreplace(free, (n + int(sizes[i]), k))
+        width = max(n for n, _ in free)
+        grid, keep, out = np.full((streams, width), -1, np.int32), np.ones((streams, width), np.float32), np.zeros((streams, width), np.float32)
+        for (k, n), t in zip(place, texts):
+            if len(t):
+                grid[k, n : n + len(t)], keep[k, n] = t, 0
+        h = np.zeros((streams, self.hidden), np.float32)
+        for a in range(0, width, STRIDE):
+            ids, fresh = grid[:, a : a + STRIDE].T, keep[:, a : a + STRIDE].T[:, :, None]
+            states = np.empty((len(ids), streams, self.hidden), np.float32)
+            for j, x in enumerate(np.maximum(ids, 0)):
+                states[j] = h * fresh[j]
+                h = self.step(x, states[j])[0]
+            valid, slab = ids >= 0, np.zeros(ids.shape, np.float32)
+            slab[valid], _ = self.log_probs(states[valid], ids[valid])
+            out[:, a : a + STRIDE] = slab.T
+        return np.array([out[k, n : n + m].sum(dtype=float) for (k, n), m in zip(place, sizes.tolist())])
+
+
+def held(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Runs of rows with about ``HELD`` ids, and the ids of each row."""
+    rows, n = [], 0
+    for b in batches:
+        for a in range(0, len(b), 500):
+            own = b.iloc[a : a + 500]
+            rows.append(own)
+            n += sum(map(len, own["ids"])) // 2
+            if n >= HELD:
+                got = pd.concat(rows)
+                yield got, [np.frombuffer(x, "<u2") for x in got["ids"]]
+                rows, n = [], 0
+    if rows:
+        got = pd.concat(rows)
+        yield got, [np.frombuffer(x, "<u2") for x in got["ids"]]
 
 
-def _sample(docs: DataFrame, n: int) -> list[str]:
-    """Of ``n`` training documents those of the least hashes; a threshold first, so that few rows leave the executors."""
-    x = docs.where(~held_out() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    most = min(1 << 20, 4 * (SAMPLE_DOCS << 20) // max(n, 1))
-    x = x.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= most)
-    return [r["text"] for r in x.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).collect()]
+def fit(docs: DataFrame, net: Network, shares=SHARES, rate: float = RATE) -> None:
+    """Learn ``net`` from all of ``docs`` (rid, ids), in rounds."""
+    first = 0
+    for share in shares:
+        part = F.pmod(F.xxhash64("rid"), F.lit(sum(shares)))
+        own = docs.where((part >= first) & (part < first + share)).select("ids")
+        _round(own, net, rate)
+        first += share
+
+
+def _round(docs: DataFrame, net: Network, rate: float) -> None:
+    """Set ``net``'s weights to the mean of those that the tasks learn."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
+
+    def run(batches):
+        own, state, n = shared.value.copy(), {}, 0
+        for _, texts in held(batches):
+            line, last = np.concatenate(texts), np.zeros(sum(map(len, texts)), bool)
+            last[np.cumsum([len(t) for t in texts]) - 1] = True
+            own.learn(line, last, state, rate)
+            n += len(line)
+        if n:
+            flat = own.flat()
+            blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
+            yield pd.DataFrame({"lane": TaskContext.get().partitionId() // FAN, "block": range(len(blocks)), "n": n, "v": blocks})
+
+    def mean(key, x):
+        n = x["n"].to_numpy()
+        v = np.stack([np.frombuffer(b, np.float32) for b in x["v"]]).astype(np.float64)
+        return pd.DataFrame({"lane": [0], "block": [key[-1]], "n": [n.sum()], "v": [(n @ v / n.sum()).astype(np.float32).tobytes()]})
+
+    schema = "lane long, block long, n long, v binary"
+    got = docs.mapInPandas(run, schema).groupBy("lane", "block").applyInPandas(mean, schema)
+    got = got.groupBy("block").applyInPandas(mean, schema).select("block", "v").collect()  # the network's weights
+    if got:
+        net.set(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(got, key=lambda r: r["block"])]))
+    shared.unpersist()
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
-    docs = text_batches(docs).select("doc_id", "text")
+    docs = docs.select("doc_id", "text")
     table = cut(counts(docs))
     total, kinds = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = total + 0.1 * (kinds + 1)
@@ -216,39 +297,42 @@ def scored(docs: DataFrame) -> DataFrame:
     names = ([END] if END in common else []) + [w for w in names if w != END][: WORDS - 1]
     rest = (size - sum(common[w] + 0.1 for w in names)) / size
     words = {w: i for i, w in enumerate(sorted(names, key=lambda w: (-common[w], w)))}
-    unknown = len(words)
     net = Network(np.array([(common[w] + 0.1) / size for w in words] + [rest]))
-    ids_of = lambda t: np.fromiter((words.get(w, unknown) for w in tokens(t)), np.int64)
-    net.fit([ids_of(t) for t in _sample(docs, common.get(END, 0))], words.get(END, unknown))
     base = {w: float(np.log10((c + 0.1) / size)) for w, c in common.items()}
-    shared = spark.sparkContext.broadcast((net, words, base))  # bounded by COMMON and the network's size
+    shared = spark.sparkContext.broadcast((words, base))  # bounded by COMMON
 
     def run(batches):
-        net, words, base = shared.value
+        words, base = shared.value
         unknown = len(words)
-        for b in batches:
-            rows, texts = [], []
-            for rid, doc_id, held, text in zip(b["rid"], b["doc_id"], b["held_out"], b["text"]):
+        for b in slices(batches):
+            rows = []
+            for rid, doc_id, held_out, text in zip(b["rid"], b["doc_id"], b["held_out"], b["text"]):
                 own = tokens(text)
-                ids = np.fromiter((words.get(w, unknown) for w in own), np.int64, len(own))
+                ids = np.fromiter((words.get(w, unknown) for w in own), "<u2", len(own))
                 log = [base.get(w) for w in own]
                 rare = Counter(w for w, v in zip(own, log) if v is None)
                 log = np.array([0.0 if v is None else v for v in log])
-                n_rare = sum(rare.values())
-                rows.append((rid, doc_id, held, len(own), len(own) - n_rare, log.sum(), log[ids == unknown].sum() - (ids == unknown).sum() * np.log10(rest), list(rare), list(rare.values())))
-                texts.append(ids)
-            out = pd.DataFrame(rows, columns=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
-            out["score"] += net.score(texts) / np.log(10)
-            yield out
+                other = ids == unknown
+                rows.append((rid, doc_id, held_out, len(own), len(own) - sum(rare.values()), log.sum(), log[other].sum() - other.sum() * np.log10(rest), ids.tobytes(), list(rare), list(rare.values())))
+            yield pd.DataFrame(rows, columns=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "ids", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out().alias("held_out"), "text")
-    first = cut(marked.mapInPandas(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"))
+    schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    first = cut(marked.mapInPandas(run, f"{schema}, ids binary, rare array<binary>, times array<long>"))
+    fit(first.where(~F.col("held_out")), net)
+    learned = spark.sparkContext.broadcast(net)  # of fixed size
+
+    def add(batches):
+        for b, texts in held(batches):
+            yield b.assign(score=b["score"] + learned.value.score(texts) / np.log(10)).drop(columns="ids")
+
+    whole = first.drop("rare", "times").mapInPandas(add, schema)
     rare = first.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("token"), F.col("x.times").alias("k"))
     met = rare.join(table.where(F.col("c") * COMMON < total), "token", "left")
     log = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(size))
     part = met.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"), F.sum(log).alias("base"), F.sum(log).alias("score"))
-    whole = first.drop("rare", "times").unionByName(part, allowMissingColumns=True)
+    both = whole.unionByName(part, allowMissingColumns=True)
     one = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")]
-    sums = whole.groupBy("rid").agg(*one, *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
+    sums = both.groupBy("rid").agg(*one, *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
