@@ -7,7 +7,7 @@ from slotledger.llm.common import table
 
 
 def op1_quality_rules(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_html_extraction(spark, sf_dir):
