@@ -6,12 +6,15 @@ hosts, level 2 the unlisted ones that level 1 lets through, level 3 the listed o
 level 2 lets through, and so on until nothing is let through wrongly; over that universe
 the first level that says no then gives exact membership, and no join is needed.
 
-A level's bits are counted before they are gathered. Beyond ``MAX_BITS`` the cascade is
-not broadcast; the listing, which is small against the pages, is then joined by host.
+The universe is dealt by hash into shards of about ``KEYS`` hosts, each with a cascade of its own, built
+in one task and of bounded size; nothing of it passes the driver. A shard's levels travel to the tasks
+that read its pages, ahead of them; a shard with over ``ROWS`` pages, as of one host with a large share of
+all, is dealt over several tasks, each with a copy of the levels. It is the same at every size.
 
 Defined results: a null url or one without ``://`` has an empty host and path, which no
-rule fits and which is never listed, so it is allowed; repeated rows are judged alike;
-an empty table gives no rows and a cascade without levels, which lists nothing.
+rule fits and which is never listed, so it is allowed; urls of any length are read whole; repeated rows are judged alike;
+columns other than page_id and url are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slotledger.llm.common import LOWER, UPPER, ascii_lower, cut
 
@@ -28,7 +30,9 @@ from slotledger.llm.common import LOWER, UPPER, ascii_lower, cut
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BITS_PER_KEY = 10
 HASHES = 5
-MAX_BITS = 1 << 28
+KEYS = 1 << 18  # of a shard
+ROWS = 1 << 20  # pages that a task judges with one copy of a shard's levels
+LEVELS = 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,91 +50,105 @@ def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _hashes(key: str, level: int) -> list[Column]:
-    return [F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))]
+def _spots(h: np.ndarray, level: int, m: int) -> np.ndarray:
+    """The ``HASHES`` bits of each key, of which two 64-bit hashes are given, at a level of ``m`` bits."""
+    x = h + np.array([2 * level + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # each level mixes anew
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    i = np.arange(HASHES, dtype=np.uint64)
+    return (x[:, :1] + i * (x[:, 1:] | np.uint64(1))) % np.uint64(m)
 
 
-def _bits(keys: DataFrame, key: str, level: int, m: int) -> np.ndarray:
-    """The level's bit array as 64-bit words; at most m / 64 rows reach the driver."""
-    a, b = (F.pmod(h, F.lit(m)) for h in _hashes(key, level))
-    spots = keys.select(F.explode(F.array(*[F.pmod(a + i * b, F.lit(m)) for i in range(HASHES)])).alias("p"))
-    words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
-    out = np.zeros(m // 64, np.int64)
-    for w, v in words.collect():
-        out[w] = v
-    return out.view(np.uint64)
+def _holds(bits: np.ndarray, h: np.ndarray, level: int) -> np.ndarray:
+    at = _spots(h, level, 8 * len(bits))
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(1)
 
 
-def _holds(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    m = 64 * len(words)
-    a, b, out = a % m, b % m, np.ones(len(a), bool)
-    for i in range(HASHES):
-        p = (a + i * b) % m
-        out &= (words[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-    return out
+def build(h: np.ndarray, listed: np.ndarray, bits_per_key: int = BITS_PER_KEY) -> list[bytes]:
+    """The levels over keys with hashes ``h`` (keys x 2, unsigned)."""
+    inside, outside, levels = h[listed], h[~listed], []
+    while len(inside):
+        if len(levels) == LEVELS:
+            raise RuntimeError("a listed key and another have the same hashes")
+        m = 8 * -(-len(inside) * bits_per_key // 8)
+        bits = np.zeros(m, np.uint8)
+        bits[_spots(inside, len(levels), m).ravel()] = 1
+        bits = np.packbits(bits, bitorder="little")
+        inside, outside = outside[_holds(bits, outside, len(levels))], inside
+        levels.append(bits.tobytes())
+    return levels
 
 
-def _passes(words):
-    @F.pandas_udf(T.BooleanType())
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_holds(words.value, a.to_numpy(), b.to_numpy()))
+def walk(levels: list[bytes], h: np.ndarray) -> np.ndarray:
+    """Whether each key of the universe is listed: the parity of the first level that says no."""
+    open_, listed = np.arange(len(h)), np.zeros(len(h), bool)
+    for i, raw in enumerate(levels):
+        open_ = open_[_holds(np.frombuffer(raw, np.uint8), h[open_], i)]
+        listed[open_] = i % 2 == 0
+    return listed
 
-    return check
 
+def _unsigned(x: pd.DataFrame) -> np.ndarray:
+    return x[["_h1", "_h2"]].to_numpy(np.int64).view(np.uint64)
 
-def member(levels, key: str = "host") -> Column:
-    """Whether a key of the universe is listed. ``levels``: the cascade, as a Spark broadcast."""
-    n = len(levels.value)
 
-    @F.pandas_udf(T.BooleanType())
-    def walk(hashes: pd.Series) -> pd.Series:
-        if not len(hashes):
-            return pd.Series([], dtype=bool)
-        h = np.stack(hashes.to_numpy())
-        open_, listed = np.ones(len(h), bool), np.zeros(len(h), bool)
-        for i, words in enumerate(levels.value):
-            open_ &= _holds(words, h[:, 2 * i], h[:, 2 * i + 1])
-            listed[open_] = i % 2 == 0
-        return pd.Series(listed)
+def _hashed(df: DataFrame, shards: int) -> DataFrame:
+    h1, h2 = F.xxhash64("host", F.lit(1)), F.xxhash64("host", F.lit(2))
+    return df.select("*", h1.alias("_h1"), h2.alias("_h2"), F.pmod(F.xxhash64("host", F.lit(3)), F.lit(shards)).alias("_shard"))
 
-    if not n:
-        return F.lit(False)
-    return walk(F.array(*[h for i in range(n) for h in _hashes(key, i)]))
 
+def cascades(keys: DataFrame, shards: int) -> DataFrame:
+    """_shard and levels (array<binary>) over ``keys`` (distinct host, listed boolean)."""
 
-def cascade(keys: DataFrame, key: str = "host", max_bits: int = MAX_BITS, bits_per_key: int = BITS_PER_KEY):
-    """Levels over ``keys`` (distinct key, listed boolean) as a broadcast, or None where they would pass ``max_bits``."""
-    spark = keys.sparkSession
-    inside, outside, levels, total = keys.where("listed"), keys.where("not listed"), [], 0
-    while n := inside.count():
-        m = 64 * -(-n * bits_per_key // 64)
-        total += m
-        if total > max_bits:
-            return None
-        words = _bits(inside, key, len(levels), m)
-        through = _passes(spark.sparkContext.broadcast(words))(*_hashes(key, len(levels)))
-        levels.append(words)
-        inside, outside = cut(outside.where(through)), inside
-    return spark.sparkContext.broadcast(levels)
+    def run(key, x):
+        return pd.DataFrame({"_shard": [key[0]], "levels": [build(_unsigned(x), x["listed"].to_numpy(bool))]})
 
+    return _hashed(keys, shards).select("_shard", "_h1", "_h2", "listed").groupBy("_shard").applyInPandas(run, "_shard long, levels array<binary>")
 
-def judge(pages: DataFrame, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
+
+def member(rows: DataFrame, keys: DataFrame, per_shard: int = KEYS, per_task: int = ROWS) -> DataFrame:
+    """``rows`` with whether each one's host is listed; ``keys`` holds every host of them."""
+    shards = max(1, -(-keys.count() // per_shard))
+    x = _hashed(rows, shards)
+    copies = F.ceil(F.count("*") / per_task).cast("long")
+    n = dict(x.groupBy("_shard").agg(copies.alias("n")).where("n > 1").collect())  # at most a row for each shard and each per_task rows
+    many = F.coalesce(F.try_element_at(F.lit([n.get(i, 1) for i in range(shards)]), (F.col("_shard") + 1).cast("int")), F.lit(1)) if n else F.lit(1)
+    x = x.select("*", F.pmod(F.monotonically_increasing_id(), many.cast("long")).alias("_part"), F.lit(None).cast("array<binary>").alias("levels"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("_h1", "_h2")]  # nulls would turn the hashes into floats
+    sent = cascades(keys, shards).select("_shard", "levels", *none, F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)).alias("_part"))
+    both = x.unionByName(sent, allowMissingColumns=True)
+    names = rows.columns
+
+    def run(batches):
+        own: list[bytes] = []
+        for b in batches:
+            head = np.flatnonzero(b["levels"].notna())  # the levels of a shard come before its rows
+            edges = np.unique(np.concatenate([[0], head, [len(b)]]))
+            for a, z in zip(edges, edges[1:]):
+                part = b.iloc[a:z]
+                if part["levels"].iloc[0] is not None:
+                    own, part = [bytes(v) for v in part["levels"].iloc[0]], part.iloc[1:]
+                if len(part):
+                    yield part[names].assign(listed=walk(own, _unsigned(part)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = both.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", F.col("levels").isNull())
+    return dealt.mapInPandas(run, f"{schema}, listed boolean")
+
+
+def judge(pages: DataFrame, rules=RULES, per_shard: int = KEYS, per_task: int = ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict of each row."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    kind = pages.schema["page_id"].dataType
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), host.alias("host"), path.alias("path"))  # pandas would make floats of numbers and nulls
     rows = rows.select("page_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path")])
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
     share = F.count_if(F.col("ruled").eqNullSafe("block")) * 2 >= F.count("*")
     keys = cut(rows.groupBy("host").agg(share.alias("listed")).select("host", (F.col("listed") & (F.col("host") != "")).alias("listed")))
-    levels = cascade(keys, max_bits=max_bits)
-    if levels is None:
-        rows = rows.join(keys.where("listed").select("host", "listed"), "host", "left")
-        listed = F.coalesce("listed", F.lit(False))
-    else:
-        listed = member(levels)
-    rows = rows.select("page_id", "host", "path", "rule", "ruled", listed.alias("listed"))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    found = member(rows, keys, per_shard, per_task)
+    return found.select(F.col("page_id").cast(kind).alias("page_id"), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 ORACLE = f"""
