@@ -1,15 +1,19 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 Documents become ids and an end id. Whole windows are cut off a document's start; what
-is left is cut into parts of at most ``part`` tokens. Parts are dealt by hash into groups
+is left is cut into parts of at most ``part`` tokens. Pieces, whole windows among them, are dealt at random into groups
 of bounded size, and within a group the differencing method gives windows of nearly equal
-sums: it keeps partial partitions of the parts over all windows, takes the two with
+sums: it keeps partial partitions of the pieces over all windows, takes the two with
 the largest spread and joins the large sums of one with the small sums of the other. If a
 window exceeds the capacity, one more window is allowed and the method runs again.
 
+The tokenizer takes the strings of its special tokens, such as ``<|endoftext|>``, for ordinary text, as the
+vocabularies' own description sets it, so that no text can forge an end.
+
 Defined results: a null or empty text is the end id alone; an empty table gives no rows;
-repeated rows, also of one doc_id, are packed each for itself; a long document's windows
-are dealt over many groups.
+repeated rows, also of one doc_id or none, are packed each for itself and dealt over all groups; a text of any
+length is encoded whole, and a long document's windows
+are dealt over many groups; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from slotledger.llm.common import cut, text_batches
+from slotledger.llm.common import cut, slices
 
 MODEL = "word_bpe_49k.json"
 END = np.array([1], "<u4").tobytes()
@@ -86,7 +90,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, part:
     path = path or public_tokenizers.path(MODEL)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             texts, ids = b["text"].fillna("").tolist(), b["doc_id"].tolist()
             for k in range(0, len(texts), 256):
@@ -96,7 +100,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, part:
                     rows += [(d, i, m, zlib.crc32(got[4 * i : 4 * (i + m)]), n) for i, m in spans(n, length, part)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return text_batches(docs).select("doc_id", "text").mapInPandas(run, PIECES.format(docs.schema["doc_id"].dataType.simpleString()))
+    return docs.select("doc_id", "text").mapInPandas(run, PIECES.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -140,7 +144,7 @@ def windows(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
         out = differencing(sizes, k)
         if max((sum(sizes[i] for i in x) for x in out), default=0) <= length:
             return [x for x in out if x]
-        k += max(1, k // 64)
+        k += 1
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, part: int = PART) -> DataFrame:
@@ -152,18 +156,13 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, part: i
 
     def run(key, x):
         x = x.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
-        full = x["length"] == length
-        rest = np.flatnonzero(~full)
         sizes = x["length"].to_numpy()
         sequence, offset = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        n = 0
-        for own in windows(sizes[rest].tolist(), length) if len(rest) else []:
-            at = rest[sorted(own)]
-            sequence[at], offset[at] = n, np.cumsum(sizes[at]) - sizes[at]
-            n += 1
-        sequence[full] = n + np.arange(full.sum())
+        for n, own in enumerate(windows(sizes.tolist(), length)):
+            sequence[own], offset[own] = n, np.cumsum(sizes[own]) - sizes[own]
         return x[names].assign(sequence_id=int(key[0]) * (1 << 32) + sequence, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in got.schema) + ", sequence_id long, offset long"
-    dealt = got.withColumn("_g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # ``got`` is read from files, so that a row has the same number in each attempt
+    dealt = got.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_g").applyInPandas(run, schema)
