@@ -2,22 +2,29 @@
 
 A turn is ``<s>``, its content and ``</s>`` with a line end; ``<s:1>`` opens a turn whose
 text is escaped. Content is ``[INST]text[/INST]`` for a user, the bare text for an
-assistant and ``<<role>>text`` for any other role. The parser splits at turn ends
-and reads the opening signs. Each turn is first rendered as it is and parsed again; if role
-or text come back changed, or the text holds a control string, it is rendered escaped
-(``%``, ``<`` and ``[`` as ``%25``, ``%3C``, ``%5B``), which no control string survives.
+assistant and ``<<role>>text`` for any other role. By the grammar a text holds no control string, and an
+escaped one no ``<`` or ``[``; the parser splits at turn ends, reads the opening signs, and has no
+turn for what breaks the grammar.
+
+Each turn is rendered at the first level of escaping at which it is parsed to the same role and text:
+as it is, then escaped (``%``, ``<`` and ``[`` as ``%25``, ``%3C``, ``%5B``). The joined
+conversation is parsed again and compared with its source; if turns differ, all of them
+are escaped, and parsed once more. What still differs is an error, never an output.
 
 Defined results: a null text or role is empty; turns are ordered by turn, then role, then
 text, so ties and repeated rows have one order; a null conv_id is a conversation of its
-own; an empty table has no conversations. A conversation is one output value, so its turns
-meet in one row, and nothing else does.
+own; an empty table has no conversations; columns other than conv_id, turn, role and text are ignored, whatever
+their names. A conversation is one output value, so its turns
+meet in one row, and nothing else does; within it work grows with its length, times the logarithm of its turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotledger.llm.common import running
+
 RAW, ESCAPED, END = "<s>", "<s:1>", "</s>\n"
 CONTROL = r"</?s>|<s:1>|\[/?INST\]|<<|>>"
 END_PATTERN = "</s>\n"
@@ -50,38 +57,52 @@ def render(role: Column, text: Column, escaped: Column) -> Column:
 
 
 def _turn(piece: Column) -> Column:
-    """Role and text of what stands before a turn's end."""
-    escaped = piece.startswith(ESCAPED)
+    """Role and text of what stands before a turn's end; null if it is no turn."""
+    escaped, raw = piece.startswith(ESCAPED), piece.startswith(RAW)
     rest = F.when(escaped, piece.substr(F.lit(len(ESCAPED) + 1), F.length(piece))).otherwise(piece.substr(F.lit(len(RAW) + 1), F.length(piece)))
     user = rest.startswith("[INST]") & rest.endswith("[/INST]")
     other = rest.startswith("<<")
     named = F.substring_index(rest, ">>", 1)
     role = F.when(user, "user").when(other, unescape(F.replace(named.substr(F.lit(3), F.length(named)), F.lit("%3E"), F.lit(">")))).otherwise("assistant")
     text = F.when(user, rest.substr(F.lit(7), F.length(rest) - 13)).when(other, rest.substr(F.length(named) + 3, F.length(rest))).otherwise(rest)
-    return F.struct(role.alias("role"), F.when(escaped, unescape(text)).otherwise(text).alias("text"))
+    broken = F.when(escaped, text.rlike(r"[<\[]")).otherwise(text.rlike(CONTROL))
+    return F.when((escaped | raw) & ~broken, F.struct(role.alias("role"), F.when(escaped, unescape(text)).otherwise(text).alias("text")))
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array<struct<role, text>>."""
+    """The turns of a formatted conversation: array<struct<role, text>>; null in place of what is no turn."""
     pieces = F.split(formatted, END_PATTERN)
     return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), _turn)
 
 
+def _comes_back(out: Column, turns: Column) -> Column:
+    return F.coalesce((F.size(parse(out)) == F.size(turns)) & ~F.exists(F.arrays_zip(parse(out).alias("a"), turns.alias("b")), lambda x: ~x["a"].eqNullSafe(x["b"])), F.lit(False))
+
+
 def formatted(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted, and loss_spans: where assistants' texts stand (code points, end exclusive) and whether escaped."""
     none = F.lit("")
     t = conversations.select("conv_id", "turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"))
-    trial = parse(render(F.col("role"), F.col("text"), F.lit(False)))
-    same = (F.size(trial) == 1) & (F.try_element_at(trial, F.lit(1)) == F.struct("role", "text"))
-    t = t.withColumn("escaped", F.col("text").rlike(CONTROL) | ~F.coalesce(same, F.lit(False)))
-    t = t.withColumn("out", render(F.col("role"), F.col("text"), F.col("escaped")))
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("at", F.coalesce(F.sum(F.length("out")).over(before), F.lit(0)))
-    start = F.col("at") + F.length(head(F.col("role"), F.col("escaped")))
-    stop = F.col("at") + F.length("out") - F.length(tail(F.col("role")))
-    t = t.withColumn("span", F.when(F.col("role") == "assistant", F.struct(start.alias("start"), stop.alias("end"), "escaped")))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "turn", "role", "text", "out", "span"))).alias("t"))
-    return g.select("conv_id", F.array_join(F.transform("t", lambda x: x["out"]), "").alias("formatted"), F.array_compact(F.transform("t", lambda x: x["span"])).alias("loss_spans"))
+    own = F.array(F.struct("role", "text"))
+    plain, marked = (render(F.col("role"), F.col("text"), F.lit(e)) for e in (False, True))
+    t = t.withColumn("escaped", ~_comes_back(plain, own))
+    t = t.withColumn("out", F.when(~F.col("escaped"), plain).when(_comes_back(marked, own), marked).otherwise(F.raise_error(F.lit("a turn is not parsed to its source"))))
+    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "escaped", "out"))).alias("t"))
+    source = F.transform("t", lambda x: F.struct(x["role"], x["text"]))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["out"]), "")
+    again = F.transform("t", lambda x: F.struct(x["turn"], x["role"], x["text"], F.lit(True).alias("escaped"), render(x["role"], x["text"], F.lit(True)).alias("out")))
+    g = g.select("conv_id", source.alias("source"), F.when(_comes_back(joined("t"), source), F.col("t")).otherwise(again).alias("t"))
+    g = g.withColumn("formatted", joined("t"))
+    ends = running(F.transform("t", lambda x: F.length(x["out"])), lambda a, b: a + b)
+    spans = F.transform(F.arrays_zip(F.col("t").alias("t"), ends.alias("end")), _loss)
+    whole = F.when(_comes_back(F.col("formatted"), F.col("source")), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not parsed to its source")))
+    return g.select("conv_id", whole.alias("formatted"), F.array_compact(spans).alias("loss_spans"))
+
+
+def _loss(x: Column) -> Column:
+    t, end = x["t"], x["end"]
+    start, stop = end - F.length(t["out"]) + F.length(head(t["role"], t["escaped"])), end - F.length(tail(t["role"]))
+    return F.when(t["role"] == "assistant", F.struct(start.alias("start"), stop.alias("end"), t["escaped"].alias("escaped")))
 
 
 def with_conflict(spark: SparkSession, conversations: DataFrame) -> DataFrame:
