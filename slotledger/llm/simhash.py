@@ -1,7 +1,8 @@
 """SimHash near-duplicates, linked through sharded BK-trees.
 
-Fingerprints that differ in at most ``radius`` bits agree on one of radius + 1 blocks of
-bits, so a fingerprint goes to one shard for each block's value, and every link has both
+Of ``BLOCKS`` blocks of bits, two fingerprints that differ in at most ``radius`` bits agree on
+at least BLOCKS - radius; so a fingerprint goes to one shard for each choice of that many
+blocks and their values (pairs of blocks of 13 bits: 2^26 shards for each of ten choices), and every link has both
 ends in some shard. A shard is held by one task as a BK-tree (children keyed by Hamming
 distance to the parent); a search follows the edges within the radius, skips subtrees
 whose nodes were all reached, and gives the shard's components as stars. A shard with
@@ -13,26 +14,29 @@ Trees are shuffled to tasks instead of broadcast: fingerprints grow with the cor
 no bound holds for a broadcast of all of them.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a text
-of one or two words is one shingle; equal fingerprints are one node, however many rows
-bear them; component_id is the smallest doc_id that is not null; an empty table gives no rows.
+of one or two words is one shingle; a text of any length is read whole, in slabs of shingles; equal fingerprints are one node, however many rows
+bear them; component_id is the smallest doc_id that is not null, and null where there is none; an empty table gives no rows;
+columns other than doc_id and text are left alone, whatever their names. Of a group's rows
+``one_of_each`` keeps the one with the smallest doc_id that is not null (ties: by a hash of its text), so a row
+without doc_id stays if nothing else is like it, and rows that share a doc_id are judged each by its text.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotledger.llm.common import cut, text_batches
+from slotledger.llm.common import cut, drop
 
 SHINGLE = 3
 SEED = 42
-RADIUS = 3
+RADIUS, BLOCKS = 3, 5
 MOST = 1000
 SLAB = 1 << 15
 
@@ -126,11 +130,13 @@ def stars(keys: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def links(keys: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+def links(keys: DataFrame, radius: int = RADIUS, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
     """(u, v): stars of each shard's components over distinct fingerprints ``keys`` (fp)."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    blocks = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("v")) for i, (a, z) in enumerate(zip(edges, edges[1:]))]
-    placed = keys.select("fp", F.explode(F.array(*blocks)).alias("s")).select("fp", "s.b", "s.v")
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    bits = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1)) for a, z in zip(edges, edges[1:])]
+    sets = list(combinations(range(blocks), max(1, blocks - radius)))
+    values = [sum((F.shiftleft(bits[i], 32 * n // len(own)) for n, i in enumerate(own[1:], 1)), bits[own[0]]) for own in sets]
+    placed = keys.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in enumerate(values)])).alias("s")).select("fp", "s.b", "s.v")
     hot = placed.groupBy("b", "v").agg(F.count("*").alias("n")).where(F.col("n") > most)
     parts = F.ceil(F.coalesce("n", F.lit(1)) / most).cast("int")
     x = placed.join(hot, ["b", "v"], "left").select("fp", "b", "v", parts.alias("k"))
@@ -178,27 +184,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        old, now = now, cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        drop(old)
     raise RuntimeError("components did not settle")
 
 
+def _named(docs: DataFrame, radius: int, most: int) -> DataFrame:
+    """doc_id, text_hash, fp and component (its root fingerprint) of each row."""
+    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), simhash("text").alias("fp")))
+    nodes = cut(prints.select("fp").distinct())
+    roots = components(links(nodes, radius, most))
+    named = cut(nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component")))
+    drop(nodes)
+    drop(roots)
+    return prints.join(named, "fp")
+
+
 def linked(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint and component_id of each row."""
-    prints = cut(text_batches(docs).select("doc_id", simhash("text").alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(nodes.select("fp"), radius, most))
-    named = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = cut(named.join(first, "root").select("fp", "component_id"))
-    out = prints.join(known, "fp")
+    x = _named(docs, radius, most)
+    first = x.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = x.join(first, "component")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the smallest doc_id of each component; of rows that share it, one; rows without doc_id go."""
-    keep = linked(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order = Window.partitionBy("row.doc_id").orderBy(F.col("row.text"))
-    x = docs.join(keep, "doc_id", "left_semi").select(F.struct("*").alias("row"))
-    x = x.select("row", F.row_number().over(order).alias("n")).where("n = 1")
+def one_of_each(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """One row of ``docs`` of each component."""
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k_id"), F.col("doc_id").isNull().alias("k_null")]
+    rows = docs.select(F.struct("*").alias("row"), *key, F.xxhash64("text").alias("k_hash"))
+    # rows that share doc_id and text: one of them, before they are shuffled
+    rows = rows.groupBy("k_id", "k_null", "k_hash").agg(F.first("row").alias("row"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    keep = _named(docs, radius, most).groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("k_hash")).select(*key, "k_hash")
+    x = rows.join(keep, ["k_id", "k_null", "k_hash"], "left_semi")
     return x.select(*[F.col("row")[c].alias(c) for c in docs.columns])
