@@ -9,12 +9,13 @@ exactly, then every other one whose lookup score lies within that error of the `
 score; so no neighbour is lost to the codes, and the shard's best ``k`` go on.
 
 Queries and rows meet in blocks: (query block, row shard), both of bounded size. The
-product of blocks is the search of a stated query set against all rows.
+product of blocks is the search of a stated query set against all rows. A row travels as its code, its stored
+length and the bytes of its vector, in single precision where that is what it holds, once for each ``BLOCK`` queries.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite
 components, take no part; nor do those whose length is not the commonest. Equal vectors
 are scored once a shard and tie by vec_id; of repeated rows with one vec_id each may be a
-candidate. An empty table gives no rows.
+candidate. Columns other than vec_id and embedding are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 BOOKS, WORDS, BEAM, SAMPLE, RERANK = 8, 64, 4, 10_000, 400
 EVERY, TOP = 20, 20
-SHARD, BLOCK = 8192, 512
+SHARD, BLOCK = 8192, 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -118,20 +119,23 @@ def search(vectors: DataFrame, k: int = TOP, every: int = EVERY, sample: int = S
     def codes(batches):
         for b in batches:
             if len(b):
-                c, error = encode(np.stack(b["vector"].to_numpy()), shared.value)
-                yield b.assign(code=[r.tobytes() for r in c], error=error)
+                v = np.stack(b["vector"].to_numpy())
+                c, error = encode(v, shared.value)
+                small = v.astype(np.float32)
+                v = small if (small == v).all() else v
+                yield pd.DataFrame({"vec_id": b["vec_id"], "raw": [r.tobytes() for r in v], "code": [r.tobytes() for r in c], "error": error})
 
-    coded = x.mapInPandas(codes, "vec_id long, vector array<double>, code binary, error double")
+    coded = x.mapInPandas(codes, "vec_id long, raw binary, code binary, error double")
     shards, queries = -(-n // shard), x.where(F.col("vec_id") % every == 0)
     blocks = -(-n // every // block) + 1
     left = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), F.explode(F.expr(f"sequence(0L, {max(shards, 1) - 1}L)")).alias("s"))
-    right = coded.select("vec_id", "vector", "code", "error", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(shards, 1))).alias("s"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"))
+    right = coded.select("vec_id", "raw", "code", "error", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(shards, 1))).alias("s"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"))
 
     def meet(q, r):
         if not len(q) or not len(r):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         code = np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1)
-        return _search(q["vec_id"].to_numpy(), np.stack(q["vector"].to_numpy()), r["vec_id"].to_numpy(), np.stack(r["vector"].to_numpy()), code, r["error"].to_numpy(), shared.value, k, rerank)
+        return _search(q["vec_id"].to_numpy(), np.stack(q["vector"].to_numpy()), r["vec_id"].to_numpy(), np.stack([np.frombuffer(v, f"f{len(v) // d}") for v in r["raw"]]).astype(float), code, r["error"].to_numpy(), shared.value, k, rerank)
 
     found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)
