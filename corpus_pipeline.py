@@ -7,16 +7,16 @@ of documents; the last returns the packed pieces.
 from __future__ import annotations
 
 from slotledger.llm import packing, quality, secrets, simhash
-from slotledger.llm.common import cut
+from slotledger.llm.common import cut, drop
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules reject go; their bands are fitted to the labels."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """One document of each group of near copies stays: that of the smallest doc_id."""
+    """One document of each group of near copies stays: that of the smallest doc_id. Documents without doc_id are judged by their text."""
     return simhash.one_of_each(docs)
 
 
@@ -36,7 +36,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The packed pieces of ``documents`` after all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if before:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
