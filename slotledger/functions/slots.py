@@ -5,50 +5,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Relations and the values that guarded attributes may take.
-RELATIONS = "friend sister brother manager advisor teammate cousin neighbor colleague roommate".split()
-COMPANIES = "Tencent Alibaba ByteDance Huawei Baidu JD Meituan Xiaomi Google Microsoft Apple".split()
-LANGUAGES = "Python Java Rust Go Kotlin Swift TypeScript".split()
-#: Attribute, pattern of its value; the first that matches wins.
-PATTERNS = (
-    ("location", r"(?:lives in|moved to|relocated to|settled in) ([A-Za-z ]+)"),
-    ("company", r"(?:works at|joined|now works for) (?!project\b)([A-Za-z]+)"),
-    ("language", r"(?:codes in|switched to|programs in) ([A-Za-z]+)"),
-    ("preference", r"(?:prefers|likes|favorite drink is) ([A-Za-z ]+)"),
-    ("timezone", r"timezone is ([A-Za-z0-9+:-]+)"),
-    ("hobby", r"hobby is ([A-Za-z ]+)"),
-    ("instrument", r"instrument is ([A-Za-z ]+)"),
-    ("project", r"works on project ([A-Za-z ]+)"),
+from slotledger.functions.text import strip
+
+#: Relations, names that are known from the start, and the values that guarded attributes may take.
+RELATIONS = "friend sister brother mentor coworker manager advisor teammate neighbor cousin".split()
+ALIASES = {"alex": "friend_alex", "alice": "coworker_alice", "bob": "friend_bob", "lily": "sister_lily", "chen": "mentor_chen"}
+COMPANIES = "google microsoft alibaba bytedance huawei tencent baidu jd netease meituan pinduoduo".split()
+COMPANY_MARKERS = "work works employed switching switched joined".split()
+LANGUAGES = "python java rust go typescript kotlin scala".split()
+LANGUAGE_MARKERS = "code codes language switched prefer".split()
+#: Attributes in the order in which they are tried, and the phrases before a value. {} is the value, which ends at a dot.
+PHRASES = (
+    ("location", ("(?:live|lives) in {}", "(?:is based|relocated|moved|settled) in {}", r"(?:moving|moved|relocated|settled) to (?!project\b){}")),
+    ("company", ("(?:work|works) at {}", "is employed at {}", "(?:switching|switched) to {}", "joined {}")),
+    ("language", ("programming language is {}", "(?:prefer|prefers) {}", "(?:switched to|now codes in) {}")),
+    ("preference", ("(?:prefer|prefers) {}", "started preferring {}", "now prefers {}")),
+    ("timezone", ("timezone is {}", "uses {} time", "switched timezone to {}")),
+    ("hobby", ("hobby is {}", "took up {}", "now practices {}")),
+    ("instrument", ("instrument is {}", "plays {}", "switched instrument to {}")),
+    ("project", ("project is {}", "works on project {}", "moved to project {}", "now works on project {}")),
+    ("relation", ("(?:is|became) my {}",)),
 )
 
 
-def attribute_and_value(text: Column) -> Column:
-    """struct<attribute, value>, or null if no pattern fits."""
+def _value(text: Column, phrases: tuple[str, ...]) -> Column:
+    """What follows the first phrase, by their order, that the text holds; empty without one."""
+    out = F.lit("")
+    for phrase in reversed(phrases):
+        pattern = "(?i)" + phrase.replace("{}", "([^.]+)")
+        out = F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1))).otherwise(out)
+    return out
+
+
+def attribute_and_value(text: Column, entity: Column) -> Column:
+    """struct<attribute, value> of the first attribute that fits, or null.
+
+    A company or language must be a known one, beside a word that belongs to it; the user has no relation to themselves.
+    """
+    low = F.lower(text)
+    near = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     out = F.lit(None).cast("struct<attribute: string, value: string>")
-    for name, pattern in reversed(PATTERNS):
-        value = F.regexp_replace(F.trim(F.regexp_extract(text, "(?i)" + pattern, 1)), r"\.+$", "")
+    for name, phrases in reversed(PHRASES):
+        value = _value(text, phrases)
         fits = value != ""
         if name == "company":
-            fits &= value.isin(COMPANIES)
+            fits &= near(COMPANY_MARKERS) & F.lower(value).isin(COMPANIES)
         if name == "language":
-            fits &= value.isin(LANGUAGES)
+            fits &= near(LANGUAGE_MARKERS) & F.lower(value).isin(LANGUAGES)
+        if name == "relation":
+            fits &= entity != "user"
         out = F.when(fits, F.struct(F.lit(name).alias("attribute"), value.alias("value"))).otherwise(out)
     return out
 
 
-def parse(events: DataFrame) -> DataFrame:
-    """episode_id, event_idx, text with entity, attribute, value; null where a sentence holds no fact.
+def resolve(events: DataFrame) -> DataFrame:
+    """``events`` (episode_id, event_idx, text) with the entity that each sentence is about.
 
-    ``my <relation> <Name>`` binds the name to the relation from that event on; a bare name
-    takes its latest binding in the episode.
+    ``my <relation> <name>`` binds the name from that event on. Else a mother is ``mother``; else the sentence is about the known name
+    in it that has been known longest, by its latest binding; else about the user.
     """
-    bound = rf"(?i)\bmy ({'|'.join(RELATIONS)}) ([A-Z][a-z]+)"
-    name = F.coalesce(F.nullif(F.regexp_extract("text", bound, 2), F.lit("")), F.nullif(F.regexp_extract("text", r"says: ([A-Z][a-z]+)\b", 1), F.lit("")))
-    relation = F.nullif(F.lower(F.regexp_extract("text", bound, 1)), F.lit(""))
-    x = events.select("episode_id", "event_idx", "text", F.lower(name).alias("name"), relation.alias("relation"), attribute_and_value(F.col("text")).alias("slot"))
-    last = Window.partitionBy("episode_id", "name").orderBy("event_idx").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.last("relation", ignorenulls=True).over(last)
-    entity = F.when(F.col("name").isNotNull() & known.isNotNull(), F.concat_ws("_", known, "name")).otherwise("user")
-    x = x.withColumn("entity", entity)
+    low = F.lower(strip(F.col("text")))
+    bound = rf"(?U)\bmy ({'|'.join(RELATIONS)}) ([a-z]+)\b"
+    name = F.nullif(F.regexp_extract(low, bound, 2), F.lit(""))
+    mother = F.contains(low, F.lit("my mother")) | F.contains(low, F.lit("user's mother"))
+    x = events.select("*", name.alias("name"), F.concat_ws("_", F.regexp_extract(low, bound, 1), name).alias("bound"), mother.alias("mother"))
+    sets = x.where("name is not null").select("episode_id", "event_idx", "name", "bound")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))))
+    met = x.where("name is null and not mother").select("episode_id", "event_idx", words.alias("name")).where(F.col("name").rlike("^[a-z]+$"))
+    w = Window.partitionBy("episode_id", "name").orderBy("event_idx").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.create_map(*[F.lit(v) for pair in ALIASES.items() for v in pair])
+    order = F.array_position(F.array(*map(F.lit, ALIASES)), F.col("name"))
+    both = sets.unionByName(met.withColumn("bound", F.lit(None).cast("string"))).select(
+        "episode_id",
+        "event_idx",
+        F.col("bound").isNull().alias("asks"),
+        F.coalesce(F.last("bound", ignorenulls=True).over(w), F.try_element_at(known, F.col("name"))).alias("entity"),
+        F.when(order > 0, order - 100).otherwise(F.min(F.when(F.col("bound").isNotNull(), F.col("event_idx"))).over(w)).alias("since"),
+    )
+    found = both.where("asks and entity is not null").groupBy("episode_id", "event_idx").agg(F.min_by("entity", "since").alias("found"))
+    x = x.join(found, ["episode_id", "event_idx"], "left")
+    entity = F.when(F.col("name").isNotNull(), F.col("bound")).when(F.col("mother"), "mother").otherwise(F.coalesce("found", F.lit("user")))
+    return x.select(*events.columns, entity.alias("entity"))
+
+
+def parse(events: DataFrame) -> DataFrame:
+    """episode_id, event_idx, text with entity, attribute, value; null where a sentence holds no fact."""
+    x = resolve(events.select("episode_id", "event_idx", "text"))
+    x = x.withColumn("slot", attribute_and_value(strip(F.col("text")), F.col("entity")))
     has = F.col("slot").isNotNull()
     return x.select("episode_id", "event_idx", "text", F.when(has, F.col("entity")).alias("entity"), F.col("slot.attribute").alias("attribute"), F.col("slot.value").alias("value"))
