@@ -32,7 +32,7 @@ def confident_top_k(scored: DataFrame, confidence: str, k: int) -> DataFrame:
     """3k by score, then k by the mean of score and confidence."""
     wide = top_k(scored, 3 * k).drop("rank")
     w = Window.partitionBy("query_id").orderBy(F.desc("mixed"), "entry_id")
-    mixed = F.round(0.5 * F.col(confidence) + 0.5 * F.col("score"), 6)
+    mixed = F.round(0.5 * F.col(confidence) + 0.5 * F.col("score"), 7)
     return wide.withColumn("mixed", mixed).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 

@@ -12,7 +12,7 @@ from slotledger.sources.facts import table
 TRACE = f"""WITH {VECTORS}, {SCORED}, own AS (SELECT vec_id AS query_id, label FROM embeddings), newest AS (SELECT episode_id, slot, max(event_idx) AS newest FROM vectors GROUP BY ALL),
 r AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, entry_id) AS rank FROM scored s),
 t AS (SELECT r.query_id, r.rank, r.entry_id, coalesce(r.slot = own.label AND r.event_idx = n.newest, false) AS gold, coalesce(r.slot = own.label AND r.event_idx <> n.newest, false) AS stale
-FROM r JOIN own USING (query_id) LEFT JOIN newest n ON n.episode_id = r.query_id % 5 AND n.slot = own.label WHERE rank <= 10)"""
+FROM r JOIN own USING (query_id) LEFT JOIN newest n ON n.episode_id = r.query_id // 100 AND n.slot = own.label WHERE rank <= 10)"""
 
 
 def trace(spark, sf, whole=False):
@@ -20,7 +20,7 @@ def trace(spark, sf, whole=False):
     own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     newest = vectors(spark, sf).groupBy(F.col("episode_id").alias("e"), F.col("slot").alias("label")).agg(F.max("event_idx").alias("newest"))
     best = every(spark, sf, 10) if whole else retrieval.top_k(scored(spark, sf), 10)
-    x = best.join(own, "query_id").withColumn("e", F.col("query_id") % 5).join(newest, ["e", "label"], "left")
+    x = best.join(own, "query_id").withColumn("e", F.floor(F.col("query_id") / 100)).join(newest, ["e", "label"], "left")
     same, new = F.col("slot") == F.col("label"), F.col("event_idx") == F.col("newest")
     no = F.lit(False)
     return x.select("query_id", "rank", "entry_id", F.coalesce(same & new, no).alias("gold"), F.coalesce(same & ~new, no).alias("stale"))

@@ -1,0 +1,278 @@
+"""Registered queries over generated splits: policies, result rows, reports and taxonomies, with closed-form SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotledger.functions import slots
+from slotledger.operators import runs
+from slotledger.plans.registry import query
+from slotledger.sources import generators
+from slotledger.sources.facts import events_of
+
+KS = generators.KS
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_POOLS = " ".join(f"WHEN '{a}' THEN {_list(generators.VALUES[a][:16])}" for a in list(generators.VALUES)[:4])
+#: The hard split from its rule: value number (i + step * stride + k) mod n of the attribute's pool, and what the policies leave of it.
+GRID = f"""g AS (SELECT i, k, ['location', 'company', 'preference', 'language'][i % 4 + 1] AS attribute, list_position([1, 2, 4, 8, 16], k) * 100 - 100 + i AS example_id
+    FROM range(100) r(i), (SELECT unnest([1, 2, 4, 8, 16]) AS k)),
+p AS (SELECT *, CASE attribute {_POOLS} END AS pool, CASE WHEN attribute = 'company' THEN 1 ELSE 3 END AS stride FROM g),
+v AS (SELECT *, list_transform(range(k), lambda s: pool[(i + s * stride + k) % len(pool) + 1]) AS vals FROM p),
+e AS (SELECT *, vals[k] AS answer, CAST(len(list_filter(vals, lambda x: x <> vals[k])) AS BIGINT) AS old, 3 * k - 1 + k // 3 AS n, least(k, 2) + k + k // 3 AS slots FROM v)"""
+ROWS = f"""WITH {GRID},
+r AS (SELECT mode, example_id, CAST(k AS BIGINT) AS k_updates, attribute, answer AS predicted, answer AS gold_answer,
+    CAST(CASE mode WHEN 'raw_add' THEN n WHEN 'constrained_slot_crud' THEN slots WHEN 'parsed_append' THEN 2 * k - 1 ELSE least(k, 2) END AS BIGINT) AS memory_size, n,
+    CAST(k AS BIGINT) AS target_slot_write_count, CASE WHEN mode IN ('raw_add', 'parsed_append') THEN CAST(k AS BIGINT) ELSE 1 END AS same_slot,
+    CASE WHEN mode IN ('raw_add', 'parsed_append') THEN old ELSE 0 END AS stale, CASE WHEN mode IN ('raw_add', 'parsed_append') THEN k - old ELSE 1 END AS gold,
+    CAST(CASE mode WHEN 'raw_add' THEN n WHEN 'constrained_slot_crud' THEN slots WHEN 'parsed_append' THEN 2 * k - 1 ELSE least(k, 2) END AS BIGINT) AS n_add,
+    CAST(CASE WHEN mode IN ('raw_add', 'parsed_append') THEN 0 ELSE 2 * k - 1 - least(k, 2) END AS BIGINT) AS n_update
+    FROM e, (SELECT unnest(['raw_add', 'constrained_slot_crud', 'parsed_append', 'parsed_slot_update']) AS mode)),
+rows AS (SELECT mode, example_id, k_updates, attribute, predicted, gold_answer, memory_size, round(memory_size / n, 6) AS write_amplification, target_slot_write_count, same_slot, stale, gold,
+    true AS gold_present_anywhere, stale > 0 AS stale_present, true AS state_resolved, true AS state_value_em, 1.0::DOUBLE AS em, 1.0::DOUBLE AS f1, true AS answer_value_present, n_add, n_update FROM r)"""
+_MEANS = ", ".join(f"round(avg(CAST({c} AS DOUBLE)), 6) AS {n}" for c, n in runs.MEANS.items())
+_SUMMARY = f"count(*) AS num_examples, {_MEANS}, CAST(sum(n_add) AS BIGINT) AS n_add, CAST(sum(n_update) AS BIGINT) AS n_update, min(example_id) AS start_idx, max(example_id) + 1 AS end_idx"
+SUMMARY = f"{ROWS}, summary AS (SELECT mode, k_updates, {_SUMMARY} FROM rows GROUP BY mode, k_updates)"
+
+
+def rows_of(spark, kind="update_frequency_hard", modes=runs.MODES, **shape):
+    """Result rows of all ``modes`` over a split."""
+    return runs.result_rows(generators.episodes(spark, kind, **shape), modes)
+
+
+def summaries(spark):
+    return runs.summary(rows_of(spark), "mode", "k_updates")
+
+
+@query(f"WITH {GRID} SELECT example_id AS episode_id, CAST(k AS INTEGER) AS k_updates, attribute, answer, CAST(n AS BIGINT) AS num_events, CAST(n - 1 - CASE WHEN (k - 1) % 3 = 2 THEN 1 ELSE 0 END AS BIGINT) AS latest_event_idx FROM e")
+def split_hard(spark, sf):
+    e = generators.episodes(spark, "update_frequency_hard")
+    return e.select("episode_id", "k_updates", "attribute", "answer", F.col("num_events").cast("long").alias("num_events"), "latest_event_idx")
+
+
+@query("SELECT k AS k_updates, 100 AS n, CAST(k + k - 1 + k // 2 + k // 3 AS DOUBLE) AS events, CAST(2 * k - 1 AS DOUBLE) AS facts FROM (SELECT unnest([1, 2, 4, 8, 16]) AS k)")
+def split_plain(spark, sf):
+    """Sentences and facts of the plain split, where later sentences name no relation."""
+    return _counts(spark, "update_frequency")
+
+
+@query("SELECT k AS k_updates, 100 AS n, CAST(3 * k - 1 + k // 4 AS DOUBLE) AS events, CAST(2 * k - 1 AS DOUBLE) AS facts FROM (SELECT unnest([1, 2, 4, 8, 16, 32]) AS k)")
+def split_expanded_k32(spark, sf):
+    return _counts(spark, "update_frequency_expanded", (*KS, 32))
+
+
+def _counts(spark, kind, ks=KS):
+    e = generators.episodes(spark, kind, ks=ks)
+    x = runs.actions(e).groupBy("episode_id").agg(F.count("*").alias("events"), F.count("entity").alias("facts"))
+    return x.join(e.select("episode_id", "k_updates"), "episode_id").groupBy("k_updates").agg(F.count("*").alias("n"), F.avg("events").alias("events"), F.avg("facts").alias("facts"))
+
+
+@query(ROWS + " SELECT * FROM rows")
+def split_result_rows(spark, sf):
+    return rows_of(spark)
+
+
+@query(SUMMARY + " SELECT * FROM summary")
+def run_summary(spark, sf):
+    return summaries(spark)
+
+
+@query("SELECT * FROM (VALUES (1, 2.0, 0.0), (2, 5.0, 1.0), (4, 12.0, 3.0), (8, 25.0, 6.75), (16, 52.0, 14.25)) AS t(k_updates, memory_size, stale)")
+def baseline_raw_add(spark, sf):
+    """The published sizes and stale counts of plain appending."""
+    return _published(spark, "raw_add")
+
+
+@query("SELECT * FROM (VALUES (1, 2.0, 0.0), (2, 4.0, 0.0), (4, 7.0, 0.0), (8, 12.0, 0.0), (16, 23.0, 0.0)) AS t(k_updates, memory_size, stale)")
+def baseline_constrained(spark, sf):
+    return _published(spark, "constrained_slot_crud")
+
+
+@query("SELECT * FROM (VALUES (16, 31.0, 14.25, 2.0, 0.0)) AS t(k_updates, append_size, append_stale, update_size, update_stale)")
+def baseline_parsed_only(spark, sf):
+    x = rows_of(spark, modes=("parsed_append", "parsed_slot_update"), ks=(16,)).groupBy(F.col("k_updates").cast("int").alias("k_updates"))
+    of = lambda c, m: F.avg(F.when(F.col("mode") == m, F.col(c)))
+    a, u = "parsed_append", "parsed_slot_update"
+    return x.agg(of("memory_size", a).alias("append_size"), of("stale", a).alias("append_stale"), of("memory_size", u).alias("update_size"), of("stale", u).alias("update_stale"))
+
+
+@query("SELECT * FROM (VALUES (16, 51.0, 14.125), (32, 103.0, 28.5)) AS t(k_updates, memory_size, stale)")
+def baseline_expanded(spark, sf):
+    """The published sizes and stale counts of the wide split's development part, 200 episodes for each k (14.125 is published as 14.12)."""
+    return _published(spark, "raw_add", "update_frequency_expanded", split="dev", per_k=200, ks=(16, 32))
+
+
+def _published(spark, mode, kind="update_frequency_hard", **shape):
+    x = rows_of(spark, kind, (mode,), **shape).groupBy(F.col("k_updates").cast("int").alias("k_updates"))
+    return x.agg(F.avg("memory_size").alias("memory_size"), F.avg("stale").alias("stale"))
+
+
+def _pivot(value: str) -> str:
+    return ", ".join(f"max({value}) FILTER (k_updates = {k}) AS k{k}" for k in KS)
+
+
+@query(f"{SUMMARY} SELECT mode, {_pivot('stale_same_slot_entry_count_avg')} FROM summary GROUP BY mode")
+def stale_matrix(spark, sf):
+    return runs.matrix(summaries(spark), "stale_same_slot_entry_count_avg", KS)
+
+
+@query(f"{SUMMARY} SELECT mode, {_pivot('final_memory_size_avg')} FROM summary GROUP BY mode")
+def size_matrix(spark, sf):
+    return runs.matrix(summaries(spark), "final_memory_size_avg", KS)
+
+
+@query(f"""{SUMMARY} SELECT mode, list_position(['raw_add', 'constrained_slot_crud'], mode) AS place, state_accuracy, stale_same_slot_entry_count_avg AS stale, final_memory_size_avg AS size, write_amplification_avg AS amplification
+FROM summary WHERE k_updates = 16 AND mode IN ('raw_add', 'constrained_slot_crud')""")
+def k16_thesis_table(spark, sf):
+    """The policies at the most updates, in the report's own order (unknown ones last)."""
+    order = F.array(F.lit("raw_add"), F.lit("constrained_slot_crud"))
+    x = summaries(spark).where((F.col("k_updates") == 16) & F.array_contains(order, F.col("mode")))
+    place = F.array_position(order, F.col("mode"))
+    return x.select("mode", place.alias("place"), "state_accuracy", F.col("stale_same_slot_entry_count_avg").alias("stale"), F.col("final_memory_size_avg").alias("size"), F.col("write_amplification_avg").alias("amplification"))
+
+
+@query(f"{ROWS} SELECT mode, {_SUMMARY} FROM rows GROUP BY mode")
+def merged_shards(spark, sf):
+    """Four shards of the rows, joined again with a check that no example is in two."""
+    rows = rows_of(spark)
+    return runs.merged([rows.where(F.col("example_id") % 4 == s) for s in range(4)], "mode")
+
+
+@query(f"""{ROWS} SELECT mode, k_updates, attribute, count(*) AS n, round(avg(em), 6) AS em, round(avg(CAST(state_value_em AS DOUBLE)), 6) AS state_accuracy,
+round(avg(CASE WHEN gold > 0 THEN 1.0 ELSE 0.0 END), 6) AS gold_rate, round(avg(stale), 6) AS stale_avg FROM rows GROUP BY ALL""")
+def attribute_summary(spark, sf):
+    rate = F.round(F.avg(F.when(F.col("gold") > 0, 1.0).otherwise(0.0)), 6)
+    return rows_of(spark).groupBy("mode", "k_updates", "attribute").agg(F.count("*").alias("n"), runs.mean("em").alias("em"), runs.mean("state_value_em").alias("state_accuracy"), rate.alias("gold_rate"), runs.mean("stale").alias("stale_avg"))
+
+
+@query(f"""{ROWS}, d AS (SELECT a.k_updates, a.example_id, a.stale - b.stale AS d FROM rows a JOIN rows b USING (example_id) WHERE a.mode = 'raw_add' AND b.mode = 'constrained_slot_crud')
+SELECT k_updates, count(*) AS n, round(avg(d), 6) AS effect, CAST(count(*) FILTER (d > 0) AS BIGINT) AS fixed,
+array_to_string(list_slice(coalesce(list(example_id ORDER BY example_id) FILTER (d > 0), []), 1, 20), ',') AS cases FROM d GROUP BY k_updates""")
+def paired_stale_effects(spark, sf):
+    """What slot updates save over appending, with the first 20 cases."""
+    of = lambda m: F.max(F.when(F.col("mode") == m, F.col("stale")))
+    d = rows_of(spark, modes=("raw_add", "constrained_slot_crud")).groupBy("k_updates", "example_id").agg((of("raw_add") - of("constrained_slot_crud")).alias("d"))
+    w = runs.Window.partitionBy("k_updates", F.col("d") > 0).orderBy("example_id")
+    first = F.when((F.col("d") > 0) & (F.row_number().over(w) <= 20), F.col("example_id"))
+    g = d.withColumn("case", first).groupBy("k_updates").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("effect"), F.count_if(F.col("d") > 0).alias("fixed"), F.array_sort(F.collect_list("case")).alias("c"))
+    return g.select("k_updates", "n", "effect", "fixed", F.array_join(F.transform("c", lambda i: i.cast("string")), ",").alias("cases"))
+
+
+@query(f"{SUMMARY} SELECT k_updates AS k, round(max(stale_same_slot_entry_count_avg) FILTER (mode = 'raw_add') - max(stale_same_slot_entry_count_avg) FILTER (mode = 'constrained_slot_crud'), 6) AS gap FROM summary GROUP BY k_updates")
+def gap_series(spark, sf):
+    of = lambda m: F.max(F.when(F.col("mode") == m, F.col("stale_same_slot_entry_count_avg")))
+    return summaries(spark).groupBy(F.col("k_updates").alias("k")).agg(F.round(of("raw_add") - of("constrained_slot_crud"), 6).alias("gap"))
+
+
+@query(f"{SUMMARY} SELECT 'hard' AS result_group, mode || '_slot_direct_k' || k_updates AS run_name, mode, 'normal' AS retrieval_policy, num_examples, k_updates, avg_em, state_accuracy, 'completed' AS status FROM summary")
+def evidence_manifest(spark, sf):
+    """Summaries as payload texts, read back with their fallbacks: mode or method, normal retrieval, completed."""
+    from slotledger.sources.facts import manifest
+
+    x = summaries(spark)
+    name = F.concat_ws("_", "mode", F.lit("slot_direct"), F.concat(F.lit("k"), F.col("k_updates")))
+    payload = F.to_json(F.struct(F.struct(F.col("mode").alias("method"), "num_examples", "avg_em", "state_accuracy").alias("summary"), F.array(F.struct("k_updates")).alias("results")))
+    return manifest(x.select(F.concat(F.lit("results/hard/"), name, F.lit("/evomemory_results.json")).alias("path"), payload.alias("value")))
+
+
+TRACE = f"""WITH {GRID}, s AS (SELECT e.*, unnest(range(k)) AS st FROM e),
+ev AS (SELECT example_id, k, i, pool, vals, answer, st, unnest(CASE WHEN st > 0 THEN [0] ELSE [] END || [1, 2] || CASE WHEN st % 3 = 2 THEN [3] ELSE [] END) AS kind FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY st DESC, kind DESC) AS rank,
+    CASE kind WHEN 0 THEN pool[(i + (st % greatest(k, 3)) * 5 + 2) % len(pool) + 1] WHEN 1 THEN pool[(i + st * 7 + 1) % len(pool) + 1] WHEN 2 THEN vals[st + 1] END AS v FROM ev),
+t AS (SELECT example_id, k, any_value(answer) AS answer, bool_or(coalesce(contains(lower(v), lower(answer)), false)) AS gold, bool_or(kind = 2 AND v <> answer) AS stale, bool_or(kind = 0) AS distractor,
+    count(*) FILTER (kind = 2 AND v = answer) AS n_gold, count(*) FILTER (kind = 2 AND v <> answer) AS n_stale, coalesce(arg_min(v, rank) FILTER (kind IN (0, 2) AND rank > 1), '') AS told FROM o WHERE rank <= 5 GROUP BY example_id, k)"""
+
+
+def traces(spark):
+    """The five newest entries of the append-only store, with the answer of a reader who takes the newest slot value but the very last entry's."""
+    eps = generators.episodes(spark, "update_frequency_hard")
+    t = runs.recent_trace(eps, runs.stores(slots.parse(events_of(eps)), ("raw_add",)), 5).join(eps.select("episode_id", "answer", "k_updates"), "episode_id")
+    seen = F.filter("retrieved", lambda e: (e["rank"] > 1) & e["e_value"].isNotNull())
+    return t.withColumn("told", F.when(F.size(seen) > 0, seen[0]["e_value"]).otherwise("")).withColumnRenamed("answer", "gold_answer")
+
+
+@query(TRACE + " SELECT example_id, gold, stale, distractor, n_gold, n_stale FROM t")
+def recent_trace_flags(spark, sf):
+    names = {"episode_id": "example_id", "gold_in_retrieved": "gold", "stale_in_retrieved": "stale", "distractor_in_retrieved": "distractor", "gold_retrieved_count": "n_gold", "stale_retrieved_count": "n_stale"}
+    return traces(spark).select(*[F.col(a).alias(b) for a, b in names.items()])
+
+
+@query(TRACE + """ SELECT CAST(k AS BIGINT) AS k, round(avg(CAST(gold AS DOUBLE)), 6) AS gold_rate, round(avg(CAST(stale AS DOUBLE)), 6) AS stale_rate,
+round(avg(CAST(distractor AS DOUBLE)), 6) AS distractor_rate, round(avg(n_stale), 6) AS stale_mean FROM t GROUP BY k""")
+def context_mechanisms(spark, sf):
+    x = traces(spark).groupBy(F.col("k_updates").cast("long").alias("k"))
+    return x.agg(runs.mean("gold_in_retrieved").alias("gold_rate"), runs.mean("stale_in_retrieved").alias("stale_rate"), runs.mean("distractor_in_retrieved").alias("distractor_rate"), runs.mean("stale_retrieved_count").alias("stale_mean"))
+
+
+@query(TRACE + """, c AS (SELECT CASE WHEN lower(told) = lower(answer) THEN 'answer_correct' WHEN told <> '' AND (contains(lower(answer), lower(told)) OR contains(lower(told), lower(answer))) THEN 'format_only_failure'
+WHEN NOT gold THEN 'state_correct_gold_not_retrieved' WHEN distractor THEN 'distractor_contamination' WHEN stale THEN 'stale_contamination' ELSE 'state_correct_gold_retrieved_wrong_answer' END AS answer_error FROM t)
+SELECT answer_error, count(*) AS n FROM c GROUP BY answer_error""")
+def answer_taxonomy(spark, sf):
+    """Errors of a reader of the trace, in a store whose state is right."""
+    stale = F.transform(F.filter("retrieved", lambda e: e["stale_same_slot"]), lambda e: e["e_value"])
+    em = (F.lower("told") == F.lower("gold_answer")).cast("double")
+    x = traces(spark).withColumns({"predicted": F.col("told"), "em": em, "value_em": em == 1, "state_error": F.lit("correct"), "stale_values": stale, "has_trace": F.lit(True)})
+    return runs.answer_error(x).groupBy("answer_error").agg(F.count("*").alias("n"))
+
+
+@query(TRACE + f""", d AS (SELECT *, CASE WHEN told <> '' AND contains(lower(told), lower(answer)) THEN '{runs.DIAGNOSES[0]}' WHEN told <> '' THEN '{runs.DIAGNOSES[1]}' WHEN n_stale > 0 THEN '{runs.DIAGNOSES[2]}' ELSE '{runs.DIAGNOSES[3]}' END AS diagnosis
+FROM t WHERE n_gold > 0 AND lower(told) <> lower(answer)) SELECT diagnosis, count(*) AS n FROM d GROUP BY diagnosis""")
+def gold_retrieved_diagnoses(spark, sf):
+    from slotledger.functions.text import contains_value
+
+    x = traces(spark).where((F.col("gold_retrieved_count") > 0) & (F.lower("told") != F.lower("gold_answer")))
+    x = x.withColumns({"predicted": F.col("told"), "retrieved_text": runs.joined_texts(F.col("retrieved")), "answer_value_present": contains_value(F.col("told"), F.col("gold_answer"))})
+    return runs.diagnosis(x).groupBy("diagnosis").agg(F.count("*").alias("n"))
+
+
+#: The cells of the probe grid that are run, (value policy, order, annotation) and their stale counts.
+CELLS = (
+    ("conflict", "reverse_chronological", "none", (1, 2, 4, 8, 16)),
+    ("conflict", "reverse_chronological", "latest_outdated_label", (1, 2, 4, 8, 16)),
+    ("conflict", "chronological", "none", (1, 2, 4, 8, 16)),
+    ("same_as_current", "chronological", "none", (4, 8, 16)),
+    ("same_as_current", "reverse_chronological", "none", (4, 8, 16)),
+)
+_CELLS = ", ".join(f"('{p}', '{o}', '{a}', {n})" for p, o, a, counts in CELLS for n in counts)
+_PROBE = "unnest(['conflict', 'same_as_current']) AS value_policy), (SELECT unnest(['chronological', 'reverse_chronological', 'current_first', 'current_last']) AS context_order), (SELECT unnest(['none', 'timestamp', 'latest_outdated_label']) AS context_annotation), (SELECT unnest([0, 1, 2, 4, 8, 16]) AS stale_count)"
+
+
+@query(f"SELECT * FROM (SELECT {_PROBE} WHERE (value_policy, context_order, context_annotation, stale_count) IN ({_CELLS})")
+def probe_cells(spark, sf):
+    """The whole grid, and of it the allowed cells by a semi join."""
+    allowed = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(p).alias("value_policy"), F.lit(o).alias("context_order"), F.lit(a).alias("context_annotation"), F.lit(n).alias("stale_count")) for p, o, a, counts in CELLS for n in counts])).alias("c")).select("c.*")
+    return probe_grid(spark).join(allowed, allowed.columns, "left_semi")
+
+
+def probe_grid(spark):
+    each = lambda *v: F.explode(F.array(*map(F.lit, v)))
+    x = spark.range(1).select(each("conflict", "same_as_current").alias("value_policy"))
+    x = x.select("*", each("chronological", "reverse_chronological", "current_first", "current_last").alias("context_order"))
+    x = x.select("*", each("none", "timestamp", "latest_outdated_label").alias("context_annotation"))
+    return x.select("*", each(0, 1, 2, 4, 8, 16).alias("stale_count"))
+
+
+@query(f"""WITH c AS (SELECT *, unnest(range(stale_count + 1)) AS idx FROM (SELECT {_PROBE}),
+l AS (SELECT *, idx = stale_count AS latest, CASE context_annotation WHEN 'timestamp' THEN '[event_idx=' || idx || '] ' WHEN 'latest_outdated_label' THEN CASE WHEN idx = stale_count THEN '[latest] ' ELSE '[outdated] ' END ELSE '' END AS prefix FROM c),
+o AS (SELECT *, '- ' || prefix || 'User says: my friend Alice ' || CASE WHEN latest THEN 'relocated to Dalian' ELSE 'lives in ' || CASE WHEN value_policy = 'conflict' THEN 'Wuhan' ELSE 'Dalian' END END || '.' AS line,
+    CASE context_order WHEN 'chronological' THEN idx WHEN 'reverse_chronological' THEN -idx WHEN 'current_first' THEN CASE WHEN latest THEN -1 ELSE idx END ELSE CASE WHEN latest THEN 1000 ELSE idx END END AS place FROM l)
+SELECT value_policy, context_order, context_annotation, stale_count, string_agg(line, chr(10) ORDER BY place) AS context FROM o GROUP BY ALL""")
+def probe_contexts(spark, sf):
+    """The context that each cell shows: stale sentences and the latest, ordered and annotated."""
+    n, idx = F.col("stale_count"), lambda i: i.cast("int")
+    stale = F.when(F.col("value_policy") == "conflict", "Wuhan").otherwise("Dalian")
+    order = F.col("context_order")
+
+    def line(i):
+        latest = idx(i) == n
+        note = F.when(F.col("context_annotation") == "timestamp", F.concat(F.lit("[event_idx="), i.cast("string"), F.lit("] "))).when(F.col("context_annotation") == "latest_outdated_label", F.when(latest, "[latest] ").otherwise("[outdated] ")).otherwise("")
+        says = F.concat(F.lit("- "), note, F.lit("User says: my friend Alice "), F.when(latest, "relocated to Dalian").otherwise(F.concat(F.lit("lives in "), stale)), F.lit("."))
+        place = F.when(order == "chronological", idx(i)).when(order == "reverse_chronological", -idx(i)).when(latest, F.when(order == "current_first", -1).otherwise(n + 1)).otherwise(idx(i))
+        return F.struct(place.alias("place"), says.alias("line"))
+
+    lines = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), n), line)), lambda s: s["line"])
+    return probe_grid(spark).withColumn("context", F.array_join(lines, "\n"))

@@ -41,6 +41,32 @@ def episodes(spark: SparkSession, path: str, start: int = 0, end: int | None = N
     return x if end is None else x.where(F.col("episode_id") < end)
 
 
+def json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """A file of JSON lines, without blank ones; the first ``limit`` where that is asked for."""
+    x = spark.read.schema(schema).json(path)
+    x = x.dropna("all")
+    return x if limit is None else x.limit(limit)
+
+
+def load_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A saved store; contents are encoded again."""
+    from slotledger.functions.surface import encode
+
+    return spark.read.schema(schema).json(path).withColumn("embedding", encode(F.col("content")))
+
+
+def not_done(shards: DataFrame, done: DataFrame, key: str = "shard") -> DataFrame:
+    """The shards of a run that have no output yet."""
+    return shards.join(done.select(key).distinct(), key, "left_anti")
+
+
+def unique_inputs(paths: list[str]) -> list[str]:
+    """Paths without repeats, in order, after their dots and links are resolved."""
+    import os
+
+    return list(dict.fromkeys(os.path.realpath(p) for p in paths))
+
+
 def events_of(eps: DataFrame) -> DataFrame:
     """(episode_id, event_idx, text) of episodes."""
     return eps.select("episode_id", F.posexplode("events").alias("event_idx", "text"))
@@ -54,6 +80,19 @@ def results(spark: SparkSession, glob: str) -> DataFrame:
     return whole.select(F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("run"), path.alias("path"), F.get_json_object("value", "$.summary").alias("summary"), F.get_json_object("value", "$.results").alias("results"), F.when(ok, "ok").otherwise("invalid_json").alias("status"))
 
 
+def manifest(payloads: DataFrame) -> DataFrame:
+    """One row for each result file (path, value): the group and run that its path names, and its summary's fields with their fallbacks."""
+    of = lambda *keys: F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in keys])
+    group = F.coalesce(F.nullif(F.regexp_extract("path", "results/([^/]+)/", 1), F.lit("")), F.lit("unknown"))
+    n = F.when(F.get_json_object("value", "$.results").isNotNull(), F.size(F.from_json(F.get_json_object("value", "$.results"), "array<string>")))
+    return payloads.select(
+        group.alias("result_group"), F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("run_name"), of("summary.mode", "summary.method").alias("mode"),
+        F.coalesce(of("summary.retrieval_policy"), F.lit("normal")).alias("retrieval_policy"), F.coalesce(of("summary.num_examples").cast("long"), n.cast("long")).alias("num_examples"),
+        of("summary.k_updates", "results[0].k_updates").cast("long").alias("k_updates"), of("summary.avg_em").cast("double").alias("avg_em"),
+        of("summary.state_accuracy").cast("double").alias("state_accuracy"), F.coalesce(of("summary.status"), F.lit("completed")).alias("status"),
+    )
+
+
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, every column a string."""
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
