@@ -38,6 +38,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS, BLOCKS = 3, 5
 MOST = 1000
+HOT = 10_000  # rows of a key that one task joins
 SLAB = 1 << 15
 
 
@@ -189,22 +190,36 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _named(docs: DataFrame, radius: int, most: int) -> DataFrame:
-    """doc_id, text_hash, fp and component (its root fingerprint) of each row."""
+def spread_join(left: DataFrame, right: DataFrame, key: str, most: int = HOT) -> DataFrame:
+    """``left`` with the one row of ``right`` that each key has; a key with over ``most`` rows is dealt over parts.
+
+    ``left`` must be read from files, so that rows have the same numbers in each attempt.
+    """
+    n = F.broadcast(left.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_n")).where("_n > 1"))  # at most one row for each ``most`` of ``left``
+    parts = F.coalesce("_n", F.lit(1).cast("long"))
+    x = left.join(n, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts)).drop("_n")
+    y = right.join(n, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_n")
+    return x.join(y, [key, "_part"]).drop("_part")
+
+
+def _named(docs: DataFrame, radius: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp); and fingerprints (fp, first, component): the least (no doc_id, doc_id, text_hash) of one, and its root."""
     prints = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), simhash("text").alias("fp")))
-    nodes = cut(prints.select("fp").distinct())
-    roots = components(links(nodes, radius, most))
-    named = cut(nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = cut(prints.groupBy("fp").agg(first))
+    roots = components(links(nodes.select("fp"), radius, most))
+    named = cut(nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("component")))
     drop(nodes)
     drop(roots)
-    return prints.join(named, "fp")
+    return prints.select("doc_id", "fp"), named
 
 
 def linked(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint and component_id of each row."""
-    x = _named(docs, radius, most)
-    first = x.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = x.join(first, "component")
+    prints, named = _named(docs, radius, most)
+    least = named.groupBy("component").agg(F.min("first").alias("least")).select("component", F.col("least.doc_id").alias("component_id"))
+    known = cut(spread_join(named.select("fp", "component"), least, "component").select("fp", "component_id"))
+    out = spread_join(prints, known, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -214,7 +229,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> Data
     rows = docs.select(F.struct("*").alias("row"), *key, F.xxhash64("text").alias("k_hash"))
     # rows that share doc_id and text: one of them, before they are shuffled
     rows = rows.groupBy("k_id", "k_null", "k_hash").agg(F.first("row").alias("row"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    keep = _named(docs, radius, most).groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("k_hash")).select(*key, "k_hash")
+    named = _named(docs, radius, most)[1]
+    keep = named.groupBy("component").agg(F.min("first").alias("k")).select("k.doc_id", F.col("k.text_hash").alias("k_hash")).select(*key, "k_hash")
     x = rows.join(keep, ["k_id", "k_null", "k_hash"], "left_semi")
     return x.select(*[F.col("row")[c].alias(c) for c in docs.columns])

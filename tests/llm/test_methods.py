@@ -125,6 +125,14 @@ def test_blocks_lose_no_link(spark):
     assert got >= {frozenset((int(x), int(y))) for x, y in zip(a, b)}
 
 
+def test_spread_join(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), "id").write.parquet(str(tmp_path / "l"))
+    left = spark.read.parquet(str(tmp_path / "l"))
+    right = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = sorted(map(tuple, simhash.spread_join(left, right, "k", 20).select("id", "k", "v").collect()))
+    assert got == sorted((r.id, r.k, 10 * r.k) for r in left.collect())
+
+
 # op4
 
 
