@@ -7,11 +7,17 @@ of documents; the last returns the packed pieces.
 from __future__ import annotations
 
 from slotledger.llm import packing, quality, secrets, simhash
-from slotledger.llm.common import cut, drop
+from slotledger.llm.common import BATCH_BYTES, SMALL, cut, drop
+
+
+def configure(spark):
+    """The application's setting for its session, as its result is read after it returns: batches of texts that fit beside the JVM's heap."""
+    spark.conf.set(BATCH_BYTES, SMALL)
 
 
 def quality_stage(spark, docs, sf_dir):
     """Documents that the quality rules reject go; their bands are fitted to the labels."""
+    configure(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
