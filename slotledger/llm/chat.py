@@ -76,7 +76,7 @@ def parse(formatted: Column) -> Column:
 
 
 def _comes_back(out: Column, turns: Column) -> Column:
-    return F.coalesce((F.size(parse(out)) == F.size(turns)) & ~F.exists(F.arrays_zip(parse(out).alias("a"), turns.alias("b")), lambda x: ~x["a"].eqNullSafe(x["b"])), F.lit(False))
+    return F.coalesce(parse(out) == turns, F.lit(False))
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
@@ -88,14 +88,15 @@ def formatted(conversations: DataFrame) -> DataFrame:
     t = t.withColumn("escaped", ~_comes_back(plain, own))
     t = t.withColumn("out", F.when(~F.col("escaped"), plain).when(_comes_back(marked, own), marked).otherwise(F.raise_error(F.lit("a turn is not parsed to its source"))))
     g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "escaped", "out"))).alias("t"))
-    source = F.transform("t", lambda x: F.struct(x["role"], x["text"]))
+    source = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["out"]), "")
     again = F.transform("t", lambda x: F.struct(x["turn"], x["role"], x["text"], F.lit(True).alias("escaped"), render(x["role"], x["text"], F.lit(True)).alias("out")))
-    g = g.select("conv_id", source.alias("source"), F.when(_comes_back(joined("t"), source), F.col("t")).otherwise(again).alias("t"))
+    g = g.select("conv_id", "t", source.alias("source"), _comes_back(joined("t"), source).alias("same"))
+    g = g.select("conv_id", "source", "same", F.when(F.col("same"), F.col("t")).otherwise(again).alias("t"))
     g = g.withColumn("formatted", joined("t"))
     ends = running(F.transform("t", lambda x: F.length(x["out"])), lambda a, b: a + b)
     spans = F.transform(F.arrays_zip(F.col("t").alias("t"), ends.alias("end")), _loss)
-    whole = F.when(_comes_back(F.col("formatted"), F.col("source")), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not parsed to its source")))
+    whole = F.when(F.col("same") | _comes_back(F.col("formatted"), F.col("source")), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not parsed to its source")))
     return g.select("conv_id", whole.alias("formatted"), F.array_compact(spans).alias("loss_spans"))
 
 
