@@ -132,3 +132,24 @@ def choose_prediction(texts: DataFrame) -> DataFrame:
     value = F.when(attribute, strip(F.col("p_value"))).otherwise(after)
     rank = F.struct(slot.alias("a"), attribute.alias("b"), entity.alias("c"), fresh.alias("d"), (-F.col("idx")).alias("e"))
     return x.where(strip(F.col("content")) != "").groupBy("episode_id").agg(F.max_by(value, rank).alias("predicted"))
+
+
+#: Parts of a question that tell its attribute, in the order in which they are tried, and parts of a sentence that states one.
+ASKS = {"location": ("currently live", "where does the user live"), "company": ("work",), "language": ("language",)}
+STATES = {"location": (" live", "moving", "moved"), "company": ("work at", "switching to", "works at"), "language": ("prefer", "switched to", "language")}
+
+
+def annotate(eps: DataFrame) -> DataFrame:
+    """``eps`` (events, question, answer, entity, attribute, value, latest_event_idx) with what is null or -1 filled in.
+
+    The question tells the attribute; the last sentence that states one is the latest; entity is the user, value the answer.
+    """
+    holds = lambda c, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(c), p))
+    asked = F.lit("unknown")
+    for name, parts in reversed(ASKS.items()):
+        asked = F.when(holds(F.coalesce("question", F.lit("")), parts), name).otherwise(asked)
+    x = eps.withColumn("attribute", F.coalesce(F.nullif("attribute", F.lit("")), asked))
+    states = lambda e: F.coalesce(*[F.when(F.col("attribute") == a, holds(e, parts)) for a, parts in STATES.items()], F.lit(False))
+    last = F.array_max(F.transform("events", lambda e, j: F.when(states(e), j).otherwise(-1)))
+    idx = F.when(F.coalesce("latest_event_idx", F.lit(-1)) != -1, F.col("latest_event_idx")).otherwise(F.coalesce(last, F.lit(-1)))
+    return x.withColumns({"latest_event_idx": idx, "entity": F.coalesce("entity", F.lit("user")), "value": F.coalesce("value", "answer", F.lit(""))})

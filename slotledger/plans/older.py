@@ -1,0 +1,99 @@
+"""Registered queries over the older splits, training pairs and logs, with the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotledger.operators import feedback, runs
+from slotledger.plans.registry import query
+from slotledger.sources import generators, templates
+from slotledger.sources.facts import table
+
+#: Sentences of an episode, at least and at most, by kind and split.
+LENGTHS = {"clean": (5, 15), "advanced": (6, 8), "hard": (15, 15), "ood": (6, 11), "schema_random": (10, 10), "long_horizon": (25, 31)}
+
+
+@query("""SELECT * FROM (VALUES ('clean', 'train', 126), ('clean', 'dev', 27), ('clean', 'test', 27), ('advanced', 'train', 126), ('advanced', 'dev', 27), ('advanced', 'test', 27),
+('hard', 'train', 168), ('hard', 'dev', 36), ('hard', 'test', 36), ('ood', 'train', 120), ('ood', 'dev', 40), ('ood', 'test', 40),
+('schema_random', 'train', 360), ('schema_random', 'dev', 80), ('schema_random', 'test', 80), ('long_horizon', 'train', 240), ('long_horizon', 'dev', 60), ('long_horizon', 'test', 60)) t(kind, split, n),
+(SELECT unnest([true]) AS told, unnest([true]) AS sized, unnest([true]) AS last)""")
+def older_splits(spark, sf):
+    """Sizes of the six older splits; whether each latest sentence tells the answer, each length fits, and no later sentence gives the target's slot a value by name."""
+    parts = []
+    for kind, (low, high) in LENGTHS.items():
+        e = templates.episodes(spark, kind)
+        latest = F.get("events", F.col("latest_event_idx").cast("int"))
+        told = F.when(F.col("answer") == "unknown", True).otherwise(F.contains(latest, F.col("answer")))
+        later = F.slice("events", F.col("latest_event_idx").cast("int") + 2, F.size("events"))
+        own = F.exists(later, lambda s: F.contains(s, F.col("answer")) & F.contains(s, F.concat(F.lit(" "), F.initcap(F.substring_index("entity", "_", -1)), F.lit(" "))))
+        parts.append(e.groupBy("split").agg(F.count("*").cast("int").alias("n"), F.bool_and(F.coalesce(told, F.lit(False))).alias("told"), F.bool_and(F.col("num_events").between(low, high)).alias("sized"), F.bool_and(~own).alias("last")).withColumn("kind", F.lit(kind)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""SELECT kind, attribute, stale, size, CAST(1 AS DOUBLE) AS state_accuracy, mode FROM (VALUES ('hard', 'location', 15), ('hard', 'language', 15), ('hard', 'company', 15), ('hard', 'preference', 15),
+('ood_train', 'location', 6), ('ood_train', 'language', 6), ('ood', 'location', 11), ('ood', 'company', 11), ('ood', 'preference', 11)) t(kind, attribute, size), (SELECT 'raw_add' AS mode, CAST(3 AS DOUBLE) AS stale)
+UNION ALL SELECT kind, attribute, 0, size, 1, 'constrained_slot_crud' FROM (VALUES ('hard', 'location', 9), ('hard', 'language', 11), ('hard', 'company', 9), ('hard', 'preference', 11),
+('ood_train', 'location', 3), ('ood_train', 'language', 3), ('ood', 'location', 8), ('ood', 'company', 8), ('ood', 'preference', 8)) t(kind, attribute, size)""")
+def older_split_runs(spark, sf):
+    """Burden and state of two policies over the template splits."""
+    hard = templates.episodes(spark, "hard").withColumn("kind", F.lit("hard"))
+    ood = templates.episodes(spark, "ood").withColumn("kind", F.when(F.col("split") == "train", "ood_train").otherwise("ood"))
+    e = hard.unionByName(ood).withColumn("episode_id", F.concat_ws(" ", "kind", "split", F.col("episode_id").cast("string")))
+    r = runs.result_rows(e, ("raw_add", "constrained_slot_crud"))
+    g = r.groupBy("mode", F.substring_index("example_id", " ", 1).alias("kind"), "attribute")
+    return g.agg(F.avg("stale").alias("stale"), F.max("memory_size").cast("int").alias("size"), F.avg(F.col("state_value_em").cast("double")).alias("state_accuracy"))
+
+
+@query("""SELECT CAST(task_id AS BIGINT) AS task_id, true AS named, true AS noticed, true AS bounded FROM range(200) t(task_id)""")
+def household_tasks(spark, sf):
+    """The generated tasks: instruction and context agree, the second sentence names the object, the result lies in its bounds."""
+    r = F.col("env_kwargs.task_result")
+    named = F.col("context") == F.concat(F.lit("Complete household task: "), "instruction")
+    obj = F.regexp_extract(F.get("events", 1), "^You notice a (\\w+) on", 1)
+    bounded = r["partial_score"].between(0.2, 0.8) & r["steps_taken"].between(3, 20) & (r["max_steps"] == 30)
+    return templates.tasks(spark).select("task_id", named.alias("named"), ((obj != "") & F.contains("instruction", obj)).alias("noticed"), bounded.alias("bounded"))
+
+
+@query("""SELECT k AS k_updates, CAST(100 * (3 * k - 1 + k // 3) AS BIGINT) AS n, CAST(100 * least(k, 2) AS BIGINT) AS n_add, CAST(100 * (2 * k - 1 - least(k, 2)) AS BIGINT) AS n_update,
+CAST(100 * (k + k // 3) AS BIGINT) AS n_noop, CASE WHEN k = 1 THEN 0 ELSE 2 END AS most_state, CAST(200 AS BIGINT) AS n_empty, true AS told
+FROM (SELECT unnest([1, 2, 4, 8, 16]) AS k)""")
+def manager_training_pairs(spark, sf):
+    """Pairs of prompt and action over the hard update-frequency split."""
+    e = generators.episodes(spark, "update_frequency_hard")
+    x = feedback.training_pairs(runs.actions(e)).join(e.select("episode_id", "k_updates"), "episode_id")
+    of = lambda op: F.count_if(F.col("operation") == op)
+    return x.groupBy("k_updates").agg(
+        F.count("*").alias("n"), of("ADD").alias("n_add"), of("UPDATE").alias("n_update"), of("NOOP").alias("n_noop"), F.max("n_state").alias("most_state"),
+        F.count_if(F.contains("prompt", F.lit(feedback.EMPTY))).alias("n_empty"), F.bool_and(F.endswith("text", F.concat(F.lit("Action: "), "completion"))).alias("told"),
+    )
+
+
+ANSWERS = """a AS (SELECT o_orderkey AS seq, o_custkey AS run, 'order ' || o_orderkey AS question, o_orderstatus AS answer, o_comment || o_comment || o_comment AS prediction,
+    CAST(o_orderkey % 5 AS DOUBLE) / 4 AS reward FROM (SELECT *, o_orderpriority || ' by ' || o_orderkey AS o_comment FROM orders))"""
+
+
+def _answers(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    said = F.repeat(F.concat("o_orderpriority", F.lit(" by "), key), 3)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("run"), F.concat(F.lit("order "), key).alias("question"), F.col("o_orderstatus").alias("answer"), said.alias("prediction"), (F.col("o_orderkey") % 5 / 4.0).cast("double").alias("reward"))
+
+
+@query(f"""WITH {ANSWERS} SELECT seq, 'Reflection: when answering ''' || question || ''', prioritize the facts that support ''' || answer || '''. The previous answer was ''' || prediction[:120] || '''.' AS reflection FROM a WHERE reward < 0.99""")
+def reflection_log(spark, sf):
+    return feedback.reflections(_answers(spark, sf)).select("seq", "reflection")
+
+
+@query(f"""WITH {ANSWERS} SELECT run, seq, CASE WHEN reward >= 0.5 THEN 'Successful experience: question ''' || question || ''' was answered well by focusing on ''' || answer || '''.'
+ELSE 'Corrective experience: for question ''' || question || ''', the reliable target answer is ''' || answer || ''', not ''' || prediction[:120] || '''.' END AS experience
+FROM a QUALIFY row_number() OVER (PARTITION BY run ORDER BY seq DESC) <= 5""")
+def experience_log(spark, sf):
+    """The newest five of each customer, as a store that is full keeps them."""
+    return feedback.experiences(_answers(spark, sf), "run", "seq", kept=5).select("run", "seq", "experience")
+
+
+@query(f"WITH {ANSWERS} SELECT run, seq, seen FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY seq) AS INTEGER) AS seen FROM a) WHERE seen % 4 = 0")
+def consolidation_points(spark, sf):
+    return feedback.consolidations(_answers(spark, sf), "run", "seq", 4).select("run", "seq", "seen")

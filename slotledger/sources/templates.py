@@ -1,0 +1,286 @@
+"""Older event splits: fixed templates with noise, random slots with distractors, long episodes, first-person facts; and household tasks.
+
+Each split is one plan over a range of episode numbers. A hash of the episode and place makes every free choice, so that a
+split is the same each time and no driver loop or ordered window is needed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slotledger.functions.surface import annotate
+from slotledger.sources.generators import FIRST, LATER, NAMES, QUESTIONS, RELATIONS, VALUES, _array, _at, _by
+
+#: Fixed values: (entity, attribute, question, answer, number of the latest target sentence, sentences).
+ADVANCED = (
+    ("friend_alex", "location", "Where does the user's friend Alex currently live?", "Chengdu", 2,
+     ("I live in Beijing", "My friend Alex lives in Shanghai", "Alex relocated to Chengdu", "I moved to Hangzhou", "My mother lives in Suzhou")),
+    ("coworker_alice", "company", "Where does the user's coworker Alice currently work?", "ByteDance", 2,
+     ("I work at Huawei", "My coworker Alice works at Microsoft", "Alice joined ByteDance", "I switched to Alibaba", "Alice now codes in Rust")),
+    ("mother", "language", "What programming language does the user's mother currently prefer?", "Rust", 4,
+     ("I prefer Python", "My mother prefers Java", "I now code in Go", "My friend Alex now codes in TypeScript", "My mother switched to Rust")),
+    ("friend_alex", "preference", "What drink does the user's friend Alex currently prefer?", "matcha", 2,
+     ("My friend Alex prefers coffee", "I prefer tea", "Alex started preferring matcha", "My coworker Alice prefers espresso", "I started preferring black coffee")),
+    ("coworker_alice", "relation", "What is the user's current relation to coworker Alice?", "manager", 2,
+     ("My coworker Alice is my teammate", "My friend Alex is my college friend", "Alice became my manager", "My mother lives in Nanjing", "Alex relocated to Shenzhen")),
+    ("mother", "location", "Where does the user's mother currently live?", "Xiamen", 2,
+     ("My mother lives in Nanjing", "My friend Alex lives in Wuhan", "My mother relocated to Xiamen", "Alex relocated to Xi'an", "I moved to Shenzhen")),
+)
+#: Fixed values: (entity, attribute, question, answer, sentences of the target, distractors).
+HARD = (
+    ("friend_alex", "location", "After all updates and distractions, where does the user's friend Alex currently live?", "Xiamen",
+     ("My friend Alex lives in Shanghai", "Alex relocated to Chengdu", "Alex moved to Wuhan", "Alex relocated to Xiamen"),
+     ("I live in Xiamen", "My mother lives in Chengdu", "My coworker Alice lives in Wuhan", "I moved to Shanghai", "My mother relocated to Hangzhou",
+      "Alice relocated to Shenzhen", "Alex started preferring matcha", "Alex now codes in Rust")),
+    ("mother", "language", "After all updates and distractions, what programming language does the user's mother currently prefer?", "Rust",
+     ("My mother prefers Java", "My mother switched to Python", "My mother now codes in Go", "My mother switched to Rust"),
+     ("I prefer Rust", "Alex now codes in Go", "Alice now codes in Python", "I now code in Java", "My mother lives in Nanjing",
+      "My mother started preferring espresso", "Alex switched to TypeScript", "Alice joined ByteDance")),
+    ("coworker_alice", "company", "After all updates and distractions, where does coworker Alice currently work?", "ByteDance",
+     ("My coworker Alice works at Microsoft", "Alice joined Google", "Alice switched to Huawei", "Alice joined ByteDance"),
+     ("I work at ByteDance", "Alex joined Huawei", "My mother works at Google", "I switched to Microsoft", "Alice relocated to Chengdu",
+      "Alice now codes in TypeScript", "Alex works at Alibaba", "My mother joined Alibaba")),
+    ("friend_alex", "preference", "After all updates and distractions, what drink does Alex currently prefer?", "matcha",
+     ("My friend Alex prefers coffee", "Alex started preferring tea", "Alex started preferring espresso", "Alex started preferring matcha"),
+     ("I prefer matcha", "My mother prefers espresso", "Alice started preferring tea", "I started preferring coffee", "Alex relocated to Chengdu",
+      "Alex now codes in Go", "My mother switched to Rust", "Alice joined Microsoft")),
+)
+OOD_TRAIN = (
+    ("friend_alex", "location", "What city should be treated as Alex's latest home?", "Ningbo",
+     ("My friend Alex lives in Dalian", "Alex relocated to Kunming", "Alex moved to Qingdao", "Alex relocated to Ningbo"), ()),
+    ("mother", "language", "What is the latest programming language for the user's mother?", "Java",
+     ("My mother prefers TypeScript", "My mother switched to Go", "My mother now codes in Python", "My mother switched to Java"), ()),
+)
+OOD = (
+    ("friend_bob", "location", "After the updates, where does Bob currently live?", "Wuxi",
+     ("My friend Bob lives in Tianjin", "Bob relocated to Changsha", "Bob moved to Fuzhou", "Bob relocated to Wuxi"),
+     ("Alice relocated to Fuzhou", "My mother lives in Wuxi", "I moved to Tianjin", "Bob now codes in Kotlin", "Bob started preferring oolong tea")),
+    ("sister_lily", "company", "Which company does Lily currently work for?", "NetEase",
+     ("My sister Lily works at Tencent", "Lily joined Baidu", "Lily switched to JD", "Lily joined NetEase"),
+     ("Alice joined JD", "I work at NetEase", "Bob joined Baidu", "Lily relocated to Suzhou", "Lily now codes in Kotlin")),
+    ("mentor_chen", "preference", "What drink does mentor Chen currently prefer?", "cold brew",
+     ("My mentor Chen prefers green tea", "Chen started preferring jasmine tea", "Chen started preferring oolong tea", "Chen started preferring cold brew"),
+     ("I started preferring cold brew", "Alex started preferring oolong tea", "My mother prefers jasmine tea", "Chen joined Tencent", "Chen relocated to Ningbo")),
+)
+#: What the first-person split draws from.
+CLEAN = {
+    "location": ("Beijing", "Shanghai", "Shenzhen", "Hangzhou", "Chengdu"), "company": ("Google", "Microsoft", "Alibaba", "ByteDance", "Huawei"),
+    "language": ("Python", "Java", "Rust", "Go", "TypeScript"),
+}
+#: First sentence, later sentence and question of each kind of first-person fact.
+CLEAN_TEXTS = {
+    "location": ("I live in {}", "Im moving in {}", "Where does the user currently live?"), "company": ("I work at {}", "Im switching to {}", "Where does the user work?"),
+    "language": ("I prefer {}", "Ive switched to {}", "What programming language does the user prefer?"),
+}
+WEATHER, VISIT, CHAT, UPDATE_CHAT = "The weather was nice during lunch today", "My friend Alex visited last week", "This came up during a long planning chat", "This update came up during a long planning chat"
+#: Household tasks.
+TASKS = {
+    "put": "Put the {obj} on the {recep}.", "clean": "Clean the {obj} and put it on the {recep}.", "heat": "Heat the {obj} and put it on the {recep}.",
+    "cool": "Cool the {obj} and put it on the {recep}.", "examine": "Examine the {obj} using the {recep}.", "pick_two": "Put two {obj}s on the {recep}.",
+}
+OBJECTS = "mug apple book pen plate knife fork bottle bowl cup cloth sponge candle".split()
+RECEPTACLES = "desk table shelf counter cabinet drawer fridge microwave sink".split()
+ROOMS = "kitchen,living room,bedroom,bathroom,study".split(",")
+
+#: Episodes of each split; a kind with ``parts`` is made as one set and dealt to splits by these shares.
+SIZES = {
+    "clean": {"parts": 180}, "advanced": {"parts": 180}, "hard": {"parts": 240}, "ood": {"train": 120, "dev": 40, "test": 40},
+    "schema_random": {"train": 360, "dev": 80, "test": 80}, "long_horizon": {"train": 240, "dev": 60, "test": 60},
+}
+OLD_FIRST = FIRST | {"language": [" prefers {}"]}
+#: How many values of an attribute's pool each random split draws from, and values beside the pool's.
+POOLS = {"schema_random": (8, 6, 6, 6), "long_horizon": (10, 8, 8, 7)}
+LEAST, TARGETS = 24, 6  # sentences of a long episode at least, and its target's values
+
+
+def _hash(*salt) -> Column:
+    return F.xxhash64("i", "split", *[s if isinstance(s, Column) else F.lit(s) for s in salt])
+
+
+def _pick(values: Column, *salt) -> Column:
+    return _at(values, _hash(*salt))
+
+
+def _chance(percent: int, *salt) -> Column:
+    return F.pmod(_hash(*salt), F.lit(100)) < percent
+
+
+def _shuffled(values: Column, *salt) -> Column:
+    keyed = F.transform(values, lambda v, j: F.struct(_hash(j, *salt).alias("h"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda s: s["v"])
+
+
+def _says(text: Column) -> Column:
+    return F.concat(F.lit("User says: "), text, F.lit("."))
+
+
+def _numbers(spark: SparkSession, kind: str) -> DataFrame:
+    """(i, split): the numbers of a kind's episodes. One set is dealt 70 : 15 : 15 by a fixed permutation of its numbers."""
+    sizes = SIZES[kind]
+    if "parts" in sizes:
+        n = sizes["parts"]
+        place = (F.col("id") * 101 + 7) % n  # 101 shares no factor with n
+        split = F.when(place < n * 70 // 100, "train").when(place < n * 85 // 100, "dev").otherwise("test")
+        return spark.range(n).select(F.col("id").alias("i"), split.alias("split"))
+    every = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.sequence(F.lit(0), F.lit(n - 1)).alias("ids")) for s, n in sizes.items()]))
+    return spark.range(1).select(every.alias("x")).select(F.explode("x.ids").alias("i"), "x.split").withColumn("i", F.col("i").cast("long"))
+
+
+def _templates(templates: tuple) -> Column:
+    def one(t):
+        *slot, texts, more = t
+        strings = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
+        names = ("entity", "attribute", "question", "answer", "latest")
+        return F.struct(*[F.lit(v).alias(n) for n, v in zip(names, slot)], strings(texts).alias("texts"), strings(more).alias("more"))
+
+    return F.array(*map(one, templates))
+
+
+def _chosen(x: DataFrame, templates: Column) -> DataFrame:
+    return x.withColumn("t", _pick(templates, "template")).select("i", "split", "t.*")
+
+
+def _clean(x: DataFrame) -> DataFrame:
+    kinds = _array([*CLEAN, "visit"])
+    x = x.withColumn("steps", F.transform(F.sequence(F.lit(0), F.pmod(_hash("n"), F.lit(11)).cast("int") + 4), lambda j: F.struct(j.alias("j"), _at(kinds, _hash(j, "kind")).alias("kind"), _hash(j, "value").alias("h"))))
+    value = lambda s: _by(s["kind"], {k: _at(_array(v), s["h"]) for k, v in CLEAN.items()})
+    phrase = lambda s: F.when(s["j"] > 0, _by(s["kind"], {k: F.lit(v[1]) for k, v in CLEAN_TEXTS.items()})).otherwise(_by(s["kind"], {k: F.lit(v[0]) for k, v in CLEAN_TEXTS.items()}))
+    x = x.withColumn("events", F.transform("steps", lambda s: _says(F.coalesce(F.replace(phrase(s), F.lit("{}"), value(s)), F.lit(VISIT)))))
+
+    def newest(kind):
+        own = F.filter("steps", lambda s: s["kind"] == kind)
+        return F.try_element_at(F.transform(own, value), F.lit(-1))
+
+    last = {k: newest(k) for k in CLEAN}
+    question = F.when(last["location"].isNotNull(), CLEAN_TEXTS["location"][2]).when(last["company"].isNotNull(), CLEAN_TEXTS["company"][2]).otherwise(CLEAN_TEXTS["language"][2])
+    x = x.withColumns({"question": question, "answer": F.coalesce(*last.values(), F.lit("unknown"))})
+    none = F.lit(None).cast("string")
+    return annotate(x.withColumns({"entity": none, "attribute": none, "value": none, "latest_event_idx": F.lit(-1)}))
+
+
+def _advanced(x: DataFrame) -> DataFrame:
+    x = _chosen(x, _templates(tuple((*t[:5], t[5], ()) for t in ADVANCED)))
+    texts = F.concat("texts", F.when(_chance(50, "weather"), _array([WEATHER])).otherwise(F.array().cast("array<string>")))
+    at, more = F.pmod(_hash("place"), F.size("texts") + 1).cast("int"), F.col("visits").cast("int")
+    x = x.withColumns({"texts": texts, "visits": _chance(50, "visit")}).withColumn("at", at)
+    whole = F.concat(F.slice("texts", F.lit(1), F.col("at")), F.array_repeat(F.lit(VISIT), more), F.slice("texts", F.col("at") + 1, F.size("texts")))
+    latest = F.col("latest") + (F.col("visits") & (F.col("latest") >= F.col("at"))).cast("int")
+    return x.withColumns({"texts": F.concat(whole, F.array(F.concat(F.lit("This is memory episode marker "), F.col("i").cast("string")))), "latest_event_idx": latest})
+
+
+def _mixed(x: DataFrame, each: int, tail: Column) -> DataFrame:
+    """``each`` shuffled distractors before each target sentence, then those left and ``tail``."""
+    x = x.withColumn("more", _shuffled(F.col("more"), "order"))
+    before = F.flatten(F.transform("texts", lambda t, j: F.concat(F.slice("more", j * each + 1, each), F.array(t))))
+    rest = F.slice("more", F.size("texts") * each + 1, F.greatest(F.size("more"), F.lit(1)))
+    held = F.least(F.size("more"), F.size("texts") * each)
+    return x.withColumns({"latest_event_idx": F.size("texts") + held - 1, "mixed": F.concat(before, rest, tail)}).drop("texts").withColumnRenamed("mixed", "texts")
+
+
+def _marker(kind: str) -> Column:
+    return F.concat(F.lit("This is "), F.lit(kind) if kind == "hard" else F.concat(F.lit(f"{kind} "), "split") if kind != "ood" else F.concat("split", F.lit(" OOD")), F.lit(" memory episode marker " if kind in ("hard", "ood") else " episode marker "), F.col("i").cast("string"))
+
+
+def _random_slot(x: DataFrame, kind: str) -> DataFrame:
+    """A random slot, its values in a random order, and the texts that both random splits use."""
+    attributes = list(VALUES)[:4]
+    pools = {a: [*VALUES[a][:n], *(["C++"] if kind == "long_horizon" and a == "language" else [])] for a, n in zip(attributes, POOLS[kind])}
+    x = x.withColumns({"relation": _pick(_array(RELATIONS[:6]), "relation"), "name": _pick(_array(NAMES[:12]), "name"), "attribute": _pick(_array(attributes), "attribute")})
+    x = x.withColumn("values", _shuffled(_by(F.col("attribute"), {a: _array(p) for a, p in pools.items()}), "values"))
+    x = x.withColumn("values", F.slice("values", 1, 4 if kind == "schema_random" else TARGETS))
+    question = F.replace(_by(F.col("attribute"), {a: F.lit(QUESTIONS[a]) for a in attributes}), F.lit("{}"), F.col("name"))
+    x = x.withColumns({"answer": F.element_at("values", -1), "question": question, "entity": F.concat_ws("_", "relation", F.lower("name")), "others": F.array_remove(_array(NAMES[:12]), F.col("name"))})
+    return x.withColumn("pools", F.create_map(*[c for a, p in pools.items() for c in (F.lit(a), _array(p))]))
+
+
+def _kin(relation: Column, name: Column) -> Column:
+    return F.concat(F.lit("my "), relation, F.lit(" "), name)
+
+
+def _told(subject: Column, attribute: Column, value: Column, first: Column, n: Column) -> Column:
+    """A sentence that gives a slot its value, by the first phrase or later phrase number ``n``."""
+    attributes = list(VALUES)[:4]
+    phrase = F.when(first, _by(attribute, {a: F.lit(OLD_FIRST[a][0]) for a in attributes})).otherwise(_by(attribute, {a: _at(_array(LATER[a]), n) for a in attributes}))
+    return F.concat(subject, F.replace(phrase, F.lit("{}"), value))
+
+
+def _schema_random(x: DataFrame) -> DataFrame:
+    x = _random_slot(x, "schema_random")
+    own, name = _kin(F.col("relation"), F.col("name")), F.col("name")
+    texts = F.transform("values", lambda v, j: _told(F.when(j == 0, own).otherwise(name), F.col("attribute"), v, j == 0, j - 1))
+    other = _pick(F.col("others"), "other")
+    kin = _pick(F.array_remove(_array(RELATIONS[:6]), F.col("relation")), "kin")
+    some = lambda a: _pick(F.element_at("pools", F.lit(a)), "other", a)
+    x = x.withColumns({"texts": texts, "other": other})
+    more = F.array(
+        F.concat(F.lit("I moved to "), "answer"), F.concat(_kin(kin, F.col("other")), F.lit(" lives in "), some("location")), F.concat("other", F.lit(" joined "), some("company")),
+        F.concat("other", F.lit(" started preferring "), some("preference")), F.concat("name", F.lit(" visited last week")),
+    )
+    return _mixed(x.withColumn("more", more), 1, F.array(_marker("schema random")))
+
+
+def _long_horizon(x: DataFrame) -> DataFrame:
+    x = _random_slot(x, "long_horizon")
+    attributes, own = _array(list(VALUES)[:4]), _kin(F.col("relation"), F.col("name"))
+
+    def spec(d):
+        name, attribute = _pick(F.col("others"), d, "name"), _pick(attributes, d, "attribute")
+        pool = F.element_at("pools", attribute)
+        return F.struct(name.alias("name"), attribute.alias("attribute"), F.slice(_shuffled(pool, d, "pool"), 1, 3).alias("values"), _kin(_pick(_array(RELATIONS[:6]), d, "relation"), name).alias("surface"))
+
+    x = x.withColumn("specs", F.transform(F.sequence(F.lit(0), F.lit(3)), spec))
+
+    def other(s, first, *salt):
+        return _told(F.when(first, s["surface"]).otherwise(s["name"]), s["attribute"], _at(s["values"], _hash(*salt, "value")), first, _hash(*salt, "phrase"))
+
+    def step(v, j):
+        two = F.transform(F.slice(_shuffled(F.col("specs"), j, "two"), 1, 2), lambda s, n: other(s, _chance(35, j, n, "first"), j, n))
+        visit = F.when(_chance(50, j, "visit"), F.concat("name", F.lit(" visited last week")))
+        target = _told(F.when(j == 0, own).otherwise(F.col("name")), F.col("attribute"), v, j == 0, _hash(j, "own"))
+        return F.concat(two, F.array_compact(F.array(visit, target, F.when(_chance(40, j, "chat"), F.lit(CHAT)))))
+
+    x = x.withColumns({"texts": F.flatten(F.transform("values", step)), "chats": _chance(40, F.lit(TARGETS - 1), "chat").cast("int")})
+    fill = F.transform(F.filter(F.sequence(F.lit(0), F.lit(LEAST)), lambda j: j < LEAST - F.size("texts")), lambda j: other(_pick(F.col("specs"), j, "fill"), F.lit(False), j, "more"))
+    return x.withColumns({"latest_event_idx": F.size("texts") - 1 - F.col("chats"), "whole": F.concat("texts", fill, F.array(_marker("long horizon")))}).drop("texts").withColumnRenamed("whole", "texts")
+
+
+def episodes(spark: SparkSession, kind: str) -> DataFrame:
+    """Episodes of all splits of ``kind`` (clean, advanced, hard, ood, schema_random, long_horizon), with ``split``; what the kind lacks is null."""
+    x = _numbers(spark, kind)
+    if kind == "clean":
+        x = _clean(x)
+    elif kind == "advanced":
+        x = _advanced(x)
+    elif kind == "hard":
+        x = _mixed(_chosen(x, _templates(tuple((*t[:4], 0, *t[4:]) for t in HARD))), 2, F.array(F.lit(WEATHER), F.lit(VISIT), _marker("hard")))
+    elif kind == "ood":
+        train, rest = (_templates(tuple((*t[:4], 0, *t[4:]) for t in ts)) for ts in (OOD_TRAIN, OOD))
+        x = _mixed(_chosen(x, F.when(F.col("split") == "train", train).otherwise(rest)), 1, F.array(F.lit(UPDATE_CHAT), _marker("ood")))
+    elif kind == "schema_random":
+        x = _schema_random(x)
+    else:
+        x = _long_horizon(x)
+    if kind != "clean":
+        x = x.withColumns({"events": F.transform("texts", _says), "value": F.col("answer")})
+    n = F.size("events")
+    prefix = {"clean": F.lit(""), "ood": F.concat("split", F.lit("_ood_"))}.get(kind, F.lit(f"{kind}_"))
+    return x.select(
+        F.col("i").alias("episode_id"), "split", "events", "question", "answer", "entity", "attribute", "value", F.col("latest_event_idx").cast("long").alias("latest_event_idx"),
+        F.concat(prefix, F.lit("evolution_tracking")).alias("category"), F.lit(None).cast("int").alias("k_updates"), n.alias("num_events"), n.alias("num_updates"),
+    )
+
+
+def tasks(spark: SparkSession, n: int = 200) -> DataFrame:
+    """Household tasks: instruction, three events, type, context and the nested result of a run."""
+    x = spark.range(n).select(F.col("id").alias("i"), F.lit("task").alias("split"))
+    obj, recep = _array(OBJECTS), _array(RECEPTACLES)
+    x = x.withColumns({"type": _pick(_array(list(TASKS)), "type"), "obj": _pick(obj, "obj"), "recep": _pick(recep, "recep"), "room": _pick(_array(ROOMS), "room")})
+    filled = F.replace(F.replace(_by(F.col("type"), {k: F.lit(v) for k, v in TASKS.items()}), F.lit("{obj}"), F.col("obj")), F.lit("{recep}"), F.col("recep"))
+    events = F.array(
+        F.format_string("You are in the %s. You see a %s with some items on it.", "room", "recep"), F.format_string("You notice a %s on the floor near the %s.", "obj", "recep"),
+        F.format_string("There is also a %s on the %s.", _pick(obj, "obj", 2), _pick(recep, "recep", 2)),
+    )
+    share = F.pmod(_hash("score"), F.lit(1000)) / 1000.0
+    result = F.struct((F.pmod(_hash("success"), F.lit(100)) >= 60).alias("success"), F.round(0.2 + 0.6 * share, 4).alias("partial_score"), (F.pmod(_hash("steps"), F.lit(18)) + 3).alias("steps_taken"), F.lit(30).alias("max_steps"))
+    return x.select(F.col("i").alias("task_id"), filled.alias("instruction"), events.alias("events"), "type", F.concat(F.lit("Complete household task: "), filled).alias("context"), F.struct(result.alias("task_result")).alias("env_kwargs"))
