@@ -29,6 +29,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -298,20 +299,21 @@ def scored(docs: DataFrame) -> DataFrame:
     rest = (size - sum(common[w] + 0.1 for w in names)) / size
     words = {w: i for i, w in enumerate(sorted(names, key=lambda w: (-common[w], w)))}
     net = Network(np.array([(common[w] + 0.1) / size for w in words] + [rest]))
-    base = {w: float(np.log10((c + 0.1) / size)) for w, c in common.items()}
-    shared = spark.sparkContext.broadcast((words, base))  # bounded by COMMON
+    place = {w: i for i, w in enumerate(common)}
+    logs = np.array([*(float(np.log10((c + 0.1) / size)) for c in common.values()), 0.0])  # the last is any other token's
+    word_ids = np.array([*(words.get(w, len(words)) for w in common), len(words)], "<u2")
+    shared = spark.sparkContext.broadcast((place, logs, word_ids))  # bounded by COMMON
 
     def run(batches):
-        words, base = shared.value
-        unknown = len(words)
+        place, logs, word_ids = shared.value
+        unknown = word_ids[-1]
         for b in slices(batches):
             rows = []
             for rid, doc_id, held_out, text in zip(b["rid"], b["doc_id"], b["held_out"], b["text"]):
                 own = tokens(text)
-                ids = np.fromiter((words.get(w, unknown) for w in own), "<u2", len(own))
-                log = [base.get(w) for w in own]
-                rare = Counter(w for w, v in zip(own, log) if v is None)
-                log = np.array([0.0 if v is None else v for v in log])
+                at = np.fromiter(map(place.get, own, repeat(-1)), np.int32, len(own))
+                ids, log = word_ids[at], logs[at]
+                rare = Counter(own[i] for i in np.flatnonzero(at < 0).tolist())
                 other = ids == unknown
                 rows.append((rid, doc_id, held_out, len(own), len(own) - sum(rare.values()), log.sum(), log[other].sum() - other.sum() * np.log10(rest), ids.tobytes(), list(rare), list(rare.values())))
             yield pd.DataFrame(rows, columns=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "ids", "rare", "times"])
