@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotledger.llm import ann, bpe, chat, html, lm, packing, quality, secrets, simhash, urls
+from slotledger.llm import alignment, ann, bpe, chat, html, lm, mixing, negatives, packing, quality, secrets, simhash, urls
 from slotledger.llm.common import table
 
 
@@ -46,5 +46,17 @@ def op10_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_simhash_near_dedup, op4_packing, op5_chat_formatting, op6_secret_scans, op7_lm_scoring, op8_byte_bpe, op9_nearest_neighbours, op10_url_filters)}
-ORACLES = {"op5_chat_formatting": chat.ORACLE, "op10_url_filters": urls.ORACLE}
+def op11_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_simhash_near_dedup, op4_packing, op5_chat_formatting, op6_secret_scans, op7_lm_scoring, op8_byte_bpe, op9_nearest_neighbours, op10_url_filters, op11_source_mixing, op12_hard_negatives, op13_token_alignment)}
+ORACLES = {"op5_chat_formatting": chat.ORACLE, "op10_url_filters": urls.ORACLE, "op11_source_mixing": mixing.ORACLE, "op12_hard_negatives": negatives.ORACLE}
