@@ -6,8 +6,8 @@ other tokenizer's tokens whose byte ranges overlap its own, a run between two se
 repeat and a running index expand. All of this runs over the tokens of many texts at once, each text
 after the last one.
 
-Neither tokenizer has a token that goes from a sign that isn't white space into white space, which is read off their
-vocabularies, so a text is encoded in runs that start with a space after such a sign, and short runs' ids are kept.
+Neither tokenizer has a token that goes from a sign other than white space on to a space (A by its pattern, B by its
+vocabulary, which is looked through), so a text is encoded in runs that start with a space after such a sign, and short runs' ids are kept.
 
 A text's distinct pairs of ids are counted over the corpus in two stages: sums by pair and salt, where all rows
 of a map task share a salt, then by pair. A pair that makes over 1 in ``HOT`` of all links is among at most ``HOT``
@@ -68,8 +68,8 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
         self.numbers = [np.array(list(map(str, range(len(x)))), object) for x in (self.a_bytes, self.b_bytes)]
-        if any(re.search(f"[^{SPACES}{MARK}][{SPACES}{MARK}]", p) for i, p in enumerate(pieces) if not self.b.is_byte(i)):
-            raise ValueError(f"{b} has pieces that go on over white space")
+        if any(re.search(f"[^{SPACES}{MARK}][ {MARK}]", p) for p in pieces):
+            raise ValueError(f"{b} has pieces that go on over a space")
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
     def encoded(self, runs: list[str]) -> list[tuple[bytes, bytes] | None]:
