@@ -3,11 +3,12 @@
 Tokens' byte lengths are summed to their ends (cumsum); ends that both have cut a text into groups
 (intersect1d), and each token's group is found by its end (searchsorted). A token's links are the
 other tokenizer's tokens whose byte ranges overlap its own, a run between two searched positions, which
-repeat and a running index expand. All of this runs over the tokens of many texts at once, each text
+repeat and a running index expand. All of this runs over the tokens of many runs at once, each
 after the last one.
 
 Neither tokenizer has a token that goes from a sign other than white space on to a space (A by its pattern, B by its
-vocabulary, which is looked through), so a text is encoded in runs that start with a space after such a sign, and short runs' ids are kept.
+vocabulary, which is looked through), so a text is encoded in runs
+that start with a space after such a sign. Both tokenizers' tokens end where a run does, so a text's groups and links are those of its runs, and short runs' are kept.
 
 A text's distinct pairs of ids are counted over the corpus in two stages: sums by pair and salt, where all rows
 of a map task share a salt, then by pair. A pair that makes over 1 in ``HOT`` of all links is among at most ``HOT``
@@ -38,10 +39,11 @@ from slotledger.llm.common import cut, slices
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: White space as Unicode has it.
 SPACES = "\t-\r \x85\xa0  -     　"
-#: From a space to the next one that follows a sign other than white space.
-RUN = re.compile(f" (?:[^ ]+|(?<=[{SPACES}]) )*")
+#: From a space to the next one that follows a sign other than white space; spaces at a text's end stay with its last run.
+RUN = re.compile(f" (?:[^ ]+|(?<=[{SPACES}]) | (?= *\\Z))*")
 MARK = "▁"
-CACHED, SHORT, ROWS = 1 << 18, 64, 200
+#: Runs that are kept, and as many older ones; the longest of them; texts of a piece of a batch; signs that are encoded together.
+CACHED, SHORT, ROWS, PART = 1 << 18, 64, 200, 1 << 15
 #: A pair of ids as one integer: A's id above B's.
 SHIFT = 15
 HOT, SALTS = 20_000, 64
@@ -67,75 +69,103 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
-        self.numbers = [np.array(list(map(str, range(len(x)))), object) for x in (self.a_bytes, self.b_bytes)]
+        numbers = [str(i) for x in (self.a_bytes, self.b_bytes) for i in range(len(x))]
+        self.shown = np.array([[n + sign for n in numbers] for sign in ",|;"], object)  # ids of A, then of B, before each sign
         if any(re.search(f"[^{SPACES}{MARK}][ {MARK}]", p) for p in pieces):
             raise ValueError(f"{b} has pieces that go on over a space")
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def encoded(self, runs: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of each run (it starts with a space) by both; None where the bytes of its tokens are not its own."""
-        out = []
-        for run, a, b in zip(runs, self.a.encode_batch(runs, add_special_tokens=False), self.b.encode([r[1:] for r in runs], num_threads=1)):
-            raw = run.encode()
-            same = MARK not in run and b"".join([self.a_bytes[i] for i in a.ids]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            out.append((np.array(a.ids, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None)
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Ids of each text by both, none where it has no tokens."""
+        self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.older: dict[str, tuple[str, bytes, int]] = {}
+
+    def encoded(self, runs: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+        """The runs (each from a space to a sign other than white space, but for single ones) whose tokens' bytes are their own, and the ids of all of them by both, in pieces."""
+        text = "".join(runs)
+        a, b, raw = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
+        if b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw:
+            return runs, [np.array(a, np.int64)], [np.array(b, np.int64)]
+        if len(runs) == 1:
+            return [], [], []
+        one, two = self.encoded(runs[: len(runs) // 2]), self.encoded(runs[len(runs) // 2 :])
+        return one[0] + two[0], one[1] + two[1], one[2] + two[2]
+
+    def learn(self, runs: list[str]) -> dict[str, tuple[str, bytes, int]]:
+        """What each run gives: its groups as text, its links as pairs of ids, and its numbers of tokens and groups. A run whose tokens' bytes differ from it isn't there."""
+        good, a, b = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        part, size = [], 0
+        for run in [r for r in runs if MARK not in r]:
+            alone = run[-1] in SPACES  # what follows could join its white space
+            part += [] if alone else [run]
+            size += len(run)
+            for p in ([run],) * alone + (part,) * (size > PART):
+                for into, found in zip((good, a, b), self.encoded(p) if p else ([], [], [])):
+                    into += found
+            if size > PART:
+                part, size = [], 0
+        for into, found in zip((good, a, b), self.encoded(part) if part else ([], [], [])):
+            into += found
+        return dict(zip(good, aligned([len(r.encode()) for r in good], np.concatenate(a), np.concatenate(b), self)))
+
+    def texts(self, texts: list[str | None]) -> list[list[tuple[str, bytes, int]]]:
+        """What the runs of each text give, nothing where it has no tokens."""
         runs = [RUN.findall(" " + t) if t else [] for t in texts]
-        new = list(set().union(*runs) - self.known.keys()) if runs else []
-        if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = list(set().union(*runs))
-        found = dict(zip(new, self.encoded(new)))
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        new = set().union(*runs) - self.known.keys()
+        self.known |= {k: self.older[k] for k in new & self.older.keys()}  # what is still met stays
+        found = self.learn(sorted(new - self.known.keys()))
         self.known |= {k: v for k, v in found.items() if len(k) <= SHORT}
         out = []
         for own in runs:
-            got = [self.known[r] if r in self.known else found[r] for r in own]
-            out.append((b"", b"") if None in got else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+            got = [self.known.get(r) or found.get(r) for r in own]
+            out.append([] if None in got else got)
         return out
 
 
 @lru_cache(1)
 def pair(a: str, b: str) -> Pair:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores
     return Pair(a, b)
 
 
-def aligned(a: list[np.ndarray], b: list[np.ndarray], p: Pair) -> pd.DataFrame:
-    """n_a, n_b, n_groups, n_links, groups_sha256, and distinct pairs with how often each is linked, of texts whose ids these are."""
-    docs = len(a)
-    n_a, n_b = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
-    a, b = np.concatenate([*a, np.zeros(0, np.int32)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int32)]).astype(np.int64)
-    doc = np.repeat(np.arange(docs), n_a)
+def aligned(sizes: list[int], a: np.ndarray, b: np.ndarray, p: Pair) -> list[tuple[str, bytes, int]]:
+    """Of runs of so many bytes, one after the other, which the tokens a and b cover: groups (each closed by ;), links, and the numbers of a, b and groups in one integer."""
+    ends = np.cumsum(np.array(sizes, np.int64))
     end_a, end_b = np.cumsum(p.sizes[0][a]), np.cumsum(p.sizes[1][b])
-    cuts = np.intersect1d(end_a, end_b, assume_unique=True)  # the ends of texts are among them
+    cuts = np.intersect1d(end_a, end_b, assume_unique=True)  # the ends of runs are among them
     group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-    n_groups = np.bincount(doc[np.searchsorted(end_a, cuts)], minlength=docs)
     # the tokens of b that overlap each of a: from the first that ends after its start to the first that doesn't end before its end
     first, last = np.searchsorted(end_b, end_a - p.sizes[0][a], "right"), np.searchsorted(end_b, end_a)
     n = last - first + 1
+    before = np.cumsum(n) - n
     left = np.repeat(np.arange(len(a)), n)
-    right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[left]
-    own = doc[left]
-    linked, times = np.unique(own << 32 | a[left] << SHIFT | b[right], return_counts=True)
-    at = np.searchsorted(linked >> 32, np.arange(docs + 1))
-    pairs = (linked & 0xFFFFFFFF).astype(np.int32)
+    right = np.arange(len(left)) - before[left] + first[left]
+    links = (a[left] << SHIFT | b[right]).astype("<i4").tobytes()
     # a group's ids of a, then those of b: each with the sign that follows it
     side = np.concatenate([group_a * 2, group_b * 2 + 1])
     order = np.argsort(side, kind="stable")
-    closes = np.append(side[order][1:] != side[order][:-1], True)[: len(order)]
-    words = np.concatenate([p.numbers[0][a], p.numbers[1][b]])[order]
-    signs = np.where(closes, np.where(side[order] % 2 == 0, "|", ";"), ",").astype(object)
-    parts, ends, hashes = (words + signs).tolist(), np.cumsum(n_a + n_b), []
-    for i, e in enumerate(ends):
-        made = "".join(parts[e - n_a[i] - n_b[i] : e])
-        hashes.append(hashlib.sha256(made[:-1].encode()).hexdigest() if made else "")
-    cut_up = lambda x: [x[i:j] for i, j in zip(at, at[1:])]
-    return pd.DataFrame({"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(own, minlength=docs), "groups_sha256": hashes, "pairs": cut_up(pairs), "times": cut_up(times.astype(np.int32))})
+    side = side[order]
+    closes = np.append(side[1:] != side[:-1], [True] * min(len(side), 1))
+    sign = np.where(closes, 1 + side % 2, 0)
+    shown = np.concatenate([a, b + len(p.a_bytes)])[order]
+    parts = p.shown[sign, shown].tolist()
+    at_a, at_b, at_g = (np.searchsorted(x, ends, "right") for x in (end_a, end_b, cuts))
+    at_l = np.append(before, len(left))[at_a]
+    out, i, j, g, m = [], 0, 0, 0, 0
+    for i2, j2, g2, m2 in zip(at_a.tolist(), at_b.tolist(), at_g.tolist(), at_l.tolist()):
+        out.append(("".join(parts[i + j : i2 + j2]), links[4 * m : 4 * m2], (i2 - i) << 80 | (j2 - j) << 40 | g2 - g))
+        i, j, g, m = i2, j2, g2, m2
+    return out
+
+
+def summed(got: list[tuple[str, bytes, int]]) -> tuple:
+    """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and how often each is linked, of a text's runs."""
+    if not got:
+        return 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int32)
+    made, links, n = "".join([g[0] for g in got]), np.frombuffer(b"".join([g[1] for g in got]), "<i4"), sum([g[2] for g in got])
+    pairs, times = np.unique(links, return_counts=True)
+    low = (1 << 40) - 1
+    return n >> 80, n >> 40 & low, n & low, len(links), hashlib.sha256(made[:-1].encode()).hexdigest(), pairs, times.astype(np.int32)
+
+
+COLUMNS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
 
 def tokenised(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
@@ -146,14 +176,12 @@ def tokenised(docs: DataFrame, a: str | None = None, b: str | None = None) -> Da
         p = pair(a, b)
         for part in slices(batches, ROWS):
             if len(part):
-                ids = p.ids(part["text"].tolist())
-                read = lambda side: [np.frombuffer(i[side], "<i4") for i in ids]
-                out = aligned(read(0), read(1), p)
+                out = pd.DataFrame([summed(got) for got in p.texts(part["text"].tolist())], columns=[c.split()[0] for c in COLUMNS.split(", ")])
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {COLUMNS}")
 
 
 def counted(links: DataFrame) -> DataFrame:
