@@ -6,7 +6,7 @@ never the key's rows, so a hot key costs time but no memory beyond its store.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain, groupby
 
 import numpy as np
@@ -69,22 +69,43 @@ def similarity_upsert(vectors: DataFrame, threshold: float) -> DataFrame:
     def fold(rows):
         store, writes, last = Vectors(), [], []
         for _, i, v in rows:
-            near = store.scores(v)
-            at = int(near.argmax()) if len(near) else -1
-            if at >= 0 and near[at] >= threshold:
-                store.room[at] = v
-                writes[at] += 1
-                last[at] = i
-            else:
-                store.add(v)
-                writes.append(1)
-                last.append(i)
+            upsert(store, writes, last, threshold, i, v)
         yield from zip(range(store.n), writes, last)
 
     x = vectors.select("episode_id", "event_idx", "vector")
     return ordered_fold(x, "episode_id", ["event_idx"], fold, "episode_id long, entry long, n_writes long, last_event_idx long")
 
 
+def similarity_sweep(vectors: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """``similarity_upsert`` for each threshold, over one shuffle and one sort: every row goes to a store of each."""
+
+    def fold(rows):
+        stores = [(t, Vectors(), [], []) for t in thresholds]
+        for _, i, v in rows:
+            for t, store, writes, last in stores:
+                upsert(store, writes, last, t, i, v)
+        for t, store, writes, last in stores:
+            yield from ((t, n, writes[n], last[n]) for n in range(store.n))
+
+    x = vectors.select("episode_id", "event_idx", "vector")
+    return ordered_fold(x, "episode_id", ["event_idx"], fold, "episode_id long, threshold double, entry long, n_writes long, last_event_idx long")
+
+
+def upsert(store: Vectors, writes: list, last: list, threshold: float, i: int, v) -> int:
+    """One step of the similarity upsert; the place that was written."""
+    near = store.scores(v)
+    at = int(near.argmax()) if len(near) else -1
+    if at >= 0 and near[at] >= threshold:
+        store.room[at] = v
+        writes[at] += 1
+        last[at] = i
+        return at
+    store.add(v)
+    writes.append(1)
+    last.append(i)
+    return store.n - 1
+
+
 def keyword_upsert(texts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(key, idx, text): a text with over three words in common with another entry overwrites the first such; else a factual one is added, and beyond ``capacity`` the oldest goes.
 

@@ -44,6 +44,16 @@ def lexical_top_k(queries: DataFrame, texts: DataFrame, key: str, k: int) -> Dat
     return x.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def merged(lists: list[DataFrame], key: str, item: str) -> DataFrame:
+    """(key, item, source, rank, place): ranked lists one after the other, each item at its first place alone."""
+    x = [d.select(key, item, F.lit(i).alias("source"), "rank") for i, d in enumerate(lists)]
+    for other in x[1:]:
+        x[0] = x[0].unionByName(other)
+    first = x[0].groupBy(key, item).agg(F.min(F.struct("source", "rank")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("first")).cast("long")
+    return first.select(key, item, "first.source", "first.rank", place.alias("place"))
+
+
 def links(entries: DataFrame, key: str, least: float) -> DataFrame:
     """Pairs (src, dst) of a key with an inner product of at least ``least``; src is the later entry."""
     a, b = entries.alias("a"), entries.alias("b")
