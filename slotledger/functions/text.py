@@ -28,7 +28,7 @@ def token_f1(predicted: Column, gold: Column) -> Column:
 
 
 def exact_match(predicted: Column, gold: Column) -> Column:
-    return F.when(F.lower(F.trim(predicted)) == F.lower(F.trim(gold)), 1.0).otherwise(0.0)
+    return F.when(F.lower(strip(predicted)) == F.lower(strip(gold)), 1.0).otherwise(0.0)
 
 
 def contains_value(answer: Column, gold: Column) -> Column:
@@ -39,7 +39,7 @@ def contains_value(answer: Column, gold: Column) -> Column:
 
 def contains_raw(answer: Column, gold: Column) -> Column:
     """Plain substring after trim and lower case; an empty gold value always is."""
-    return F.contains(F.lower(F.trim(answer)), F.lower(F.trim(gold)))
+    return F.contains(F.lower(strip(answer)), F.lower(strip(gold)))
 
 
 def strip(c: Column) -> Column:

@@ -11,18 +11,18 @@ from slotledger.functions.text import contains_value, normalize_value, strip
 
 
 def gold_slots(facts: DataFrame) -> DataFrame:
-    """The slot of each episode that is written most (ties: least attribute), its last value and number of writes."""
+    """The slot of each episode that is written most (ties: least attribute, then entity), its last value and number of writes."""
     n = facts.groupBy("episode_id", "entity", "attribute").agg(F.count("*").alias("k_updates"), F.max_by("value", "event_idx").alias("gold"))
-    first = F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("k_updates"), "attribute"))
+    first = F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("k_updates"), "attribute", "entity"))
     return n.withColumn("n", first).where("n = 1").drop("n")
 
 
 def burden(entries: DataFrame, gold: DataFrame) -> DataFrame:
     """Entries of each episode's gold slot: all, with the gold value, with a stale one; and the store's size."""
     same = (F.col("e.entity") == F.col("g.entity")) & (F.col("e.attribute") == F.col("g.attribute"))
-    raw = lambda c: F.lower(F.trim(c))
+    raw = lambda c: F.lower(strip(F.col(c)))
     x = gold.alias("g").join(entries.alias("e"), "episode_id", "left")
-    hit, some = raw(F.col("e.value")) == raw(F.col("g.gold")), raw(F.col("e.value")) != ""
+    hit, some = raw("e.value") == raw("g.gold"), raw("e.value") != ""
     return x.groupBy("episode_id").agg(
         F.count("e.created_idx").alias("memory_size"),
         F.count_if(same).alias("same_slot"),

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotledger.functions.text import dot, words
+from slotledger.functions.text import dot, strip, words
 
 
 def scored_within(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def confident_top_k(scored: DataFrame, confidence: str, k: int) -> DataFrame:
 
 def lexical_top_k(queries: DataFrame, texts: DataFrame, key: str, k: int) -> DataFrame:
     """Texts of the query's key by shared terms, then recency."""
-    x = queries.select(key, "query").join(texts, key).where(F.trim("text") != "")
+    x = queries.select(key, "query").join(texts, key).where(strip(F.col("text")) != "")
     x = x.withColumn("overlap", F.size(F.array_intersect(F.array_distinct(words(F.col("query"))), words(F.col("text")))).cast("long"))
     w = Window.partitionBy(key).orderBy(F.desc("overlap"), F.desc("idx"))
     return x.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotledger.functions import slots, text
+from slotledger.functions.text import strip
 from slotledger.sources.facts import events_of
 
 SLOT = ("episode_id", "entity", "attribute")
@@ -15,7 +16,11 @@ UPSERTS = ("constrained_slot_crud", "parsed_slot_update")
 
 def actions(eps: DataFrame) -> DataFrame:
     """The slot action of each event: ADD or UPDATE of its slot, NOOP without one, with the sentence."""
-    facts = slots.parse(events_of(eps))
+    return acted(slots.parse(events_of(eps)))
+
+
+def acted(facts: DataFrame) -> DataFrame:
+    """``actions`` of parsed sentences."""
     n = F.row_number().over(Window.partitionBy(*SLOT).orderBy("event_idx"))
     op = F.when(F.col("entity").isNull(), "NOOP").when(n > 1, "UPDATE").otherwise("ADD")
     return facts.withColumn("operation", op)
@@ -37,10 +42,18 @@ def stores(acts: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
 
 
 def result_rows(eps: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
-    """One row for each mode and episode: burden and state of its gold slot, and the answer read from the slot's newest entry."""
-    entries = stores(slots.parse(events_of(eps)), modes)
-    gold = eps.select("episode_id", F.col("entity").alias("g_entity"), F.col("attribute").alias("g_attribute"), F.col("value").alias("g_value"), "answer", "k_updates", "num_events", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
-    low = lambda c: F.lower(F.trim(c))
+    """``judged`` for episodes with their sentences."""
+    return judged(slots.parse(events_of(eps)), eps, modes)
+
+
+def judged(facts: DataFrame, golds: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """One row for each mode and episode: burden and state of its gold slot, and the answer read from the slot's newest entry.
+
+    facts: as ``slots.parse`` gives them; golds: episode_id, entity, attribute, value, answer, k_updates, num_events.
+    """
+    entries = stores(facts, modes)
+    gold = golds.select("episode_id", F.col("entity").alias("g_entity"), F.col("attribute").alias("g_attribute"), F.col("value").alias("g_value"), "answer", "k_updates", "num_events", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    low = lambda c: F.lower(strip(F.col(c)))
     same = (F.col("entity") == F.col("g_entity")) & (F.col("attribute") == F.col("g_attribute"))
     hit, some = low("value") == low("g_value"), low("value") != ""
     held = (low("g_value") != "") & F.contains(F.lower("content"), low("g_value"))
@@ -102,14 +115,14 @@ def matrix(rows: DataFrame, value: str, ks: tuple[int, ...]) -> DataFrame:
     return x.groupBy("mode").pivot("k_updates", list(ks)).agg(F.first("v")).toDF("mode", *[f"k{k}" for k in ks])
 
 
-def recent_trace(eps: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+def recent_trace(golds: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """Of each episode's store the ``k`` newest entries, newest first, as a trace: arrays of entries and flags.
 
     A distractor is an entry of another entity whose name holds the last part of the gold entity's.
     """
     w = Window.partitionBy("episode_id").orderBy(F.desc("updated_idx"), F.desc("created_idx"))
     e = entries.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnsRenamed({"entity": "e_entity", "attribute": "e_attribute", "value": "e_value"})
-    x = eps.select("episode_id", "entity", "attribute", "value", "answer").join(e, "episode_id", "left")
+    x = golds.select("episode_id", "entity", "attribute", "value", "answer").join(e, "episode_id", "left")
     held = F.coalesce(text.contains_value(F.col("content"), F.col("answer")) | (text.normalize_value(F.coalesce("e_value", F.lit(""))) == text.normalize_value(F.col("answer"))), F.lit(False))
     same = (F.col("e_entity") == F.col("entity")) & (F.col("e_attribute") == F.col("attribute"))
     right = text.normalize_value(F.col("e_value")) == text.normalize_value(F.col("answer"))
@@ -139,7 +152,7 @@ def answer_error(rows: DataFrame) -> DataFrame:
 
     Columns: em, value_em, state_error, predicted, gold_answer, stale_values (array), has_trace and the three flags of a trace.
     """
-    norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    norm = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
     p, g = norm(F.col("predicted")), norm(F.col("gold_answer"))
     values = F.array_distinct(F.filter(F.concat(F.transform(F.coalesce("stale_values", F.expr("CAST(array() AS array<string>)")), norm), F.array(g)), lambda v: v != ""))
     several = F.size(F.filter(values, lambda v: F.contains(p, v))) > 1
@@ -165,7 +178,7 @@ DIAGNOSES = (
 
 def diagnosis(rows: DataFrame) -> DataFrame:
     """``rows`` (answer_value_present, predicted, gold_answer, retrieved_text, stale_retrieved_count) with ``diagnosis``."""
-    p, g = F.trim("predicted"), F.trim("gold_answer")
+    p, g = strip(F.col("predicted")), strip(F.col("gold_answer"))
     copies = (p != "") & F.contains(F.lower("retrieved_text"), F.lower(p)) & (F.lower(p) != F.lower(g))
     d = F.when(F.col("answer_value_present"), DIAGNOSES[0]).when(copies, DIAGNOSES[1]).when(F.col("stale_retrieved_count") > 0, DIAGNOSES[2]).otherwise(DIAGNOSES[3])
     return rows.withColumn("diagnosis", d)

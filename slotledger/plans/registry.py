@@ -43,11 +43,6 @@ def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_id"), F.floor(F.col("vec_id") / 100).alias("episode_id"), F.col("label").alias("slot"), F.col("vec_id").alias("event_idx"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def scored(spark, sf):
-    v = vectors(spark, sf)
-    return retrieval.scored_within(v.withColumnRenamed("entry_id", "query_id"), v)
-
-
 def every(spark, sf, k):
     """The k best for every entry as query, with slot and event_idx."""
     v = vectors(spark, sf)
@@ -132,20 +127,20 @@ def state_error_taxonomy(spark, sf):
 
 @query(f"WITH {VECTORS}, {SCORED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM scored) WHERE rank <= 5")
 def topk_cosine(spark, sf):
-    return retrieval.top_k(scored(spark, sf), 5)
+    return every(spark, sf, 5)
 
 
 @query(f"""WITH {VECTORS}, {SCORED}, k AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, slot ORDER BY event_idx DESC, score DESC, entry_id) = 1)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM k) WHERE rank <= 5""")
 def latest_per_slot_topk(spark, sf):
-    return retrieval.latest_per_slot(scored(spark, sf), 5)
+    return retrieval.newest_within(vectors(spark, sf), "episode_id", 5)
 
 
 @query(f"""WITH {VECTORS}, {SCORED}, r AS (SELECT *, (entry_id % 10) / 10.0 AS confidence FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) <= 15),
 m AS (SELECT query_id, entry_id, round(CAST(0.5 * CAST(confidence AS DOUBLE) + 0.5 * score AS DOUBLE), 7) AS mixed FROM r)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, entry_id) AS rank FROM m) WHERE rank <= 5""")
 def topk_confident(spark, sf):
-    x = scored(spark, sf).withColumn("confidence", F.col("entry_id") % 10 / 10.0)
+    x = every(spark, sf, 15).drop("rank").withColumn("confidence", F.col("entry_id") % 10 / 10.0)
     return retrieval.confident_top_k(x, "confidence", 5).select("query_id", "entry_id", "mixed", "rank")
 
 
@@ -153,7 +148,7 @@ def topk_confident(spark, sf):
 q AS (SELECT vec_id AS query_id, label FROM embeddings)
 SELECT k, round(avg(CASE WHEN r.slot = q.label THEN 1.0 ELSE 0.0 END), 6) AS same_slot_rate FROM r JOIN q USING (query_id) JOIN (SELECT unnest([1, 3, 5, 10]) AS k) ON rank <= k GROUP BY k""")
 def topk_sweep(spark, sf):
-    return sweep(spark, sf, retrieval.top_k(scored(spark, sf), 10))
+    return sweep(spark, sf, every(spark, sf, 10))
 
 
 def sweep(spark, sf, wide):
@@ -162,43 +157,16 @@ def sweep(spark, sf, wide):
     return x.groupBy("k").agg(F.round(F.avg(F.when(F.col("slot") == F.col("label"), 1.0).otherwise(0.0)), 6).alias("same_slot_rate"))
 
 
-@query()
-def topk_cosine_whole(spark, sf):
-    return every(spark, sf, 5)
-
-
-@query()
-def latest_per_slot_topk_whole(spark, sf):
-    return retrieval.newest_within(vectors(spark, sf), "episode_id", 5)
-
-
-@query()
-def topk_confident_whole(spark, sf):
-    x = every(spark, sf, 15).drop("rank").withColumn("confidence", F.col("entry_id") % 10 / 10.0)
-    return retrieval.confident_top_k(x, "confidence", 5).select("query_id", "entry_id", "mixed", "rank")
-
-
-@query()
-def topk_sweep_whole(spark, sf):
-    return sweep(spark, sf, every(spark, sf, 10))
-
-
 @query(f"""WITH {VECTORS} SELECT a.entry_id AS src, b.entry_id AS dst FROM vectors a JOIN vectors b ON a.episode_id = b.episode_id AND b.entry_id < a.entry_id
 WHERE list_inner_product(a.vector, b.vector) >= 0.45""")
 def threshold_links(spark, sf):
-    return retrieval.links(vectors(spark, sf), "episode_id", 0.45)
+    return retrieval.links_within(vectors(spark, sf), "episode_id", 0.45)
 
 
 @query(f"""WITH {VECTORS}, l AS (SELECT a.entry_id AS src, b.entry_id AS dst FROM vectors a JOIN vectors b ON a.episode_id = b.episode_id AND b.entry_id < a.entry_id WHERE list_inner_product(a.vector, b.vector) >= 0.35),
 e AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l), one AS (SELECT src AS start, dst AS node FROM e)
 SELECT start, node FROM (SELECT start, node FROM one UNION SELECT start, dst FROM one JOIN e ON node = src) WHERE start <> node""")
 def bfs_depth2(spark, sf):
-    v = vectors(spark, sf)
-    return retrieval.neighbours(retrieval.links(v, "episode_id", 0.35), v.select(F.col("entry_id").alias("start")), 2)
-
-
-@query()
-def bfs_depth2_whole(spark, sf):
     v = vectors(spark, sf)
     return retrieval.neighbours(retrieval.links_within(v, "episode_id", 0.35), v.select(F.col("entry_id").alias("start")), 2)
 
@@ -206,7 +174,7 @@ def bfs_depth2_whole(spark, sf):
 @query(f"""WITH {VECTORS}, l AS (SELECT a.entry_id AS src, b.entry_id AS dst FROM vectors a JOIN vectors b ON a.episode_id = b.episode_id AND b.entry_id < a.entry_id WHERE list_inner_product(a.vector, b.vector) >= 0.35),
 e AS (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l) SELECT src AS node, count(*) AS degree FROM e GROUP BY src HAVING count(*) >= 2""")
 def dense_subgraph(spark, sf):
-    l = retrieval.links(vectors(spark, sf), "episode_id", 0.35)
+    l = retrieval.links_within(vectors(spark, sf), "episode_id", 0.35)
     both = l.unionByName(l.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).where("degree >= 2")
 
@@ -216,14 +184,8 @@ def normalize_value(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalize_value(F.col("text")).alias("norm"))
 
 
-@query()
-def normalize_value_whole(spark, sf):
-    """The whole text of every document; beyond ASCII the two engines' lower case and white space differ, so no SQL."""
-    return table(spark, sf, "documents").select("doc_id", text.normalize_value(F.col("text")).alias("norm"))
-
-
 @query("""WITH p AS (SELECT d.doc_id, list_filter(string_split_regex(lower(d.text), '\\s+'), lambda w: w <> '') AS a, list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: w <> '') AS b,
-lower(trim(d.text)) = lower(trim(b.text)) AS same, contains(lower(trim(d.text)), lower(trim(b.text))) AS held FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
+lower(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) = lower(regexp_replace(b.text, '^\\s+|\\s+$', '', 'g')) AS same, contains(lower(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')), lower(regexp_replace(b.text, '^\\s+|\\s+$', '', 'g'))) AS held FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
 s AS (SELECT *, len(list_intersect(a, b)) AS i FROM p)
 SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 OR i = 0 THEN 0.0::DOUBLE ELSE round(2 * (i / len(a)) * (i / len(b)) / (i / len(a) + i / len(b)), 6) END AS f1,
 CASE WHEN same THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em, held AS contains_raw FROM s""")
@@ -234,25 +196,16 @@ def answer_scores(spark, sf):
     return x.select("doc_id", F.round(text.token_f1(p, g), 6).alias("f1"), text.exact_match(p, g).alias("em"), text.contains_raw(p, g).alias("contains_raw"))
 
 
-@query()
-def answer_scores_whole(spark, sf):
-    """Documents are dealt over all items of the benchmark."""
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"))
-    x = d.withColumn("item_id", F.col("doc_id") % b.count()).join(b, "item_id")
-    p, g = F.col("text"), F.col("gold")
-    return x.select("doc_id", "item_id", F.round(text.token_f1(p, g), 6).alias("f1"), text.exact_match(p, g).alias("em"), text.contains_raw(p, g).alias("contains_raw"))
-
-
-@query("""WITH c AS (SELECT conv_id, turn, text, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM conversations WHERE trim(text) <> ''),
+@query("""WITH c AS (SELECT conv_id, turn, text, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM conversations WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
 q AS (SELECT conv_id, arg_max(w, turn) AS q FROM c GROUP BY conv_id), s AS (SELECT c.conv_id, turn AS idx, CAST(len(list_intersect(q, w)) AS BIGINT) AS overlap FROM c JOIN q ON c.conv_id = q.conv_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, idx DESC) AS rank FROM s) WHERE rank <= 3""")
 def lexical_topk(spark, sf):
-    c = table(spark, sf, "conversations").where(F.trim("text") != "")
+    c = table(spark, sf, "conversations").where(text.strip(F.col("text")) != "")
     q = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("query"))
     return retrieval.lexical_top_k(q, c.select("conv_id", F.col("turn").alias("idx"), "text"), "conv_id", 3).select("conv_id", "idx", "overlap", "rank")
 
 
-@query("SELECT conv_id, turn AS event_idx, upper(role[1]) || role[2:] || ' says: ' || text AS event FROM conversations WHERE trim(text) <> ''")
+@query("SELECT conv_id, turn AS event_idx, upper(role[1]) || role[2:] || ' says: ' || coalesce(text, '') AS event FROM conversations")
 def conversation_stream(spark, sf):
     return conversation_events(table(spark, sf, "conversations"))
 
@@ -388,13 +341,3 @@ def opcount_map_sum(spark, sf):
 @query("""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) = 1""")
 def evict_lowest(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("event_id"))
-
-
-@query("""WITH g AS (SELECT * FROM (SELECT unnest([1, 2, 4, 8, 16]) AS k), (SELECT unnest([3, 4]) AS d))
-SELECT k, d, CAST(3 * k - 1 + k // d AS BIGINT) AS events, CAST(least(k, 2) + k + k // d AS BIGINT) AS upsert_size, CAST(2 * k - 1 AS BIGINT) AS slotted FROM g""")
-def generator_counts(spark, sf):
-    from slotledger.sources.generators import split_events
-
-    x = split_events(spark, (1, 2, 4, 8, 16), (3, 4))
-    slotted = F.col("kind").isin("update", "distractor")
-    return x.groupBy("k", "d").agg(F.count("*").alias("events"), (F.count_if(~slotted) + F.count_distinct(F.when(slotted, F.col("kind")))).alias("upsert_size"), F.count_if(slotted).alias("slotted"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slotledger.operators import metrics, retrieval
-from slotledger.plans.registry import FACTS, GOLD, SCORED, VECTORS, every, facts, query, scored, vectors
+from slotledger.plans.registry import FACTS, GOLD, SCORED, VECTORS, every, facts, query, vectors
 from slotledger.sources.facts import table
 
 TRACE = f"""WITH {VECTORS}, {SCORED}, own AS (SELECT vec_id AS query_id, label FROM embeddings), newest AS (SELECT episode_id, slot, max(event_idx) AS newest FROM vectors GROUP BY ALL),
@@ -15,12 +15,11 @@ t AS (SELECT r.query_id, r.rank, r.entry_id, coalesce(r.slot = own.label AND r.e
 FROM r JOIN own USING (query_id) LEFT JOIN newest n ON n.episode_id = r.query_id // 100 AND n.slot = own.label WHERE rank <= 10)"""
 
 
-def trace(spark, sf, whole=False):
-    """Rank, entry, gold and stale flag of the ten best entries of each query; ``whole``: of every entry."""
+def trace(spark, sf):
+    """Rank, entry, gold and stale flag of the ten best entries of every entry as query."""
     own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     newest = vectors(spark, sf).groupBy(F.col("episode_id").alias("e"), F.col("slot").alias("label")).agg(F.max("event_idx").alias("newest"))
-    best = every(spark, sf, 10) if whole else retrieval.top_k(scored(spark, sf), 10)
-    x = best.join(own, "query_id").withColumn("e", F.floor(F.col("query_id") / 100)).join(newest, ["e", "label"], "left")
+    x = every(spark, sf, 10).join(own, "query_id").withColumn("e", F.floor(F.col("query_id") / 100)).join(newest, ["e", "label"], "left")
     same, new = F.col("slot") == F.col("label"), F.col("event_idx") == F.col("newest")
     no = F.lit(False)
     return x.select("query_id", "rank", "entry_id", F.coalesce(same & new, no).alias("gold"), F.coalesce(same & ~new, no).alias("stale"))
@@ -32,52 +31,32 @@ def retrieved_trace(spark, sf):
 
 
 @query(TRACE + " SELECT query_id, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY rank) AS entries, bool_or(gold) AS gold, bool_or(stale) AS stale, count(*) FILTER (stale) AS stale_count FROM t GROUP BY query_id")
-def trace_flags(spark, sf, whole=False):
-    g = trace(spark, sf, whole).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry_id"))).alias("e"), F.bool_or("gold").alias("gold"), F.bool_or("stale").alias("stale"), F.count_if("stale").alias("stale_count"))
+def trace_flags(spark, sf):
+    g = trace(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry_id"))).alias("e"), F.bool_or("gold").alias("gold"), F.bool_or("stale").alias("stale"), F.count_if("stale").alias("stale_count"))
     return g.withColumn("e", F.array_join(F.transform("e", lambda s: s["entry_id"].cast("string")), ",")).withColumnRenamed("e", "entries")
 
 
 @query(TRACE + """, f AS (SELECT query_id, bool_or(gold) AS g, bool_or(stale) AS s FROM t GROUP BY query_id)
 SELECT CASE WHEN query_id % 100 = 0 THEN 'answer_correct' WHEN query_id % 150 = 0 THEN 'no_trace' WHEN NOT g THEN 'gold_not_retrieved' WHEN s THEN 'stale_contamination' ELSE 'gold_retrieved_wrong' END AS error, count(*) AS n FROM f GROUP BY 1""")
-def answer_error_taxonomy(spark, sf, whole=False):
-    f = trace(spark, sf, whole).groupBy("query_id").agg(F.bool_or("gold").alias("g"), F.bool_or("stale").alias("s"))
+def answer_error_taxonomy(spark, sf):
+    f = trace(spark, sf).groupBy("query_id").agg(F.bool_or("gold").alias("g"), F.bool_or("stale").alias("s"))
     q = F.col("query_id")
     e = F.when(q % 100 == 0, "answer_correct").when(q % 150 == 0, "no_trace").when(~F.col("g"), "gold_not_retrieved").when(F.col("s"), "stale_contamination").otherwise("gold_retrieved_wrong")
     return f.groupBy(e.alias("error")).agg(F.count("*").alias("n"))
 
 
 @query(TRACE + ", f AS (SELECT query_id, max(CAST(gold AS INT)) AS g, max(CAST(stale AS INT)) AS s, count(*) FILTER (stale) AS n FROM t GROUP BY query_id) SELECT round(avg(g), 6) AS gold_rate, round(avg(s), 6) AS stale_rate, round(avg(n), 6) AS mean_stale FROM f")
-def retrieval_rates(spark, sf, whole=False):
-    f = trace(spark, sf, whole).groupBy("query_id").agg(F.max(F.col("gold").cast("int")).alias("g"), F.max(F.col("stale").cast("int")).alias("s"), F.count_if("stale").alias("n"))
+def retrieval_rates(spark, sf):
+    f = trace(spark, sf).groupBy("query_id").agg(F.max(F.col("gold").cast("int")).alias("g"), F.max(F.col("stale").cast("int")).alias("s"), F.count_if("stale").alias("n"))
     return f.agg(*[F.round(F.avg(a), 6).alias(b) for a, b in (("g", "gold_rate"), ("s", "stale_rate"), ("n", "mean_stale"))])
 
 
-@query()
-def retrieved_trace_whole(spark, sf):
-    return trace(spark, sf, True)
-
-
-@query()
-def trace_flags_whole(spark, sf):
-    return trace_flags(spark, sf, True)
-
-
-@query()
-def answer_error_taxonomy_whole(spark, sf):
-    return answer_error_taxonomy(spark, sf, True)
-
-
-@query()
-def retrieval_rates_whole(spark, sf):
-    return retrieval_rates(spark, sf, True)
-
-
 @query(f"""WITH {VECTORS}, l AS (SELECT a.entry_id AS src, b.entry_id AS dst FROM vectors a JOIN vectors b ON a.episode_id = b.episode_id AND b.entry_id < a.entry_id WHERE list_inner_product(a.vector, b.vector) >= 0.3)
 SELECT src, dst FROM l WHERE src % 3 <> 0 AND dst % 3 <> 0""")
 def delete_cascade(spark, sf):
     v = vectors(spark, sf)
     gone = v.where("entry_id % 3 = 0").select("entry_id")
-    l = retrieval.links(v, "episode_id", 0.3)
+    l = retrieval.links_within(v, "episode_id", 0.3)
     return l.join(gone, l["src"] == gone["entry_id"], "left_anti").join(gone, l["dst"] == gone["entry_id"], "left_anti")
 
 
@@ -129,17 +108,10 @@ def seed_stability(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("deviation"), F.round(F.max(v) - F.min(v), 6).alias("spread"))
 
 
-@query("""SELECT p.x AS policy, o.x AS ordering, CAST(s.x AS BIGINT) AS stale_count FROM (SELECT unnest(['none', 'distinct', 'same_as_current']) AS x) p, (SELECT unnest(['chronological', 'reverse', 'current_last']) AS x) o, (SELECT unnest([0, 1, 3, 7, 15]) AS x) s""")
-def probe_grid(spark, sf):
-    each = lambda *v: F.explode(F.array(*map(F.lit, v)))
-    x = spark.range(1).select(each("none", "distinct", "same_as_current").alias("policy")).select("policy", each("chronological", "reverse", "current_last").alias("ordering"))
-    return x.select("policy", "ordering", F.explode(F.expr("array(0L, 1L, 3L, 7L, 15L)")).alias("stale_count"))
-
-
-@query("""SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS answers, count(*) FILTER (role = 'user' AND length(trim(text)) > 3) AS asked FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS answers, count(*) FILTER (role = 'user' AND length(text) > 3) AS asked FROM conversations GROUP BY conv_id""")
 def conversation_counts(spark, sf):
     r = F.col("role")
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(r == "assistant").alias("answers"), F.count_if((r == "user") & (F.length(F.trim("text")) > 3)).alias("asked"))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(r == "assistant").alias("answers"), F.count_if((r == "user") & (F.length("text") > 3)).alias("asked"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slotledger.sources.arrays import elements, opened
+
 EPISODE = "events array<string>, question string, answer string, entity string, attribute string, value string, latest_event_idx bigint, category string, stress_type string, k_updates int, distractor_level string, noop_level string, num_events int, num_target_updates int, num_updates int"
 
 
@@ -26,25 +28,36 @@ def slot_events(events: DataFrame) -> DataFrame:
 
 
 def episodes(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
-    """Episodes of a JSON array file, with their position as episode_id and defaults for missing keys; rows [start, end)."""
-    whole = spark.read.text(path, wholetext=True)
-    kind = f"array<struct<{', '.join(':'.join(c.split(' ', 1)) for c in EPISODE.split(', '))}>>"
-    x = whole.select(F.posexplode(F.from_json("value", kind)).alias("episode_id", "e")).select(F.col("episode_id").cast("long"), "e.*")
-    x = x.withColumns({
+    """Episodes of a JSON array file, with their position as episode_id and defaults for missing keys; rows [start, end).
+
+    The file is read in blocks cut between elements; a missing file and an empty range are errors.
+    """
+    x = elements(spark, path, start, end).select(F.col("position").alias("episode_id"), F.from_json("value", EPISODE).alias("e")).select("episode_id", "e.*")
+    return x.withColumns({
         "entity": F.coalesce("entity", F.lit("user")),
         "attribute": F.coalesce("attribute", F.lit("unknown")),
         "value": F.coalesce("value", "answer"),
         "latest_event_idx": F.coalesce("latest_event_idx", F.lit(-1)),
         "num_updates": F.coalesce("num_updates", F.size("events")),
     })
-    x = x.where(F.col("episode_id") >= start)
-    return x if end is None else x.where(F.col("episode_id") < end)
+
+
+def split_file(folder: str, prefix: str, split: str, legacy: str = "test") -> str:
+    """The file of a split of a data folder; for the ``legacy`` split also the older name that has ``legacy`` in it. Neither is an error."""
+    for name in [f"{prefix}_{split}.json"] + [f"{prefix}.json"] * (split == legacy):
+        path = f"{folder.rstrip('/')}/{name}"
+        try:
+            with opened(path):
+                return path
+        except FileNotFoundError:
+            pass
+    raise FileNotFoundError(f"no file of split {split} in {folder}")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
     """A file of JSON lines, without blank ones; the first ``limit`` where that is asked for."""
-    x = spark.read.schema(schema).json(path)
-    x = x.dropna("all")
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$"))
+    x = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
     return x if limit is None else x.limit(limit)
 
 
@@ -99,5 +112,5 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """(conv_id, event_idx, event): turns as the sentences of an event stream; blank turns go."""
-    return conversations.where(F.trim("text") != "").select("conv_id", F.col("turn").alias("event_idx"), F.concat(F.initcap("role"), F.lit(" says: "), F.col("text")).alias("event"))
+    """(conv_id, event_idx, event): turns as the sentences of an event stream, blank ones too; a null text is empty."""
+    return conversations.select("conv_id", F.col("turn").alias("event_idx"), F.concat(F.initcap("role"), F.lit(" says: "), F.coalesce("text", F.lit(""))).alias("event"))

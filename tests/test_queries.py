@@ -64,9 +64,22 @@ def test_text_scores(spark):
 
     from slotledger.functions import text
 
-    x = spark.createDataFrame([("the cat sat", "the cat"), ("a a", "a a"), ("", "x")], "p string, g string")
-    got = x.select(text.token_f1(F.col("p"), F.col("g")), text.exact_match(F.col("p"), F.col("g"))).collect()
-    assert [round(r[0], 6) for r in got] == [0.8, 0.5, 0.0] and [r[1] for r in got] == [0.0, 1.0, 0.0]
+    x = spark.createDataFrame([("the cat sat", "the cat"), ("a a", "a a"), ("", "x"), ("Paris\n", " paris"), ("\tParis ", "Paris\r\n")], "p string, g string")
+    got = x.select(text.token_f1(F.col("p"), F.col("g")), text.exact_match(F.col("p"), F.col("g")), text.contains_raw(F.col("p"), F.col("g"))).collect()
+    assert [round(r[0], 6) for r in got] == [0.8, 0.5, 0.0, 1.0, 1.0] and [r[1] for r in got] == [0.0, 1.0, 0.0, 1.0, 1.0] and [r[2] for r in got] == [True, True, False, True, True]
+
+
+def test_blank_turns_and_white_space(spark):
+    from slotledger.operators import metrics, retrieval
+    from slotledger.sources.facts import conversation_events
+
+    c = spark.createDataFrame([(1, 0, "user", " \t\n"), (1, 1, "assistant", None), (1, 2, "user", "a b")], "conv_id long, turn long, role string, text string")
+    assert [r.event for r in conversation_events(c).orderBy("event_idx").collect()] == ["User says:  \t\n", "Assistant says: ", "User says: a b"]
+    hits = retrieval.lexical_top_k(spark.createDataFrame([(1, "b")], "conv_id long, query string"), c.withColumnRenamed("turn", "idx"), "conv_id", 3)
+    assert [r.idx for r in hits.collect()] == [2]
+    entries = spark.createDataFrame([(1, "e", "a", v, i) for i, v in enumerate(["x\n", "\t", "y", " X "])], "episode_id long, entity string, attribute string, value string, created_idx long")
+    got = metrics.burden(entries, spark.createDataFrame([(1, "e", "a", "x", 4)], "episode_id long, entity string, attribute string, gold string, k_updates long")).first()
+    assert (got.same_slot, got.gold_entries, got.stale_entries) == (4, 2, 1)
 
 
 def test_logistic_and_tau(spark):
@@ -90,6 +103,8 @@ def test_files(spark, tmp_path):
     for n, body in (("r1", '{"summary": {"em": 1}, "results": []}'), ("r2", "not json")):
         (tmp_path / "runs" / n).mkdir(parents=True)
         (tmp_path / "runs" / n / "out.json").write_text(body)
+    (tmp_path / "n.jsonl").write_text('{"a": 1}\n{}\n \t\n{"a": 2}\n')
+    assert facts.json_lines(spark, str(tmp_path / "n.jsonl"), "a int").count() == 3
     got = {r.run: r.status for r in facts.results(spark, str(tmp_path / "runs")).collect()}
     assert got == {"r1": "ok", "r2": "invalid_json"}
 
@@ -156,13 +171,13 @@ def test_parts_of_operations(spark):
     assert [r.t for r in y.collect()] == [[], [], ["s"], []]
 
 
-def test_normalize_value_whole(spark, tmp_path):
+def test_normalize_value(spark, tmp_path):
     import re
 
     texts = ["  The CAFÉ, 12\t", "naïve " * 200 + "End", "x" * 500 + " tail!", "\u00a0a\u2003b\u0085c ", "\u0130I \u212a9", "漢字", "", " \n", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
-    run = __spark_entry__.queries()["normalize_value_whole"]
+    run = __spark_entry__.queries()["normalize_value"]
     brute = lambda t: None if t is None else " ".join(re.findall("[a-z0-9]+", t.lower()))
     assert {r.doc_id: r.norm for r in run(spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
@@ -170,7 +185,7 @@ def test_normalize_value_whole(spark, tmp_path):
 
 
 def test_whole_queries_take_every_entry(spark, monkeypatch):
-    """The whole queries against the plain all-pairs plans, in blocks smaller than an episode."""
+    """The registered queries against the plain all-pairs plans, in blocks smaller than an episode."""
     from pyspark.sql import functions as F
 
     from slotledger.operators import retrieval
@@ -189,20 +204,13 @@ def test_whole_queries_take_every_entry(spark, monkeypatch):
     }
     found = __spark_entry__.queries()
     for name, df in want.items():
-        assert rows(found[f"{name}_whole"](spark, DATA).toPandas()) == rows(df.toPandas()), name
-    assert found["topk_cosine_whole"](spark, DATA).select("query_id").distinct().count() == v.count()
-    flags = {r.query_id: r for r in found["trace_flags_whole"](spark, DATA).collect()}
-    old = {r.query_id: r for r in found["trace_flags"](spark, DATA).collect()}
-    assert len(flags) == v.count() and all(flags[q] == r for q, r in old.items())
-    assert sum(r.n for r in found["answer_error_taxonomy_whole"](spark, DATA).collect()) == v.count()
-    rate = found["retrieval_rates_whole"](spark, DATA).first()
-    assert rate.gold_rate == round(sum(r.gold for r in flags.values()) / len(flags), 6)
-    assert found["retrieved_trace_whole"](spark, DATA).count() == 10 * v.count()
-
-
-def test_answer_scores_whole_reaches_every_item(spark, tmp_path):
+        assert rows(found[name](spark, DATA).toPandas()) == rows(df.toPandas()), name
+    assert found["topk_cosine"](spark, DATA).select("query_id").distinct().count() == v.count()
+
+
+def test_answer_scores_reaches_every_item(spark, tmp_path):
     words = lambda i: f"item {i} of many"
     spark.createDataFrame([(i, words(i % 90)) for i in range(180)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, words(i)) for i in range(90)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = __spark_entry__.queries()["answer_scores_whole"](spark, str(tmp_path)).collect()
-    assert len(got) == 180 and {r.item_id for r in got} == set(range(90)) and all((r.f1, r.em, r.contains_raw) == (1.0, 1.0, True) for r in got)
+    got = __spark_entry__.queries()["answer_scores"](spark, str(tmp_path)).collect()
+    assert len(got) == 180 and all((r.f1, r.em, r.contains_raw) == (1.0, 1.0, True) for r in got)

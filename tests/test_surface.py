@@ -3,12 +3,13 @@
 import json
 import re
 
+import generators
 import pytest
 from pyspark.sql import functions as F
 
 from slotledger.functions import slots, surface
 from slotledger.operators import runs
-from slotledger.sources import facts, generators, sinks
+from slotledger.sources import facts, sinks
 
 GOLDEN = [
     ("User says: My manager Tom works at Tencent.", ("manager_tom", "company", "Tencent")),
