@@ -62,7 +62,7 @@ def whole(v: np.ndarray) -> np.ndarray:
     x = np.floor(np.asarray(v, float) * SCALE)
     if not len(x) or np.abs(x).max() < 1 << 52:
         return x
-    return np.array([math.floor(c) * SCALE if abs(c) > 1 << 44 else math.floor(c * SCALE) for c in v.tolist()], object)
+    return np.array([math.floor(c) * SCALE if abs(c) > 1 << 44 else math.floor(c * SCALE) for c in np.asarray(v, float).tolist()], object)
 
 
 def pack(x: np.ndarray) -> bytes:
