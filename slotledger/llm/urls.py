@@ -1,6 +1,7 @@
 """URL filters: host and path rules first, a Bloom filter cascade for the rest.
 
-Listed keys are hosts of which at least half the pages fall under a block rule. The
+Listed keys are hosts with a page under a block rule: what else they have is blocked too, where no
+rule says otherwise. The
 key universe is every host of the corpus. Level 1 of the cascade encodes the listed
 hosts, level 2 the unlisted ones that level 1 lets through, level 3 the listed ones that
 level 2 lets through, and so on until nothing is let through wrongly; over that universe
@@ -145,8 +146,8 @@ def judge(pages: DataFrame, rules=RULES, per_shard: int = KEYS, per_task: int =
     rows = rows.select("page_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path")])
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    share = F.count_if(F.col("ruled").eqNullSafe("block")) * 2 >= F.count("*")
-    keys = cut(rows.groupBy("host").agg(share.alias("listed")).select("host", (F.col("listed") & (F.col("host") != "")).alias("listed")))
+    blocked = F.count_if(F.col("ruled").eqNullSafe("block")) > 0
+    keys = cut(rows.groupBy("host").agg(blocked.alias("listed")).select("host", (F.col("listed") & (F.col("host") != "")).alias("listed")))
     found = member(rows, keys, per_shard, per_task)
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
@@ -160,7 +161,7 @@ v AS (SELECT *, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
-k AS (SELECT host, host <> '' AND 2 * count(*) FILTER (rule IN ('net/', 'example.com/de/')) >= count(*) AS listed FROM v GROUP BY host)
+k AS (SELECT host, host <> '' AND count(*) FILTER (rule IN ('net/', 'example.com/de/')) > 0 AS listed FROM v GROUP BY host)
 SELECT page_id, v.host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN listed THEN 'block' ELSE 'allow' END AS verdict

@@ -237,7 +237,7 @@ def test_ann(spark):
     copy = e.first()["embedding"]
     extra = spark.createDataFrame([(1000 + i, copy, 0) for i in range(60)] + [(2000, None, 0), (2020, [0.0] * 64, 0), (2040, [float("nan")] * 64, 0), (2060, [1.0], 0)], e.schema)
     e = e.unionByName(extra)
-    x = ann.search(e, rerank=200, shard=200, block=16).toPandas()
+    x = ann.search(e, step=1.0, shard=200, block=16).toPandas()
     p = ann.usable(e).where("size(vector) = 64").toPandas()
     ids, v = p.vec_id.to_numpy(), np.stack(p.vector)
     hit = total = 0
@@ -267,6 +267,15 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_listed_hosts_decide_pages(spark):
+    """Of the given pages that no rule judges, those of hosts with a blocked page are blocked, which an empty list would allow."""
+    got = urls.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    listed = {r.host for r in got if r.rule in ("net/", "example.com/de/")}
+    unruled = [r for r in got if r.rule is None]
+    assert all((r.verdict == "block") == (r.host in listed) for r in unruled)
+    assert 10 < sum(r.verdict == "block" for r in unruled) < len(unruled)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
