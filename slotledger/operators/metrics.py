@@ -42,12 +42,23 @@ def dose_bins(rows: DataFrame, dose: str, outcome: str) -> DataFrame:
     return rows.select(d.alias("dose"), outcome).where("dose is not null").groupBy("dose").agg(F.count("*").alias("n"), F.avg(outcome).alias("mean"))
 
 
+#: Sums that a fit takes to the driver at most.
+DOSES = 10_000
+
+
 def logistic_fit(rows: DataFrame, dose: str, outcome: str, rate: float = 0.01, steps: int = 8000) -> tuple[float, float] | None:
     """Intercept and slope by gradient descent on the sums for each dose; None with fewer than two doses.
 
-    The sums for each distinct dose are all that the fit needs and all that the driver sees.
+    The sums for each distinct dose are all that the fit needs and all that the driver sees; of more than ``DOSES``, those of
+    as many ranges of equal width, each at its rows' mean dose. Rows without a dose or an outcome take no part.
     """
-    bins = [(r[0], r[1], r[2]) for r in rows.groupBy(F.col(dose).cast("double")).agg(F.count("*"), F.sum(outcome)).collect()]
+    x = rows.select(F.col(dose).cast("double").alias("dose"), F.col(outcome).alias("outcome")).where("dose is not null and outcome is not null")
+    low, high, n = x.agg(F.min("dose"), F.max("dose"), F.approx_count_distinct("dose", 0.01)).first()
+    if n and n > DOSES // 2:  # the count is within a few hundredths
+        x = x.withColumn("bin", F.least(F.floor((F.col("dose") - low) * DOSES / (high - low)), F.lit(DOSES - 1)))
+    else:
+        x = x.withColumn("bin", F.col("dose"))
+    bins = [tuple(r) for r in x.groupBy("bin").agg(F.avg("dose"), F.count("*"), F.sum("outcome")).orderBy("bin").drop("bin").collect()]
     if len(bins) < 2:
         return None
     total, a, b = sum(n for _, n, _ in bins), 0.0, 0.0
@@ -118,3 +129,12 @@ def same_value_failure(rows: DataFrame) -> DataFrame:
     held = (g != "") & F.contains(a, g)
     f = F.when(normalize_value(told) == normalize_value(gold), "exact_after_normalization").when(held & spills, "gold_plus_annotation_or_prompt_spillover").when(held, "gold_plus_extraneous_text").when(named >= 2, "multiple_candidate_values").when(~contains_value(told, gold), "behavioral_non_exact_other").otherwise("unexpected_answer_value_present_false_positive")
     return rows.withColumn("failure", f)
+
+
+def task_outcomes(tasks: DataFrame, env: str, kind: str) -> DataFrame:
+    """total_tasks, successes, success_rate and failures (array of kind and n, by kind) of each environment; a missing success is a failure."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    kinds = tasks.groupBy(env, kind).agg(F.count("*").alias("total"), F.count_if(ok).alias("good"))
+    failed = F.when(F.col("total") > F.col("good"), F.struct(F.col(kind).alias("kind"), (F.col("total") - F.col("good")).alias("n")))
+    g = kinds.groupBy(env).agg(F.sum("total").alias("total_tasks"), F.sum("good").alias("successes"), F.array_sort(F.collect_list(failed)).alias("failures"))  # kinds of task
+    return g.select(env, "total_tasks", "successes", F.round(F.col("successes") / F.col("total_tasks"), 6).alias("success_rate"), "failures")

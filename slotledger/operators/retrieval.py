@@ -71,6 +71,22 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen.where("start <> node")
 
 
+def dense(edges: DataFrame, entries: DataFrame, key: str, degree: int, least: float) -> DataFrame:
+    """(key, entry_id, degree, weight, place): entries with ``degree`` links or more and a confidence of ``least`` or more, by degree times confidence."""
+    n = edges.select(F.explode(F.array("src", "dst")).alias("entry_id")).groupBy("entry_id").agg(F.count("*").alias("degree")).where(F.col("degree") >= degree)
+    x = entries.where(F.col("confidence") >= least).select(key, "entry_id", "confidence").join(n, "entry_id")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "entry_id")).cast("long")
+    return x.select(key, "entry_id", "degree", F.round(F.col("degree") * F.col("confidence"), 6).alias("weight")).withColumn("place", place)
+
+
+def evicted(entries: DataFrame, key: str, item: str, confidence: str, at: str, grace: int) -> DataFrame:
+    """(key, item): of each key the entry of least confidence, of those more than ``grace`` seconds older than its newest, if there are any; ties to the older one."""
+    newest = entries.groupBy(F.col(key).alias("_key")).agg(F.max(at).alias("_newest"))
+    x = entries.join(newest, entries[key].eqNullSafe(F.col("_key")))
+    young = (F.col("_newest") - F.make_dt_interval(secs=F.lit(grace)) <= F.col(at)).cast("int")
+    return x.groupBy(key).agg(F.min_by(item, F.struct(young, confidence, at, item)).alias(item))
+
+
 #: Rows of a block of queries and of a block of entries; a task meets one of each. Partial results grow with the number of the latter.
 BLOCK, WIDE = 2048, 32_768
 

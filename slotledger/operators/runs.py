@@ -182,3 +182,23 @@ def diagnosis(rows: DataFrame) -> DataFrame:
     copies = (p != "") & F.contains(F.lower("retrieved_text"), F.lower(p)) & (F.lower(p) != F.lower(g))
     d = F.when(F.col("answer_value_present"), DIAGNOSES[0]).when(copies, DIAGNOSES[1]).when(F.col("stale_retrieved_count") > 0, DIAGNOSES[2]).otherwise(DIAGNOSES[3])
     return rows.withColumn("diagnosis", d)
+
+
+def memory_metrics(facts: DataFrame, golds: DataFrame) -> DataFrame:
+    """Of each episode the texts in memory, those of its gold slot, with the gold value and without, and the values without, in order (joined by commas)."""
+    x = golds.select("episode_id", F.col("entity").alias("g_entity"), F.col("attribute").alias("g_attribute"), "answer").join(facts, "episode_id", "left")
+    same = (F.col("entity") == F.col("g_entity")) & (F.col("attribute") == F.col("g_attribute"))
+    right = text.normalize_value(F.col("value")) == text.normalize_value(F.col("answer"))
+    old = F.when(same & ~right, F.struct("event_idx", "value"))
+    g = x.groupBy("episode_id").agg(F.count("event_idx").alias("memory_size"), F.count_if(same).alias("same_slot"), F.count_if(same & right).alias("gold"), F.count_if(same & ~right).alias("stale"), F.array_sort(F.collect_list(old)).alias("old"))
+    return g.withColumn("stale_values", F.array_join(F.transform("old", lambda s: s["value"]), ",")).drop("old")
+
+
+def provenance(one: DataFrame, two: DataFrame, by: str, keys: tuple[str, ...], note: str = "") -> DataFrame:
+    """Pairs of summaries by ``by`` with the ``keys`` in which they differ, joined by commas; without a note a difference is an error."""
+    a, b = one.alias("a"), two.alias("b")
+    differ = F.array_compact(F.array(*[F.when(~F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), k) for k in keys]))
+    x = a.join(b, by).select(by, F.array_join(differ, ",").alias("mismatches"))
+    if note:
+        return x
+    return x.where(F.assert_true(F.col("mismatches") == "", F.concat(F.lit("summaries differ without a note: "), "mismatches")).isNull())

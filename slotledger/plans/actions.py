@@ -1,12 +1,12 @@
-"""Registered queries over actions, their outcomes, failure types and stores that fold in order."""
+"""Registered queries over actions, their outcomes and failure types."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from slotledger.functions import text
-from slotledger.operators import folds, metrics, policies
-from slotledger.plans.registry import FACTS, facts, query, vectors
+from slotledger.operators import metrics, policies
+from slotledger.plans.registry import FACTS, facts, query
 from slotledger.sources.facts import table
 
 
@@ -82,20 +82,3 @@ def payload_text_extract(spark, sf):
     made = F.when(m == 0, F.format_string('{"results": [{"text": "t", "memory": "m%s"}, "s", 4]}', i)).when(m == 1, F.format_string('{"a": {"content": "c%s", "b": "b"}, "b": ["x", {"value": 5, "y": {"q": "z"}}]}', i)).when(m == 2, F.col("props")).otherwise(F.format_string('[[], {"value": "v%s"}, null]', i))
     x = table(spark, sf, "events").select("event_id", text.payload_texts(made).alias("t"))
     return x.select("event_id", F.size("t").cast("long").alias("n"), F.array_join("t", "|").alias("texts"))
-
-
-@query()
-def similarity_upsert(spark, sf):
-    return folds.similarity_upsert(vectors(spark, sf), 0.45)
-
-
-@query()
-def keyword_upsert(spark, sf):
-    x = table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").cast("long").alias("idx"), "text")
-    return folds.keyword_upsert(x).toDF("conv_id", "entry", "last_turn", "n_writes")
-
-
-@query()
-def bounded_store(spark, sf):
-    i = F.col("event_idx")
-    return folds.bounded_store(vectors(spark, sf).withColumns({"at": i * 7, "confidence": i * 37 % 11 / 10}), 40, least=0.35)

@@ -240,3 +240,53 @@ def annotated_contexts(spark, sf):
     line = F.struct(place.alias("place"), F.when(order == "stored", F.col("value")).otherwise("").alias("name"), idx.alias("i"), F.concat(F.lit("- "), mark, "text").alias("line"))
     g = own.groupBy("episode_id", "context_order", "note").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     return g.select("episode_id", "context_order", "note", F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("context"))
+
+
+@query(f"""WITH {SAID}, m AS (SELECT g.episode_id, g.k_updates, count(*) AS memory_size, count(*) FILTER (s.entity = g.entity AND s.attribute = g.attribute) AS same_slot, count(*) FILTER (s.entity = g.entity AND s.attribute = g.attribute AND s.value = g.answer) AS gold,
+count(*) FILTER (s.entity = g.entity AND s.attribute = g.attribute AND s.value <> g.answer) AS stale, coalesce(string_agg(s.value, ',' ORDER BY event_idx) FILTER (s.entity = g.entity AND s.attribute = g.attribute AND s.value <> g.answer), '') AS stale_values
+FROM said s JOIN gold g USING (episode_id) GROUP BY ALL) SELECT * FROM m""")
+def memory_metrics(spark, sf):
+    """What an outside memory that keeps every sentence holds of each episode's gold slot."""
+    facts, gold = said(spark, sf)
+    return runs.memory_metrics(facts, gold).join(gold.select("episode_id", "k_updates"), "episode_id")
+
+
+@query(f"""WITH {SAID}, m AS (SELECT g.k_updates, g.episode_id, count(*) AS size, count(*) FILTER (s.entity = g.entity AND s.attribute = g.attribute) AS same, count(*) FILTER (s.entity = g.entity AND s.attribute = g.attribute AND s.value <> g.answer) AS stale
+FROM said s JOIN gold g USING (episode_id) GROUP BY ALL) SELECT k_updates, count(*) AS num_examples, round(avg(size), 6) AS memory_size_avg, round(avg(same), 6) AS same_slot_avg, round(avg(stale), 6) AS stale_avg, round(avg(CASE WHEN stale > 0 THEN 1.0 ELSE 0.0 END), 6) AS stale_rate FROM m GROUP BY k_updates""")
+def memory_summary(spark, sf):
+    x = memory_metrics(spark, sf).withColumn("any", F.col("stale") > 0)
+    return x.groupBy("k_updates").agg(F.count("*").alias("num_examples"), *[runs.mean(c).alias(n) for c, n in (("memory_size", "memory_size_avg"), ("same_slot", "same_slot_avg"), ("stale", "stale_avg"), ("any", "stale_rate"))])
+
+
+@query(f"""WITH {SAID}, c AS (SELECT episode_id, s.value, event_idx, answer, row_number() OVER (PARTITION BY episode_id ORDER BY event_idx DESC) AS back FROM said s JOIN gold g USING (episode_id, entity, attribute)),
+u AS (SELECT episode_id, position, any_value(answer) AS answer, CASE position WHEN 'end' THEN any_value(answer) ELSE arg_max(value, event_idx) FILTER (back > 1) END AS told FROM c, (SELECT unnest(['beginning', 'middle', 'end']) AS position) WHERE back <= 9 GROUP BY episode_id, position)
+SELECT position, count(*) AS num_examples, round(avg(CASE WHEN told = answer THEN 1.0 ELSE 0.0 END), 6) AS avg_em, round(avg(CASE WHEN told = answer THEN 1.0 ELSE 0.0 END), 6) AS avg_f1, round(avg(CASE WHEN contains(lower(told), lower(answer)) THEN 1.0 ELSE 0.0 END), 6) AS answer_value_present_rate
+FROM u WHERE told IS NOT NULL GROUP BY position""")
+def position_summary(spark, sf):
+    """Scores by the gold value's place among eight distractors, of a reader who takes the last value."""
+    x, gold = said(spark, sf)
+    own = x.join(gold.select("episode_id", "entity", "attribute", "answer"), ["episode_id", "entity", "attribute"])
+    back = F.row_number().over(runs.Window.partitionBy("episode_id").orderBy(F.desc("event_idx")))
+    own = own.withColumn("back", back).where("back <= 9").withColumn("position", F.explode(F.array(*map(F.lit, ("beginning", "middle", "end")))))
+    told = F.when(F.col("position") == "end", F.max("answer")).otherwise(F.max_by(F.col("value"), F.when(F.col("back") > 1, F.col("event_idx"))))
+    read = own.groupBy("episode_id", "position").agg(F.max("answer").alias("answer"), told.alias("told")).where("told is not null")
+    s = read.select("position", text.exact_match(F.col("told"), F.col("answer")).alias("em"), text.token_f1(F.col("told"), F.col("answer")).alias("f1"), text.contains_value(F.col("told"), F.col("answer")).alias("held"))
+    return s.groupBy("position").agg(F.count("*").alias("num_examples"), runs.mean("em").alias("avg_em"), runs.mean("f1").alias("avg_f1"), runs.mean("held").alias("answer_value_present_rate"))
+
+
+@query("""WITH t AS (SELECT year(o_orderdate) AS env, o_orderpriority AS kind, o_orderstatus = 'F' AS success FROM orders), f AS (SELECT env, kind, count(*) AS n FROM t WHERE NOT success GROUP BY ALL),
+m AS (SELECT env, string_agg(kind || '=' || n, ',' ORDER BY kind) AS failures FROM f GROUP BY env)
+SELECT CAST(env AS INTEGER) AS env, count(*) AS total_tasks, count(*) FILTER (success) AS successes, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success_rate, coalesce(any_value(failures), '') AS failures FROM t LEFT JOIN m USING (env) GROUP BY env""")
+def task_outcomes(spark, sf):
+    """Success of a stream of tasks by environment, with the failures of each kind of task."""
+    t = table(spark, sf, "orders").select(F.year("o_orderdate").alias("env"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("success"))
+    out = metrics.task_outcomes(t, "env", "kind")
+    return out.withColumn("failures", F.array_join(F.transform("failures", lambda f: F.concat(f["kind"], F.lit("="), f["n"].cast("string"))), ","))
+
+
+@query(f"""{SUMMARY} SELECT a.k_updates, 'mode' || CASE WHEN a.num_examples <> b.num_examples THEN ',num_examples' ELSE '' END AS mismatches FROM summary a JOIN summary b USING (k_updates) WHERE a.mode = 'raw_add' AND b.mode = 'parsed_append'""")
+def provenance_mismatches(spark, sf):
+    """Which keys differ between two runs' summaries that a report sets side by side; with a note they may."""
+    x = summaries(spark, sf)
+    a, b = (x.where(F.col("mode") == m) for m in ("raw_add", "parsed_append"))
+    return runs.provenance(a, b, "k_updates", ("mode", "num_examples", "start_idx"), note="parsed sentences alone").select("k_updates", "mismatches")

@@ -179,6 +179,16 @@ def dense_subgraph(spark, sf):
     return both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).where("degree >= 2")
 
 
+@query(f"""WITH {VECTORS}, l AS (SELECT a.entry_id AS src, b.entry_id AS dst FROM vectors a JOIN vectors b ON a.episode_id = b.episode_id AND b.entry_id < a.entry_id WHERE list_inner_product(a.vector, b.vector) >= 0.25),
+e AS (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l), d AS (SELECT src AS entry_id, count(*) AS degree FROM e GROUP BY src),
+c AS (SELECT episode_id, entry_id, degree, (slot + 1) / 10.0 AS confidence FROM d JOIN vectors USING (entry_id) WHERE degree >= 2 AND (slot + 1) / 10.0 >= 0.5)
+SELECT episode_id, entry_id, degree, round(degree * confidence, 6) AS weight, row_number() OVER (PARTITION BY episode_id ORDER BY round(degree * confidence, 6) DESC, entry_id) AS place FROM c""")
+def dense_ranked(spark, sf):
+    """Entries of some confidence with at least two links, by degree times confidence."""
+    v = vectors(spark, sf).withColumn("confidence", (F.col("slot") + 1) / 10)
+    return retrieval.dense(retrieval.links_within(v, "episode_id", 0.25), v, "episode_id", 2, 0.5)
+
+
 @query(f"SELECT doc_id, {NORM.format('text')} AS norm FROM documents")
 def normalize_value(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalize_value(F.col("text")).alias("norm"))
@@ -248,11 +258,18 @@ def dose_bins(spark, sf):
     return metrics.dose_bins(x, "quality", "toxic").withColumn("mean", F.round("mean", 6))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT CAST(trunc(length(text) / 1000) AS DOUBLE) AS dose, quality FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT dose, CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS y FROM d GROUP BY dose),
+bins AS (SELECT list({'x': dose, 'n': n, 'y': y} ORDER BY dose) AS bins, sum(n) AS total FROM b),
+fit AS (SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS s UNION ALL SELECT step + 1, a - 0.01 * list_sum(off) / total, s - 0.01 * list_sum(list_transform(off, lambda e, i: e * bins[i].x)) / total
+FROM (SELECT *, list_transform(bins, lambda e: e.n / (1 + exp(-greatest(-30.0, least(30.0, a + s * e.x)))) - e.y) AS off FROM fit, bins) WHERE step < 1000)
+SELECT round(a, 6) AS intercept, round(s, 6) AS slope, round(-a / s, 6) AS ed50 FROM fit WHERE step = 1000""")
 def logistic_dose_fit(spark, sf):
+    """Intercept, slope and the dose at one half, after the first thousand steps of the descent."""
     x = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", (F.length("text") / 1000).cast("int").alias("dose")), "doc_id")
-    fit = metrics.logistic_fit(x, "dose", "quality") or (None, None)
-    return spark.createDataFrame([fit], "intercept double, slope double").select(F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
+    fit = metrics.logistic_fit(x.where("quality is not null and dose is not null"), "dose", "quality", steps=1000) or (None, None)
+    half = None if not fit[1] else -fit[0] / fit[1]
+    return spark.createDataFrame([(*fit, half)], "intercept double, slope double, ed50 double").select(*[F.round(c, 6).alias(c) for c in ("intercept", "slope", "ed50")])
 
 
 @query(f"""WITH {FACTS}, r AS (SELECT episode_id, attribute AS item, count(*) AS a, max(event_idx) AS b FROM facts GROUP BY ALL),
@@ -338,6 +355,13 @@ def opcount_map_sum(spark, sf):
     return maps.select(F.explode("ops").alias("operation", "k")).groupBy("operation").agg(F.sum("k").alias("n"))
 
 
+@query("""WITH e AS (SELECT *, max(ts) OVER (PARTITION BY user_id) - INTERVAL 60 SECOND > ts AS old FROM events), o AS (SELECT *, bool_or(old) OVER (PARTITION BY user_id) AS aged FROM e)
+SELECT user_id, event_id FROM o WHERE old OR NOT aged QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, ts, event_id) = 1""")
+def evict_lowest_aged(spark, sf):
+    """Of each user the entry that a full store gives up: of least value among those older than a minute, if there are any."""
+    return retrieval.evicted(table(spark, sf, "events"), "user_id", "event_id", "value", "ts", 60).select("user_id", "event_id")
+
+
 @query("""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) = 1""")
 def evict_lowest(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("event_id"))

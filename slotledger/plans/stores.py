@@ -123,3 +123,39 @@ def merged_lists(spark, sf):
     lists = [retrieval.newest_within(v, "episode_id", 5), every(spark, sf, 5)]
     x = retrieval.merged([x.select("query_id", "entry_id", "rank") for x in lists], "query_id", "entry_id")
     return x.select("query_id", "entry_id", "place", (F.col("source") == 0).alias("managed"))
+
+
+@query(UPSERTS.replace(str(list(THRESHOLDS)), "[0.45]") + ", flat AS (SELECT episode_id, store, n FROM step QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY n DESC) = 1), e AS (SELECT episode_id, unnest(range(len(store))) AS entry, unnest(store) AS e FROM flat) SELECT episode_id, entry, e.n AS n_writes, e.last AS last_event_idx FROM e")
+def similarity_upsert(spark, sf):
+    return folds.similarity_upsert(vectors(spark, sf), 0.45)
+
+
+FACTUAL = " OR ".join(f"contains(low, '{f}')" for f in folds.FACTUAL)
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, lower(coalesce(text, '')) AS low, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS words,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations),
+step AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, []::STRUCT(low VARCHAR, words VARCHAR[], turn BIGINT, n BIGINT)[] AS store FROM c
+UNION ALL SELECT conv_id, n, CASE WHEN hit IS NOT NULL THEN list_transform(store, lambda e, i: CASE WHEN i = hit THEN {{'low': low, 'words': words, 'turn': turn, 'n': e.n + 1}} ELSE e END)
+WHEN {FACTUAL} THEN list_append(store, {{'low': low, 'words': words, 'turn': turn, 'n': 1}})[-200:] ELSE store END FROM (
+SELECT c.*, s.store, list_filter(list_transform(s.store, lambda e, i: CASE WHEN len(list_intersect(e.words, c.words)) > 3 AND e.low <> c.low THEN i END), lambda i: i IS NOT NULL)[1] AS hit FROM step s JOIN c ON c.conv_id = s.conv_id AND c.n = s.n + 1)),
+last AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1), e AS (SELECT conv_id, unnest(range(len(store))) AS entry, unnest(store) AS e FROM last)
+SELECT conv_id, entry, e.turn AS last_turn, e.n AS n_writes FROM e""")
+def keyword_upsert(spark, sf):
+    x = table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").cast("long").alias("idx"), "text")
+    return folds.keyword_upsert(x).toDF("conv_id", "entry", "last_turn", "n_writes")
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, rows AS (SELECT *, event_idx * 7 AS born, event_idx * 37 % 11 / 10 AS sure, row_number() OVER (PARTITION BY episode_id ORDER BY event_idx) AS n FROM vectors),
+step AS (SELECT DISTINCT episode_id, 0::BIGINT AS n, []::STRUCT(id BIGINT, born BIGINT, sure DOUBLE, v DOUBLE[], links BIGINT[])[] AS store FROM rows
+UNION ALL SELECT episode_id, n, CASE WHEN gone IS NULL THEN grown ELSE list_transform(list_filter(grown, lambda e: e.id <> gone), lambda e: {{'id': e.id, 'born': e.born, 'sure': e.sure, 'v': e.v, 'links': list_filter(e.links, lambda l: l <> gone)}}) END FROM (
+SELECT *, CASE WHEN len(grown) > 40 THEN list_sort(list_transform(grown, lambda e, i: {{'young': born - e.born <= 60, 'sure': e.sure, 'i': i, 'id': e.id}}))[1].id END AS gone FROM (
+SELECT *, list_append(list_transform(store, lambda e: {{'id': e.id, 'born': e.born, 'sure': e.sure, 'v': e.v, 'links': CASE WHEN list_contains(near, e.id) THEN list_append(e.links, event_idx) ELSE e.links END}}),
+    {{'id': event_idx, 'born': born, 'sure': sure, 'v': vector, 'links': near}}) AS grown FROM (
+SELECT *, list_transform(list_filter(best, lambda b: b.id <> event_idx AND -b.s > 0.35), lambda b: b.id) AS near FROM (
+SELECT r.*, s.store, list_sort(list_append(list_transform(s.store, lambda e: {{'s': -list_inner_product(e.v, r.vector), 'id': e.id}}), {{'s': -list_inner_product(r.vector, r.vector), 'id': r.event_idx}}))[:3] AS best FROM step s JOIN rows r ON r.episode_id = s.episode_id AND r.n = s.n + 1))))),
+last AS (SELECT episode_id, unnest(store) AS e FROM step QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY n DESC) = 1)
+SELECT episode_id, e.id AS event_idx, CAST(len(e.links) AS BIGINT) AS n_links FROM last""")
+def bounded_store(spark, sf):
+    i = F.col("event_idx")
+    return folds.bounded_store(vectors(spark, sf).withColumns({"at": i * 7, "confidence": i * 37 % 11 / 10}), 40, least=0.35)
