@@ -202,3 +202,8 @@ def provenance(one: DataFrame, two: DataFrame, by: str, keys: tuple[str, ...], n
     if note:
         return x
     return x.where(F.assert_true(F.col("mismatches") == "", F.concat(F.lit("summaries differ without a note: "), "mismatches")).isNull())
+
+
+def same_value_rows(rows: DataFrame) -> DataFrame:
+    """Of probe rows those that repeat the current value, hold it in the answer and are no exact match."""
+    return rows.where((F.col("value_policy") == "same_as_current") & (F.coalesce(F.col("em"), F.lit(0.0)) < 1) & F.coalesce(F.col("held"), F.lit(False)))
