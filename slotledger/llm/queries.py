@@ -51,7 +51,7 @@ def op11_source_mixing(spark, sf_dir):
 
 
 def op12_hard_negatives(spark, sf_dir):
-    return negatives.mine(table(spark, sf_dir, "embeddings"))
+    return negatives.mine(table(spark, sf_dir, "embeddings")).drop("rows_met")
 
 
 def op13_token_alignment(spark, sf_dir):
