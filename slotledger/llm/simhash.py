@@ -2,9 +2,10 @@
 
 Of ``BLOCKS`` blocks of bits, two fingerprints that differ in at most ``radius`` bits agree on
 at least BLOCKS - radius; so a fingerprint goes to one shard for each choice of that many
-blocks and their values (pairs of blocks of 13 bits: 2^26 shards for each of ten choices), and every link has both
-ends in some shard. A shard is held by one task as a BK-tree (children keyed by Hamming
-distance to the parent); a search follows the edges within the radius, skips subtrees
+blocks and the values there (pairs of blocks: ten choices), and every link has both
+ends in some shard. Of the blocks' bits so many count that a shard holds ``NODES`` to twice
+``NODES`` fingerprints on average, at any number of them up to 2^25 times as many. A shard is held by one task as a
+BK-tree (children keyed by Hamming distance to the parent); a search follows the edges within the radius, skips subtrees
 whose nodes were all reached, and gives the shard's components as stars. A shard with
 over ``MOST`` fingerprints is dealt into parts, and each pair of parts is a shard of its
 own, so no task holds more than two parts. Stars are merged by alternating star
@@ -24,6 +25,7 @@ without doc_id stays if nothing else is like it, and rows that share a doc_id ar
 from __future__ import annotations
 
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS, BLOCKS = 3, 5
 MOST = 1000
+NODES = 64
+TASK_ROWS, TASKS = 1 << 13, 20_000  # placed fingerprints of a task of tree searches, and the most such tasks
 HOT = 10_000  # rows of a key that one task joins
 SLAB = 1 << 15
 
@@ -73,6 +77,7 @@ class Tree:
         self.down: list[dict[int, int]] = [{} for _ in keys]
         self.left = [1] * len(keys)  # nodes of the subtree not reached yet
         self.fresh = [True] * len(keys)
+        self.visited = 0  # nodes whose distance a search has taken
         for i in range(1, len(keys)):
             at = 0
             while True:
@@ -93,11 +98,12 @@ class Tree:
 
     def near(self, key: int, radius: int) -> list[int]:
         """Nodes within the radius that were not reached before."""
-        found, open_ = [], [0]
+        found, open_, visited = [], [0], 0
         while open_:
             i = open_.pop()
             if not self.left[i]:
                 continue
+            visited += 1
             d = (self.keys[i] ^ key).bit_count()
             if d <= radius and self.fresh[i]:
                 found.append(i)
@@ -106,6 +112,7 @@ class Tree:
                 open_ += [down[e] for e in range(d - radius, d + radius + 1) if e in down]
             else:
                 open_ += [c for e, c in down.items() if -radius <= e - d <= radius]
+        self.visited += visited
         return found
 
 
@@ -113,9 +120,6 @@ def stars(keys: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """(key, smallest key of its component) for the keys that are not smallest themselves."""
     keys = sorted(set(keys))
     mask = (1 << 64) - 1
-    if len(keys) == 2:
-        a, b = keys
-        return [(b, a)] if ((a ^ b) & mask).bit_count() <= radius else []
     tree = Tree([k & mask for k in keys])
     out = []
     for i, key in enumerate(keys):
@@ -131,13 +135,26 @@ def stars(keys: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def links(keys: DataFrame, radius: int = RADIUS, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
-    """(u, v): stars of each shard's components over distinct fingerprints ``keys`` (fp)."""
+def shards(keys: DataFrame, n: int, radius: int = RADIUS, blocks: int = BLOCKS, nodes: int = NODES) -> DataFrame:
+    """(fp, b, v): the ``n`` fingerprints ``keys`` (fp) in each of their shards, choice ``b`` of blocks with value ``v``."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    bits = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1)) for a, z in zip(edges, edges[1:])]
     sets = list(combinations(range(blocks), max(1, blocks - radius)))
-    values = [sum((F.shiftleft(bits[i], 32 * n // len(own)) for n, i in enumerate(own[1:], 1)), bits[own[0]]) for own in sets]
-    placed = keys.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in enumerate(values)])).alias("s")).select("fp", "s.b", "s.v")
+    bits = max(0, (max(n, 1) // nodes).bit_length() - 1)  # that a shard's fingerprints agree on
+    values = []
+    for own in sets:
+        v = F.lit(0).cast("long")
+        for k, i in enumerate(own):
+            width = min((bits + k) // len(own), edges[i + 1] - edges[i])
+            v = F.shiftleft(v, width).bitwiseOR(F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << width) - 1)))
+        values.append(v)
+    placed = F.array(*[F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in enumerate(values)])
+    return keys.select("fp", F.explode(placed).alias("s")).select("fp", "s.b", "s.v")
+
+
+def links(keys: DataFrame, radius: int = RADIUS, most: int = MOST, blocks: int = BLOCKS, nodes: int = NODES) -> DataFrame:
+    """(u, v): stars of each shard's components over distinct fingerprints ``keys`` (fp)."""
+    n = keys.count()
+    placed = shards(keys, n, radius, blocks, nodes)
     hot = placed.groupBy("b", "v").agg(F.count("*").alias("n")).where(F.col("n") > most)
     parts = F.ceil(F.coalesce("n", F.lit(1)) / most).cast("int")
     x = placed.join(hot, ["b", "v"], "left").select("fp", "b", "v", parts.alias("k"))
@@ -160,7 +177,8 @@ def links(keys: DataFrame, radius: int = RADIUS, most: int = MOST, blocks: int =
         if rest is not None:
             yield _pairs(rest["fp"].to_numpy(), [0, len(rest)])
 
-    dealt = x.repartition("b", "v", "p", "q").sortWithinPartitions("b", "v", "p", "q")
+    tasks = min(TASKS, 1 + n * comb(blocks, max(1, blocks - radius)) // TASK_ROWS)
+    dealt = x.repartition(tasks, "b", "v", "p", "q").sortWithinPartitions("b", "v", "p", "q")
     return dealt.mapInPandas(run, "u long, v long")
 
 
@@ -182,22 +200,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         was = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, least, "u", by="v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = spread_join(large, least, "u", by="v")
         old, now = now, cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         drop(old)
     raise RuntimeError("components did not settle")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, most: int = HOT) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, most: int = HOT, by: str | None = None) -> DataFrame:
     """``left`` with the one row of ``right`` that each key has; a key with over ``most`` rows is dealt over parts.
 
-    ``left`` must be read from files, so that rows have the same numbers in each attempt.
+    Rows are dealt by the column ``by``, or by their numbers. Then ``left`` must be read from files, so that rows have the same numbers in each attempt.
     """
     n = F.broadcast(left.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_n")).where("_n > 1"))  # at most one row for each ``most`` of ``left``
     parts = F.coalesce("_n", F.lit(1).cast("long"))
-    x = left.join(n, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts)).drop("_n")
+    row = F.xxhash64(by) if by else F.monotonically_increasing_id()
+    x = left.join(n, key, "left").withColumn("_part", F.pmod(row, parts)).drop("_n")
     y = right.join(n, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_n")
     return x.join(y, [key, "_part"]).drop("_part")
 

@@ -125,12 +125,32 @@ def test_blocks_lose_no_link(spark):
     assert got >= {frozenset((int(x), int(y))) for x, y in zip(a, b)}
 
 
+def test_trees_do_the_search(spark, monkeypatch):
+    """Shards hold dozens of fingerprints at any number of them; searches leave out much of a tree and find all links."""
+    rng = np.random.default_rng(6)
+    own = np.unique(rng.integers(-(2**63), 2**63 - 1, 4000))
+    near = own[:500] ^ (np.int64(1) << rng.integers(0, 63, 500)) ^ (np.int64(1) << rng.integers(0, 63, 500))
+    keys = np.unique(np.concatenate([own, near]))
+    table = spark.createDataFrame([(int(k),) for k in keys], "fp long")
+    for n in (len(keys), len(keys) // 8):
+        x = simhash.shards(table.limit(n), n).groupBy("b", "v").count().toPandas()
+        assert x.groupby("b")["count"].sum().tolist() == [n] * 10 and 50 < x["count"].median() < 150
+    got = {r.u: r.v for r in simhash.components(simhash.links(table)).collect()}
+    close = np.bitwise_count(keys.view(np.uint64)[:, None] ^ keys.view(np.uint64)[None, :]) <= 3
+    assert {tuple(sorted(e)) for e in got.items()} == {(int(keys[i]), int(keys[j])) for i, j in zip(*np.nonzero(np.triu(close, 1)))}
+    tree = simhash.Tree([int(k) & (2**64 - 1) for k in keys[:200]])
+    assert all(i in tree.near(tree.keys[i], 3) for i in range(200)) and tree.visited < 0.85 * 200 * 200
+    monkeypatch.setattr(simhash.Tree, "near", lambda *a: [])
+    assert simhash.stars(keys[:200].tolist() + [int(keys[0]) ^ 1]) == []
+
+
 def test_spread_join(spark, tmp_path):
     spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), "id").write.parquet(str(tmp_path / "l"))
     left = spark.read.parquet(str(tmp_path / "l"))
     right = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     got = sorted(map(tuple, simhash.spread_join(left, right, "k", 20).select("id", "k", "v").collect()))
     assert got == sorted((r.id, r.k, 10 * r.k) for r in left.collect())
+    assert got == sorted(map(tuple, simhash.spread_join(left, right, "k", 20, by="id").select("id", "k", "v").collect()))
 
 
 # op4
