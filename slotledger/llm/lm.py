@@ -7,11 +7,13 @@ unknown, whose mass is shared among them as their smoothed counts are, so the sc
 a proper probability of the whole text. Output biases start at the corpus's log
 frequencies.
 
-The weights are learned from every training document, whole: documents are dealt by hash
-into rounds of ``SHARES``. In a round each task starts from the common weights, runs truncated
-backpropagation over all its documents of that round, and gives its weights, whose mean by tokens
+The weights are learned from every training document, whole: documents are dealt by a hash of
+doc_id and text into rounds of ``SHARES``, and in a round into lanes of about ``LANE`` tokens (longer ones where
+that would make more than ``LANES``). A lane is a task's work: in the order of the hash, from the round's common weights, it runs truncated
+backpropagation over all its documents and gives its weights, whose mean by tokens
 (taken in two steps, so that no group holds more than ``FAN`` rows or one row for each of them) is the next
-round's start. Documents are scored whole, window by window, with the state carried over.
+round's start. Rounds, lanes and their order depend on the rows alone, so scores are the same under any
+partitioning, but for the rounding of sums. Documents are scored whole, window by window, with the state carried over.
 
 Tokens that make up at least 1 / ``COMMON`` of all tokens, of which there are at most
 ``COMMON``, are looked up from a broadcast; the others are summed per document and joined
@@ -33,7 +35,6 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ STREAMS, WINDOW = 256, 16
 RATE, CLIP = 0.02, 5.0
 TALL = 60.0  # logits start as logarithms of shares, so that none of a class is far below zero; this keeps exp finite above
 WIDE, STRIDE = 512, 32
+LANE, LANES = 1 << 20, 20_000
 HELD = 1 << 22  # ids that a task holds before it learns from them or scores them
 BLOCK, FAN = 1024, 64
 
@@ -247,39 +249,52 @@ def held(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[n
         yield got, [np.frombuffer(x, "<u2") for x in got["ids"]]
 
 
-def fit(docs: DataFrame, net: Network, shares=SHARES, rate: float = RATE) -> None:
-    """Learn ``net`` from all of ``docs`` (rid, ids), in rounds."""
-    first = 0
+def fit(docs: DataFrame, net: Network, total: int, shares=SHARES, rate: float = RATE) -> None:
+    """Learn ``net`` from all of ``docs`` (key, ids), which hold ``total`` ids, in rounds."""
+    first, part = 0, F.pmod("key", F.lit(sum(shares)))
     for share in shares:
-        part = F.pmod(F.xxhash64("rid"), F.lit(sum(shares)))
-        own = docs.where((part >= first) & (part < first + share)).select("ids")
-        _round(own, net, rate)
+        lanes = min(LANES, max(1, round(total * share / sum(shares) / LANE)))
+        lane = F.pmod(F.xxhash64("key"), F.lit(lanes)).cast("int")
+        own = docs.where((part >= first) & (part < first + share)).select(lane.alias("lane"), "key", "ids")
+        _round(own.repartitionById(lanes, "lane").sortWithinPartitions("lane", "key", "ids"), net, rate)
         first += share
 
 
 def _round(docs: DataFrame, net: Network, rate: float) -> None:
-    """Set ``net``'s weights to the mean of those that the tasks learn."""
+    """Set ``net``'s weights to the mean of those that the lanes learn; a partition of ``docs`` (lane, ids) is one lane."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches):
-        own, state, n = shared.value.copy(), {}, 0
-        for _, texts in held(batches):
-            line, last = np.concatenate(texts), np.zeros(sum(map(len, texts)), bool)
+        own, state, n, texts, size = shared.value.copy(), {}, 0, [], 0
+
+        def learn():
+            line, last = np.concatenate(texts), np.zeros(size, bool)
             last[np.cumsum([len(t) for t in texts]) - 1] = True
             own.learn(line, last, state, rate)
-            n += len(line)
+
+        for b in batches:
+            for lane, x in zip(b["lane"], b["ids"]):
+                texts.append(np.frombuffer(x, "<u2"))
+                size += len(texts[-1])
+                n += len(texts[-1])
+                if size >= HELD:
+                    learn()
+                    texts, size = [], 0
+        if size:
+            learn()
         if n:
             flat = own.flat()
             blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
-            yield pd.DataFrame({"lane": TaskContext.get().partitionId() // FAN, "block": range(len(blocks)), "n": n, "v": blocks})
+            yield pd.DataFrame({"fan": lane // FAN, "lane": lane, "block": range(len(blocks)), "n": n, "v": blocks})
 
     def mean(key, x):
+        x = x.sort_values("lane")
         n = x["n"].to_numpy()
         v = np.stack([np.frombuffer(b, np.float32) for b in x["v"]]).astype(np.float64)
-        return pd.DataFrame({"lane": [0], "block": [key[-1]], "n": [n.sum()], "v": [(n @ v / n.sum()).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"fan": [0], "lane": [key[0]], "block": [key[-1]], "n": [n.sum()], "v": [(n @ v / n.sum()).astype(np.float32).tobytes()]})
 
-    schema = "lane long, block long, n long, v binary"
-    got = docs.mapInPandas(run, schema).groupBy("lane", "block").applyInPandas(mean, schema)
+    schema = "fan long, lane long, block long, n long, v binary"
+    got = docs.select("lane", "ids").mapInPandas(run, schema).groupBy("fan", "block").applyInPandas(mean, schema)
     got = got.groupBy("block").applyInPandas(mean, schema).select("block", "v").collect()  # the network's weights
     if got:
         net.set(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(got, key=lambda r: r["block"])]))
@@ -309,27 +324,27 @@ def scored(docs: DataFrame) -> DataFrame:
         unknown = word_ids[-1]
         for b in slices(batches):
             rows = []
-            for rid, doc_id, held_out, text in zip(b["rid"], b["doc_id"], b["held_out"], b["text"]):
+            for rid, key, doc_id, held_out, text in zip(b["rid"], b["key"], b["doc_id"], b["held_out"], b["text"]):
                 own = tokens(text)
                 at = np.fromiter(map(place.get, own, repeat(-1)), np.int32, len(own))
                 ids, log = word_ids[at], logs[at]
                 rare = Counter(own[i] for i in np.flatnonzero(at < 0).tolist())
                 other = ids == unknown
-                rows.append((rid, doc_id, held_out, len(own), len(own) - sum(rare.values()), log.sum(), log[other].sum() - other.sum() * np.log10(rest), ids.tobytes(), list(rare), list(rare.values())))
-            yield pd.DataFrame(rows, columns=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "ids", "rare", "times"])
+                rows.append((rid, key, doc_id, held_out, len(own), len(own) - sum(rare.values()), log.sum(), log[other].sum() - other.sum() * np.log10(rest), ids.tobytes(), list(rare), list(rare.values())))
+            yield pd.DataFrame(rows, columns=["rid", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "ids", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out().alias("held_out"), "text")
+    marked = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("doc_id", "text").alias("key"), "doc_id", held_out().alias("held_out"), "text")
     schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
-    first = cut(marked.mapInPandas(run, f"{schema}, ids binary, rare array<binary>, times array<long>"))
-    fit(first.where(~F.col("held_out")), net)
+    first = cut(marked.mapInPandas(run, f"key long, {schema}, ids binary, rare array<binary>, times array<long>"))
+    fit(first.where(~F.col("held_out")), net, total=total)
     learned = spark.sparkContext.broadcast(net)  # of fixed size
 
     def add(batches):
         for b, texts in held(batches):
             yield b.assign(score=b["score"] + learned.value.score(texts) / np.log(10)).drop(columns="ids")
 
-    whole = first.drop("rare", "times").mapInPandas(add, schema)
+    whole = first.drop("key", "rare", "times").mapInPandas(add, schema)
     rare = first.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("token"), F.col("x.times").alias("k"))
     met = rare.join(table.where(F.col("c") * COMMON < total), "token", "left")
     log = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(size))

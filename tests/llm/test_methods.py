@@ -302,3 +302,13 @@ def test_nulls_repeats_and_clashing_columns(spark):
     d = spark.createDataFrame([(None, "a b", 1, "c", b"x"), (5, None, 1, "c", b"x"), (5, None, 1, "c", b"x")], "doc_id long, text string, rid int, token string, ids binary")
     assert sorted(r.doc_id or 0 for r in lm.scored(d).collect()) == [0, 5, 5]
     assert bpe.digests(d).count() == simhash.linked(d).count() == packing.pack(d).count() == secrets.report(d).count() == quality.judge(d).count() == 3
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    """One lane and several, with rows in any order and number of partitions."""
+    some = docs.where("length(text) < 3000").orderBy("doc_id").limit(150)
+    for size in (1 << 20, 1 << 12):
+        monkeypatch.setattr(lm, "LANE", size)
+        a, b = (lm.scored(d).toPandas().set_index("doc_id").sort_index() for d in (some.coalesce(1), some.orderBy(F.col("doc_id").desc()).repartition(8)))
+        assert (a.n_tokens == b.n_tokens).all() and ((a.score - b.score).abs() / a.n_tokens).max() < 1e-6
+        assert a.score[a.held_out].sum() > a.base_score[a.held_out].sum()
