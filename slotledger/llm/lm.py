@@ -49,7 +49,7 @@ SHARES = (1, 2, 4, 9)
 STREAMS, WINDOW = 256, 16
 RATE, CLIP = 0.02, 5.0
 TALL = 60.0  # logits start as logarithms of shares, so that none of a class is far below zero; this keeps exp finite above
-WIDE, STRIDE = 512, 32
+WIDE, STRIDE, SLAB = 1024, 16, 1 << 14
 LANE, LANES = 1 << 20, 20_000
 HELD = 1 << 22  # ids that a task holds before it learns from them or scores them
 BLOCK, FAN = 1024, 64
@@ -122,35 +122,42 @@ class Network:
         """Natural log-probability of each id after its state; with ``grads``, also the losses' gradient for the states."""
         p, cls, at = self.p, ids // self.width, ids % self.width
         rows = np.arange(len(ids))
-        ones = np.ones(max(self.n, self.width), np.float32)
-        c = np.minimum(h @ p["wc"] + p["bc"], TALL)
-        e = np.exp(c)
-        total = e @ ones[: self.n]
-        out = c[rows, cls] - np.log(total)
+        ones, ones_rows = np.ones(max(self.n, self.width), np.float32), np.ones(len(ids), np.float32)
+        x = h @ p["wc"]
+        out, total = self.soft(x, p["bc"], rows, cls, ones)
         back = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["wc"] += h.T @ d
-            grads["bc"] += d.sum(0)
-            back = d @ p["wc"].T
+            x /= total[:, None]
+            x[rows, cls] -= 1
+            grads["wc"] += h.T @ x
+            grads["bc"] += ones_rows @ x
+            back = x @ p["wc"].T
         order = np.argsort(cls.astype(np.uint16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.n + 1))
         for k in np.flatnonzero(np.diff(edges)):
             own = order[edges[k] : edges[k + 1]]
             states, i, j = h[own], rows[: len(own)], at[own]
-            x = np.minimum(states @ p["wo"][k] + p["bo"][k], TALL)
-            e = np.exp(x)
-            total = e @ ones[: self.width]
-            out[own] += x[i, j] - np.log(total)
+            x = states @ p["wo"][k]
+            got, total = self.soft(x, p["bo"][k], i, j, ones)
+            out[own] += got
             if grads is not None:
-                d = e / total[:, None]
-                d[i, j] -= 1
-                grads["wo"][k] += states.T @ d
-                grads["bo"][k] += d.sum(0)
-                back[own] += d @ p["wo"][k].T
+                x /= total[:, None]
+                x[i, j] -= 1
+                grads["wo"][k] += states.T @ x
+                grads["bo"][k] += ones_rows[: len(own)] @ x
+                back[own] += x @ p["wo"][k].T
         return out, back
 
+    @staticmethod
+    def soft(x: np.ndarray, bias: np.ndarray, i: np.ndarray, j: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of column ``j`` of row ``i`` and the sum of exponentials of each row; ``x`` becomes its exponentials."""
+        x += bias
+        np.minimum(x, TALL, out=x)
+        own = x[i, j]
+        np.exp(x, out=x)
+        total = x @ ones[: x.shape[1]]
+        return own - np.log(total), total
+
     def learn(self, line: np.ndarray, last: np.ndarray, state: dict, rate: float = RATE, streams: int = STREAMS) -> float:
         """Adam over windows of parallel streams of ``line``; returns the mean loss. The state starts anew after a ``last`` id.
 
@@ -199,8 +206,14 @@ class Network:
             for k, g in grads.items():
                 g *= share
                 m[k] += 0.1 * (g - m[k])
-                s[k] += 0.01 * (g * g - s[k])
-                self.p[k] -= (rate / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)
+                g *= g
+                s[k] += 0.01 * (g - s[k])
+                down = s[k] / (1 - 0.99**t)
+                np.sqrt(down, out=down)
+                down += 1e-6
+                np.divide(m[k], down, out=down)
+                down *= rate / (1 - 0.9**t)
+                self.p[k] -= down
         return told / max(n, 1)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -208,28 +221,39 @@ class Network:
         sizes = np.array([len(t) for t in texts], np.int64)
         if not sizes.sum():
             return np.zeros(len(texts))
-        streams = int(np.clip(sizes.sum() // sizes.max(), 1, WIDE))
+        streams = int(min(WIDE, len(texts)))
         free, place = [(0, k) for k in range(streams)], [(0, 0)] * len(texts)
         for i in np.argsort(-sizes, kind="stable").tolist():  # the longest first, each where least is yet
             n, k = free[0]
             place[i] = (k, n)
             heapq.heapreplace(free, (n + int(sizes[i]), k))
-        width = max(n for n, _ in free)
-        grid, keep, out = np.full((streams, width), -1, np.int32), np.ones((streams, width), np.float32), np.zeros((streams, width), np.float32)
-        for (k, n), t in zip(place, texts):
+        ends = np.zeros(streams, np.int64)
+        for n, k in free:
+            ends[k] = n
+        rank = np.empty(streams, np.int64)
+        rank[np.argsort(-ends, kind="stable")] = np.arange(streams)
+        ends, place = -np.sort(-ends), [(int(rank[k]), n) for k, n in place]  # streams that go on longest come first
+        base = np.cumsum(ends) - ends
+        line, keep, out = np.empty(int(sizes.sum()), np.int32), np.ones(int(sizes.sum()), np.float32), np.zeros(int(sizes.sum()))
+        begins = [int(base[k]) + n for k, n in place]
+        for n, t in zip(begins, texts):
             if len(t):
-                grid[k, n : n + len(t)], keep[k, n] = t, 0
-        h = np.zeros((streams, self.hidden), np.float32)
-        for a in range(0, width, STRIDE):
-            ids, fresh = grid[:, a : a + STRIDE].T, keep[:, a : a + STRIDE].T[:, :, None]
-            states = np.empty((len(ids), streams, self.hidden), np.float32)
-            for j, x in enumerate(np.maximum(ids, 0)):
+                line[n : n + len(t)], keep[n] = t, 0
+        h, a = np.zeros((streams, self.hidden), np.float32), 0
+        while a < ends[0]:
+            live = int(np.searchsorted(-ends, -a))  # streams with an id at ``a``
+            steps = int(min(ends[0] - a, max(STRIDE, SLAB // live)))
+            there, states = np.arange(a, a + steps) < ends[:live, None], np.empty((steps, live, self.hidden), np.float32)
+            at = np.where(there, base[:live, None] + np.arange(a, a + steps), 0).T
+            ids, fresh = line[at], keep[at][:, :, None]
+            h = h[:live]
+            for j in range(steps):
                 states[j] = h * fresh[j]
-                h = self.step(x, states[j])[0]
-            valid, slab = ids >= 0, np.zeros(ids.shape, np.float32)
-            slab[valid], _ = self.log_probs(states[valid], ids[valid])
-            out[:, a : a + STRIDE] = slab.T
-        return np.array([out[k, n : n + m].sum(dtype=float) for (k, n), m in zip(place, sizes.tolist())])
+                h = self.step(ids[j], states[j])[0]
+            valid = there.T
+            out[at[valid]], _ = self.log_probs(states[valid], ids[valid])
+            a += steps
+        return np.array([out[n : n + m].sum() for n, m in zip(begins, sizes.tolist())])
 
 
 def held(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
