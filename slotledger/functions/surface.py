@@ -51,13 +51,27 @@ def truth(c: Column) -> Column:
     return F.when(c.isin("True", "true"), 1.0).when(c.isin("False", "false", ""), 0.0).otherwise(c.try_cast("double"))
 
 
+#: What a written Python dict says otherwise than JSON, beside its quotes, which the reader allows.
+LITERALS = {"None": "null", "True": "true", "False": "false"}
+
+
 def flat_event(event: Column) -> Column:
-    """``speaker: text`` of an event that may be JSON with speaker, text and blip_caption; other texts stay."""
-    of = lambda k: F.get_json_object(event, f"$.{k}")
-    body = F.coalesce(F.nullif(of("text"), F.lit("")), F.lit(""))
-    image = F.when(of("blip_caption").isNotNull(), F.concat(F.lit(" [image: "), of("blip_caption"), F.lit("]"))).otherwise("")
-    spoken = F.when(of("speaker").isNotNull(), F.concat(of("speaker"), F.lit(": "), body, image)).otherwise(F.concat(body, image))
-    return F.when(F.try_parse_json(event).isNotNull() & event.startswith("{"), F.trim(spoken)).otherwise(event)
+    """``speaker: text`` of an event that is a dict with speaker, text and blip_caption, written as JSON or as Python does.
+
+    Without a text it is ``speaker: [image] caption``; with neither, or where it can't be read, the event stays.
+    """
+    literal = event
+    for name, word in LITERALS.items():
+        literal = F.regexp_replace(literal, rf"(?<=[:,\[]\s?){name}(?=\s*[,}}\]])", word)
+
+    def read(c: Column) -> Column:
+        return F.from_json(c, "speaker string, text string, blip_caption string, _bad string", {"columnNameOfCorruptRecord": "_bad", "allowBackslashEscapingAnyCharacter": "true"})
+
+    plain, loose = read(event), read(literal)
+    of = lambda k: F.nullif(F.when(plain["_bad"].isNull(), plain[k]).when(loose["_bad"].isNull(), loose[k]), F.lit(""))
+    body = F.coalesce(of("text"), F.concat(F.lit("[image] "), of("blip_caption")))
+    told = F.when(of("speaker").isNotNull(), F.concat(of("speaker"), F.lit(": "), body)).otherwise(body)
+    return F.when(event.startswith("{"), F.coalesce(told, event)).otherwise(event)
 
 
 def encode(c: Column, dimension: int = 64) -> Column:

@@ -10,6 +10,7 @@ from slotledger.functions import surface, text
 from slotledger.operators import metrics, runs
 from slotledger.plans.episodes import ROWS, SAID, SUMMARY, TRACE, said, summaries, traces
 from slotledger.plans.registry import query
+from slotledger.sources.facts import table
 from slotledger.sources.sinks import cell
 
 VARIANTS = ("v1_value_only", "v2_ignore_distractors")
@@ -126,3 +127,45 @@ def table_pack(spark, sf):
     sections = F.when(F.col("stale_same_slot_entry_count_avg") == 0, F.array(F.lit("Runs"), F.lit("Zero stale"))).otherwise(F.array(F.lit("Runs")))
     parts.append(x.withColumn("section", F.explode(sections)).select("section", "label", F.explode(F.array(*cells)).alias("x")))
     return reduce(lambda a, b: a.unionByName(b), parts).select("section", "label", "x.name", "x.cell")
+
+
+@query("""SELECT conv_id, turn, role || ': ' || CASE WHEN coalesce(text, '') = '' THEN '[image] turn ' || turn ELSE text END AS said FROM conversations
+WHERE length(role || ': ' || CASE WHEN coalesce(text, '') = '' THEN '[image] turn ' || turn ELSE text END) > 3""")
+def flat_turns(spark, sf):
+    """The turns of conversations, written as dicts in Python's way, as one line each; what has no text is told by its caption."""
+    body = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("turn "), "turn").alias("blip_caption")))
+    event = F.concat(F.lit("{'speaker': '"), "role", F.lit("', 'seen': None, 'sent': True, "), F.substr(body, F.lit(2)))
+    x = table(spark, sf, "conversations").select("conv_id", "turn", surface.flat_event(event).alias("said"))
+    return x.where(F.length("said") > 3)
+
+
+NEAR, PLACES = 8, ("beginning", "middle", "end")
+
+
+@query(f"""WITH {SAID}, c AS (SELECT s.episode_id, s.event_idx, s.text, coalesce(s.entity = g.entity AND s.attribute = g.attribute, false) AS same FROM said s JOIN gold g USING (episode_id) WHERE s.entity IS NOT NULL),
+m AS (SELECT *, event_idx = max(event_idx) FILTER (same) OVER (PARTITION BY episode_id) AS newest FROM c),
+r AS (SELECT *, CASE WHEN newest THEN 0 ELSE row_number() OVER (PARTITION BY episode_id, newest ORDER BY NOT same, event_idx DESC) END AS rn FROM m),
+k AS (SELECT *, max(rn) OVER (PARTITION BY episode_id) AS n FROM r WHERE rn <= {NEAR}),
+p AS (SELECT *, CASE gold_position WHEN 'beginning' THEN 0 WHEN 'middle' THEN n // 2 ELSE n END AS gold_index FROM k, (SELECT unnest({list(PLACES)}) AS gold_position)),
+q AS (SELECT *, CASE WHEN rn = 0 THEN gold_index WHEN rn <= gold_index THEN rn - 1 ELSE rn END AS place, CASE WHEN rn = 0 THEN 'gold' WHEN same THEN 'stale_same_slot' ELSE 'near_miss' END AS tag FROM p)
+SELECT episode_id, gold_position, CAST(count(*) AS BIGINT) AS context_size, CAST(gold_index AS BIGINT) AS gold_index, string_agg(tag, ',' ORDER BY place) AS tags, string_agg('- ' || text, chr(10) ORDER BY place) AS context FROM q GROUP BY episode_id, gold_position, gold_index""")
+def lost_in_middle(spark, sf):
+    """The latest sentence of each gold slot at the beginning, the middle and the end of up to ``NEAR`` others: stale ones first, then the newest."""
+    facts, gold = said(spark, sf)
+    g = gold.select("episode_id", F.col("entity").alias("g_entity"), F.col("attribute").alias("g_attribute"))
+    x = facts.where("entity is not null").join(g, "episode_id").withColumn("same", (F.col("entity") == F.col("g_entity")) & (F.col("attribute") == F.col("g_attribute")))
+    own = runs.Window.partitionBy("episode_id")
+    x = x.withColumn("newest", F.coalesce(F.col("event_idx") == F.max(F.when(F.col("same"), F.col("event_idx"))).over(own), F.lit(False)))
+    w = runs.Window.partitionBy("episode_id", "newest").orderBy(~F.col("same"), F.desc("event_idx"))
+    tag = F.when(F.col("newest"), "gold").when(F.col("same"), "stale_same_slot").otherwise("near_miss")
+    x = x.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= NEAR)
+    entry = F.struct(tag.alias("tag"), F.col("text"))
+    e = x.groupBy("episode_id").agg(F.max(F.when(F.col("newest"), entry)).alias("gold"), F.array_sort(F.collect_list(F.when(~F.col("newest"), F.struct("rn", entry.alias("e"))))).alias("others"))
+    e = e.withColumn("others", F.transform("others", lambda o: o["e"])).withColumn("gold_position", F.explode(F.array(*map(F.lit, PLACES))))
+    n = F.size("others")
+    at = F.when(F.col("gold_position") == "beginning", 0).when(F.col("gold_position") == "middle", F.floor(n / 2).cast("int")).otherwise(n)
+    e = e.withColumn("at", at)
+    lines = F.concat(F.slice("others", F.lit(1), F.col("at")), F.array("gold"), F.slice("others", F.col("at") + 1, n))
+    e = e.withColumn("lines", lines)
+    tags, context = F.array_join(F.transform("lines", lambda s: s["tag"]), ","), F.array_join(F.transform("lines", lambda s: F.concat(F.lit("- "), s["text"])), "\n")
+    return e.select("episode_id", "gold_position", F.size("lines").cast("long").alias("context_size"), F.col("at").cast("long").alias("gold_index"), tags.alias("tags"), context.alias("context"))

@@ -81,8 +81,14 @@ def test_names_and_values(spark):
     got = x.select(surface.run_name_threshold(F.col("a")).alias("a"), surface.run_name_variant(F.col("b")).alias("b"), surface.truth(F.col("t")).alias("t")).collect()
     assert tuple(got[0].a) == ("direct", 0.85, 16) and tuple(got[0].b) == ("raw_add", "v2_ignore", 8) and tuple(got[1].a) == (None, None, None)
     assert [r.t for r in got] == [1.0, 0.5, 0.0]
-    y = spark.createDataFrame([('{"speaker": "A", "text": "hi", "blip_caption": "cat"}',), ("plain",), ('{"text": "x"}',)], "e string")
-    assert [r[0] for r in y.select(surface.flat_event(F.col("e"))).collect()] == ["A: hi [image: cat]", "plain", "x"]
+    events = {
+        '{"speaker": "A", "text": "hi", "blip_caption": "cat"}': "A: hi", "plain": "plain", '{"text": "x"}': "x", "{broken": "{broken", "": "",
+        "{'speaker': 'Ann', 'text': \"it's\", 'n': None, 'seen': [True, False]}": "Ann: it's", "{'text': 'say \\'hi\\'', 'speaker': ''}": "say 'hi'",
+        "{'speaker': 'Ann', 'text': '', 'blip_caption': 'a cat'}": "Ann: [image] a cat", "{'blip_caption': 'a cat', 'text': None}": "[image] a cat",
+        "{'speaker': 'Ann'}": "{'speaker': 'Ann'}", '{"text": "a: None, b", "n": 1}': "a: None, b",
+    }
+    y = spark.createDataFrame([(e,) for e in events] + [(None,)], "e string")
+    assert [r[0] for r in y.select(surface.flat_event(F.col("e"))).collect()] == [*events.values(), None]
     z = spark.createDataFrame([("Lily location Xiamen", "sister_lily", "location", "Xiamen"), ("Lily in Xiamen", "sister_lily", "location", "Xiamen")], "c string, e string, a string, v string")
     assert [r[0] for r in z.select(surface.same_slot_text(*map(F.col, "ceav"))).collect()] == [True, False]
 
