@@ -86,6 +86,19 @@ def encode(c: Column, dimension: int = 64) -> Column:
     return F.transform(raw, lambda y: F.when(length > 0, y / length).otherwise(0.0))
 
 
+def operation_text(operation: Column, target: Column, content: Column) -> Column:
+    """A parsed operation as text again: ``ADD: content``, ``UPDATE target: content``, ``DELETE target``, and NOOP for any other."""
+    target, content = F.coalesce(target, F.lit("")), F.coalesce(content, F.lit(""))
+    written = F.when(operation == "ADD", F.concat(F.lit("ADD: "), content)).when(operation == "UPDATE", F.concat(F.lit("UPDATE "), target, F.lit(": "), content))
+    return strip(written.when(operation == "DELETE", F.concat(F.lit("DELETE "), target)).otherwise("NOOP"))
+
+
+def context_block(title: str, items: Column, empty: str) -> Column:
+    """A titled list of lines for a prompt; without items (or where there is no array) the text ``empty``."""
+    lines = F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n")
+    return F.concat(F.lit(f"### {title}\n"), F.when(F.coalesce(F.size(items), F.lit(0)) > 0, lines).otherwise(empty))
+
+
 def most_confident(entries: DataFrame, key: str, n: int = 20) -> DataFrame:
     """Of each key the ``n`` most confident entries (ties: by entry_id) as one text of lines."""
     best = entries.withColumn("_r", F.struct((-F.col("confidence")).alias("c"), "entry_id", "content"))

@@ -136,6 +136,18 @@ def recent_trace(golds: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     )
 
 
+def trace_counts(retrieved: Column, entity: Column, attribute: Column, answer: Column) -> Column:
+    """struct<gold, stale>: entries of the slot that tell the answer, and those that tell another; both null without any entry, which is not the same as none of them.
+
+    Values are compared without case and outer white space alone.
+    """
+    raw = lambda c: F.lower(text.strip(F.coalesce(c, F.lit(""))))
+    own = F.filter(retrieved, lambda e: (e["e_entity"] == entity) & (e["e_attribute"] == attribute))
+    right = F.size(F.filter(own, lambda e: raw(e["e_value"]) == raw(answer)))
+    some = F.coalesce(F.size(retrieved), F.lit(0)) > 0
+    return F.struct(F.when(some, right).alias("gold"), F.when(some, F.size(own) - right).alias("stale"))
+
+
 def joined_texts(retrieved: Column, n: int = 8) -> Column:
     return F.array_join(F.transform(F.slice(retrieved, 1, n), lambda e: e["content"]), " || ")
 

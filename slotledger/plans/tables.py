@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from slotledger.functions import surface, text
 from slotledger.operators import metrics, runs
 from slotledger.plans.episodes import ROWS, SAID, SUMMARY, TRACE, said, summaries, traces
-from slotledger.plans.registry import query
+from slotledger.plans.registry import NORM, query
 from slotledger.sources.facts import table
 from slotledger.sources.sinks import cell
 
@@ -169,3 +169,41 @@ def lost_in_middle(spark, sf):
     e = e.withColumn("lines", lines)
     tags, context = F.array_join(F.transform("lines", lambda s: s["tag"]), ","), F.array_join(F.transform("lines", lambda s: F.concat(F.lit("- "), s["text"])), "\n")
     return e.select("episode_id", "gold_position", F.size("lines").cast("long").alias("context_size"), F.col("at").cast("long").alias("gold_index"), tags.alias("tags"), context.alias("context"))
+
+
+@query(f"""WITH {SAID}, w AS (SELECT episode_id, event_idx, entity || '.' || attribute AS slot, value, CASE WHEN entity IS NULL THEN 'NOOP' WHEN row_number() OVER (PARTITION BY episode_id, entity, attribute ORDER BY event_idx) > 1 THEN 'UPDATE' ELSE 'ADD' END AS op FROM said)
+SELECT episode_id, event_idx, CASE op WHEN 'ADD' THEN 'ADD: ' || value WHEN 'UPDATE' THEN 'UPDATE ' || slot || ': ' || value ELSE op END AS written, op AS operation, CASE WHEN op = 'UPDATE' THEN slot ELSE '' END AS target, CASE WHEN op = 'NOOP' THEN '' ELSE value END AS content FROM w""")
+def written_operations(spark, sf):
+    """The log's operations as text, and what the parser of free text reads from it."""
+    x = runs.acted(said(spark, sf)[0])
+    x = x.withColumn("written", surface.operation_text(F.col("operation"), F.concat_ws(".", "entity", "attribute"), F.col("value")))
+    return x.select("episode_id", "event_idx", "written", text.parse_operation(F.col("written"), F.lit("")).alias("a")).select("episode_id", "event_idx", "written", "a.*")
+
+
+LAST = 6
+
+
+@query(f"""{TRACE}, h AS (SELECT episode_id, string_agg('- ' || said.text, chr(10) ORDER BY event_idx DESC) AS held FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY event_idx DESC) AS rank FROM said) said JOIN gold g USING (episode_id)
+    WHERE rank <= 5 AND contains({NORM.format('said.text')}, lower(g.answer)) GROUP BY episode_id),
+e AS (SELECT episode_id, string_agg('- ' || text, chr(10) ORDER BY event_idx) AS events FROM (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY event_idx DESC) <= {LAST}) GROUP BY episode_id)
+SELECT episode_id, '### Retrieved Context' || chr(10) || coalesce(held, '(no retrieved context)') || chr(10) || chr(10) || '### Current Events' || chr(10) || events AS prompt FROM gold JOIN e USING (episode_id) LEFT JOIN h USING (episode_id)""")
+def agent_prompts(spark, sf):
+    """What an agent is shown: what it retrieved that holds the answer, newest first, and the last events, oldest first."""
+    held = F.transform(F.filter("retrieved", lambda e: e["has_gold_value"]), lambda e: e["content"])
+    last = F.row_number().over(runs.Window.partitionBy("episode_id").orderBy(F.desc("event_idx")))
+    e = said(spark, sf)[0].withColumn("back", last).where(F.col("back") <= LAST).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("event_idx", "text"))).alias("events"))
+    events = F.transform("events", lambda s: s["text"])
+    shown = F.concat_ws("\n\n", surface.context_block("Retrieved Context", held, "(no retrieved context)"), surface.context_block("Current Events", events, "(no events)"))
+    return traces(spark, sf).join(e, "episode_id").select("episode_id", shown.alias("prompt"))
+
+
+@query(TRACE + """, c AS (SELECT example_id, told, answer, count(*) FILTER (v IS NOT NULL) AS told_any, count(*) FILTER (same AND v = answer) AS g, count(*) FILTER (same AND v <> answer) AS s FROM (SELECT * EXCLUDE (answer, k) FROM o WHERE rank <= 2) o JOIN t ON t.example_id = o.episode_id GROUP BY ALL)
+SELECT CASE WHEN told_any > 0 THEN CAST(g AS VARCHAR) ELSE '' END AS gold, CASE WHEN told_any > 0 THEN CAST(s AS VARCHAR) ELSE '' END AS stale, count(*) AS n, round(avg(CASE WHEN lower(told) = lower(answer) THEN 1.0 ELSE 0.0 END), 6) AS em FROM c GROUP BY 1, 2""")
+def retrieved_doses(spark, sf):
+    """Scores by how many of the two newest entries, if they tell any fact, tell the answer and a stale value; empty where they tell none."""
+    gold = said(spark, sf)[1].select("episode_id", "entity", "attribute")
+    x = traces(spark, sf).join(gold, "episode_id")
+    facts = F.filter("retrieved", lambda e: (e["rank"] <= 2) & e["e_value"].isNotNull())
+    x = x.withColumn("c", runs.trace_counts(facts, F.col("entity"), F.col("attribute"), F.col("gold_answer"))).withColumn("em", text.exact_match(F.col("told"), F.col("gold_answer")))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return x.groupBy(shown("c.gold").alias("gold"), shown("c.stale").alias("stale")).agg(F.count("*").alias("n"), runs.mean("em").alias("em"))

@@ -147,3 +147,21 @@ def test_files_round_trip(spark, tmp_path):
     assert (m[0].result_group, m[0].run_name, m[0].mode, m[0].k_updates, m[0].num_examples, m[0].status) == ("g", "r_k2", "m", 2, 2, "completed") and m[1].result_group == "unknown"
     sinks.write_by_updates(generators.episodes(spark, "update_frequency", per_k=2), str(tmp_path / "f"))
     assert (tmp_path / "f" / "k_updates=16").exists()
+
+
+def test_operations_and_blocks_as_text(spark):
+    x = spark.createDataFrame([("ADD", "t", "c"), ("UPDATE", "t", "c"), ("DELETE", "t", "c"), ("NOOP", "t", "c"), ("ADD", None, None), ("DELETE", None, None), (None, "t", "c"), ("other", "", "")], "o string, t string, c string")
+    got = [r[0] for r in x.select(surface.operation_text(F.col("o"), F.col("t"), F.col("c"))).collect()]
+    assert got == ["ADD: c", "UPDATE t: c", "DELETE t", "NOOP", "ADD:", "DELETE", "NOOP", "NOOP"]
+    y = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "i array<string>")
+    assert [r[0] for r in y.select(surface.context_block("T", F.col("i"), "(none)")).collect()] == ["### T\n- a\n- b", "### T\n(none)", "### T\n(none)"]
+
+
+def test_trace_counts_tell_none_from_zero(spark):
+    from slotledger.operators.runs import trace_counts
+
+    entry = "array<struct<e_entity: string, e_attribute: string, e_value: string>>"
+    rows = [([("u", "a", " Bonn\n"), ("u", "a", "Ulm"), ("u", "b", "Bonn"), ("u", "a", None)],), ([("w", "a", "Bonn")],), ([],), (None,)]
+    x = spark.createDataFrame(rows, f"r {entry}")
+    got = [tuple(r[0]) for r in x.select(trace_counts(F.col("r"), F.lit("u"), F.lit("a"), F.lit("bonn"))).collect()]
+    assert got == [(1, 2), (0, 0), (None, None), (None, None)]
