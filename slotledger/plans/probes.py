@@ -87,7 +87,8 @@ def manifest_counts(spark, sf):
 @query(f"{SUMMARY} SELECT s.mode || '_direct_k' || s.k_updates AS run_name, s.mode AS method, s.k_updates, g.episodes FROM summary s JOIN (SELECT k_updates, count(*) AS episodes FROM gold GROUP BY 1) g USING (k_updates)")
 def runs_with_data(spark, sf):
     """Each run with the size of the data that the number of updates in its name stands for."""
-    names = summaries(spark, sf).select(F.concat_ws("_", "mode", F.lit("direct"), F.concat(F.lit("k"), F.col("k_updates"))).alias("run_name"))
+    both = said(spark, sf)
+    names = summaries(both).select(F.concat_ws("_", "mode", F.lit("direct"), F.concat(F.lit("k"), F.col("k_updates"))).alias("run_name"))
     parsed = names.select("run_name", text.run_name(F.col("run_name")).alias("r")).select("run_name", F.col("r.method").alias("method"), F.col("r.k").cast("long").alias("k_updates"))
-    data = said(spark, sf)[1].groupBy("k_updates").agg(F.count("*").alias("episodes"))
+    data = both[1].groupBy("k_updates").agg(F.count("*").alias("episodes"))
     return parsed.join(data, "k_updates")

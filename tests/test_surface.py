@@ -165,3 +165,22 @@ def test_trace_counts_tell_none_from_zero(spark):
     x = spark.createDataFrame(rows, f"r {entry}")
     got = [tuple(r[0]) for r in x.select(trace_counts(F.col("r"), F.lit("u"), F.lit("a"), F.lit("bonn"))).collect()]
     assert got == [(1, 2), (0, 0), (None, None), (None, None)]
+
+
+def test_parse_searches_once(spark):
+    """No join of a sentence with its own words, no search again for a filter, and equal rows stay apart."""
+    x = spark.createDataFrame([(1, 0, "User says: my mentor Zed plays chess."), (1, 1, "User says: Zed took up judo."), (1, 1, "User says: Zed took up judo."), (1, 2, None)], "episode_id long, event_idx int, text string")
+    got = slots.parse(x).where("entity is not null")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1 and "RLIKE" not in plan
+    assert sorted((r.event_idx, r.entity, r.attribute, r.value) for r in got.collect()) == [(0, "mentor_zed", "instrument", "chess"), *[(1, "mentor_zed", "hobby", "judo")] * 2]
+
+
+def test_log_is_parsed_once():
+    """The parts of a report share one parsed log."""
+    import inspect
+
+    from slotledger.plans import tables
+
+    for f in (tables.answer_layer, tables.table_pack, tables.prompt_robustness):
+        assert inspect.getsource(f).count("said(spark, sf)") == 1
