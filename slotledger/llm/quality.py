@@ -9,8 +9,8 @@ at most half of them may be out of their bands.
 Bands come from labelled rows: of the texts labelled good that pass the base rules, those
 of one half octave of lengths give a line of the share by the logarithm of the length, and the
 limits lie ``MARGIN`` beyond the ``TAIL`` quantiles of their distances from it. A half octave
-with under ``LEAST`` such texts, and every one without labels, has the wide ``BANDS``. The fit reads at most ``SAMPLE``
-labelled rows, the least by hash; the rest of the operator has no such bound.
+with under ``LEAST`` such texts, and every one without labels, has the wide ``BANDS``. The fit takes every
+labelled row: lines are sums by half octave, quantiles come from counts by cells of ``STEP``, and a limit is its cell's outer edge.
 
 Defined results: a null or empty text has no words, so the base rules reject it; texts
 below 128 bytes are not judged by compression; a text of any length is compressed whole;
@@ -25,10 +25,12 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotledger.llm.common import cut, drop
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 WINDOW = 5
@@ -36,7 +38,7 @@ LEVEL = 3
 CHUNK = 4096
 #: From so many bytes: the least and the largest share that the compressed text may have, where labels do not tell.
 BANDS = ((0, 0.0, 9.0), (128, 0.36, 1.05), (256, 0.33, 0.92), (512, 0.28, 0.86), (1024, 0.24, 0.80), (2048, 0.22, 0.76), (4096, 0.20, 0.74), (16384, 0.17, 0.72), (65536, 0.14, 0.70))
-SAMPLE, LEAST, TAIL, MARGIN = 20_000, 100, 0.002, 0.01
+LEAST, TAIL, MARGIN, STEP = 100, 0.002, 0.01, 1e-4
 
 METRICS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]).add("ratio", T.DoubleType()).add("bad_chunks", T.LongType()).add("n_chunks", T.LongType()).add("base_failed", T.BooleanType()).add("kept", T.BooleanType())
 
@@ -62,7 +64,7 @@ class Bands:
 
 
 def fit_bands(sizes: np.ndarray, ratios: np.ndarray, least: int = LEAST) -> Bands:
-    """Bands from the lengths and shares of good texts."""
+    """Bands from the lengths and shares of good texts at hand: the plain version of ``learned``."""
     x = np.log2(np.maximum(sizes, 1))
     half, out = (2 * x).astype(int), {}
     for k in np.unique(half):
@@ -112,13 +114,17 @@ def share(raw: bytes, packer: zstandard.ZstdCompressor) -> float:
     return len(packer.compress(raw)) / len(raw) if raw else 0.0
 
 
+def base_fails(n: int, repeats: int) -> bool:
+    return n < 10 or 100 * repeats > 20 * n
+
+
 def measure(text: str | None, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple:
     text = text or ""
     raw = text.encode()
     words = raw.split()
     n = len(words)
     repeats = repeated_words(words)
-    failed = n < 10 or 100 * repeats > 20 * n
+    failed = base_fails(n, repeats)
     ratio = share(raw, packer)
     held = bands.hold(len(raw), ratio)
     if len(raw) > CHUNK:
@@ -141,15 +147,40 @@ def quality(bands: Bands) -> Callable:
     return judged
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Bands:
-    """Bands from those of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) call good; at most ``sample`` of them."""
+@F.pandas_udf(T.StructType().add("half", T.IntegerType()).add("size", T.DoubleType()).add("ratio", T.DoubleType()))
+def packed(texts: pd.Series) -> pd.DataFrame:
+    """Half octave and logarithm of the length, and the compressed share, of each text that passes the base rules; else nulls."""
+    packer, out = zstandard.ZstdCompressor(level=LEVEL), []
+    for t in texts:
+        raw = (t or "").encode()
+        words = raw.split()
+        if base_fails(len(words), repeated_words(words)):
+            out.append((None, None, None))
+        else:
+            size = float(np.log2(len(raw)))
+            out.append((int(2 * size), size, share(raw, packer)))
+    return pd.DataFrame(out, columns=["half", "size", "ratio"]).astype({"half": "Int32", "size": float, "ratio": float})
+
+
+def learned(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> Bands:
+    """Bands from all of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) call good.
+
+    Texts are measured before the join, which moves numbers alone; the driver gets a row for each half octave.
+    """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    most = min(1 << 20, 2 * (sample << 20) // max(good.count(), 1))  # a threshold first, so that few rows are sorted
-    good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= most).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    x = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id")  # at most ``sample`` ids
-    got = x.select(quality(Bands())("text").alias("q"), F.octet_length("text").alias("n")).where("not q.base_failed")
-    got = got.select("n", "q.ratio").toPandas().sort_values(["n", "ratio"])  # two numbers a sampled row
-    return fit_bands(got["n"].to_numpy(), got["ratio"].to_numpy(), least)
+    x = docs.select("doc_id", packed("text").alias("q")).select("doc_id", "q.*").join(good, "doc_id")
+    x = cut(x.where("half is not null").select("half", "size", "ratio"))
+    # rounded, so that sums in another order give the same bands
+    lines = x.groupBy("half").agg(F.count("*").alias("n"), F.round(F.coalesce(F.regr_slope("ratio", "size"), F.lit(0.0)), 9).alias("slope"), F.avg("size").alias("s"), F.avg("ratio").alias("r")).where(F.col("n") >= least)
+    lines = lines.select("half", "n", "slope", F.round(F.col("r") - F.col("slope") * F.col("s"), 9).alias("at"))  # a row for each half octave
+    cell = F.floor((F.col("ratio") - F.col("slope") * F.col("size") - F.col("at")) / STEP).alias("cell")
+    cells = x.join(F.broadcast(lines), "half").groupBy("half", "n", "slope", "at", cell).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("half").orderBy("cell"))  # over cells, whose number is bounded
+    last = F.col("n") - 1
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("cell")))
+    got = cells.withColumn("upto", upto).groupBy("half", "slope", "at").agg(at(F.floor(last * TAIL)).alias("low"), at(F.ceil(last * (1 - TAIL))).alias("high")).collect()
+    drop(x)
+    return Bands({r["half"]: (r["slope"], r["at"], r["low"] * STEP - MARGIN, (r["high"] + 1) * STEP + MARGIN) for r in got})
 
 
 def judge(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:

@@ -312,3 +312,18 @@ def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
         a, b = (lm.scored(d).toPandas().set_index("doc_id").sort_index() for d in (some.coalesce(1), some.orderBy(F.col("doc_id").desc()).repartition(8)))
         assert (a.n_tokens == b.n_tokens).all() and ((a.score - b.score).abs() / a.n_tokens).max() < 1e-6
         assert a.score[a.held_out].sum() > a.base_score[a.held_out].sum()
+
+
+def test_bands_from_every_labelled_row(spark):
+    """25,000 labelled texts, of which a hundred fill a half octave of their own; all must count, and give the plain version's bands."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    d = [(i, words(20 if i >= 100 else 200)) for i in range(25_000)]
+    docs = spark.createDataFrame(d, "doc_id long, text string").repartition(4)
+    got = quality.learned(docs, docs.selectExpr("doc_id", "1L AS quality")).fitted
+    packer = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    raws = [t.encode() for _, t in d]
+    want = quality.fit_bands(np.array(list(map(len, raws))), np.array([quality.share(r, packer) for r in raws])).fitted
+    assert sorted(got) == sorted(want) and len(got) == 2
+    for n in (139, 1399):
+        assert np.allclose(quality.Bands(got).limits(n), quality.Bands(want).limits(n), atol=0.002)
