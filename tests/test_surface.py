@@ -220,7 +220,10 @@ def test_rows_are_those_of_the_stores(spark):
 
 
 #: What the plan of a report held when it went over the log again for each mode, part or text.
-AGAIN = {"table_pack": "max_by", "merged_shards": "max_by", "prompt_robustness": "parsed_append", "attribute_summary": "explode", "context_mechanisms": "max_by", "gold_context_prompts": "Join"}
+AGAIN = {
+    "table_pack": "max_by", "merged_shards": "max_by", "prompt_robustness": "parsed_append", "attribute_summary": "explode",
+    "context_mechanisms": "max_by", "gold_context_prompts": "Join", "recent_trace_flags": "max_by",
+}
 
 
 @pytest.mark.parametrize("name", AGAIN)
