@@ -232,3 +232,44 @@ def test_reports_go_over_the_log_once(spark, name):
 
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert AGAIN[name] not in plan
+
+
+def test_log_is_sorted_once(spark):
+    """The parse deals and sorts the log's events once; no grouping or windows by name follow."""
+    from slotledger.plans import episodes
+
+    plan = slots.parse(episodes.sentences(spark, "/root/testdata/sf0.001"), episodes.ORDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == plan.count("Exchange ") == 1 and "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_names_last_over_batches(spark):
+    """What is bound in one batch holds in the next, not in the next episode, and a filter above the parse takes no sentence from it."""
+    said = ["User says: my mentor Zed plays chess.", *["User says: Zed took up judo."] * 20, "User says: my cousin Zed joined JD.", *["User says: Zed took up judo."] * 20]
+    x = spark.createDataFrame([(e, i, t) for e in (1, 2) for i, t in enumerate(said[e - 1 :])], "episode_id long, event_idx int, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = slots.parse(x).where("text like '%judo%'").groupBy("episode_id", "entity").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(1, "cousin_zed", 20), (1, "mentor_zed", 20), (2, "cousin_zed", 20), (2, "user", 20)]
+
+
+def test_summary_makes_what_it_reports(spark):
+    """A summary of the gold slots' values reads no texts, and the sums over whole episodes are not made for it."""
+    from slotledger.plans import registry
+
+    plan = registry.QUERIES["attribute_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan and "num_events" not in plan and "bool_or" not in plan
+
+
+def test_rows_of_episodes_without_their_gold_slot(spark):
+    """A gold slot that no sentence told, one of an episode without sentences, and one without a value."""
+    x = slots.parse(spark.createDataFrame([(1, 0, "User says: I moved to Ulm."), (1, 1, "User says: so it is."), (3, 0, "User says: I moved to Graz.")], "episode_id long, event_idx int, text string"))
+    golds = [(1, "user", "hobby", "Ulm", "Ulm", 4, 2), (2, "user", "hobby", "Ulm", "Ulm", 4, 0), (3, "user", "location", None, None, 4, 1)]
+    g = spark.createDataFrame(golds, "episode_id long, entity string, attribute string, value string, answer string, k_updates int, num_events int")
+    got = {(r.mode, r.example_id): r for r in runs.judged(x, g).collect()}
+    assert len(got) == 12
+    for (mode, i), r in got.items():
+        size = {1: 1 if mode.startswith("parsed") else 2, 2: 0, 3: 1}[i]
+        assert (r.memory_size, r.same_slot, r.stale, r.gold, r.gold_present_anywhere) == (size, int(i == 3), 0, 0, i == 1)
+        assert (r.state_resolved, r.predicted) == (i == 3, "Graz" if i == 3 else "")
