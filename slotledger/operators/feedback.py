@@ -39,7 +39,7 @@ def states_before(acts: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("episode_id", "entity", "attribute").orderBy("event_idx")
     ends = acts.groupBy("episode_id").agg(F.max("event_idx").alias("end"))
-    held = acts.where("entity is not null").withColumn("until", F.lead("event_idx").over(w)).join(ends, "episode_id")
+    held = acts.where("entity is not null").withColumn("until", F.lead("event_idx").over(w)).join(ends.hint("merge"), "episode_id")
     first, last = F.col("event_idx") + 1, F.coalesce("until", "end")
     x = held.where(first <= last).select("episode_id", F.explode(F.sequence(first, last)).alias("event_idx"), F.struct("entity", "attribute", "value").alias("slot"))
     return x.groupBy("episode_id", "event_idx").agg(F.array_sort(F.collect_list("slot")).alias("state"))
@@ -52,7 +52,7 @@ def action_text(operation: Column, slot: Column) -> Column:
 def training_pairs(acts: DataFrame) -> DataFrame:
     """Prompt, completion and their text for each event of ``acts`` (``runs.actions``)."""
     line = lambda s: F.concat(F.lit("- "), s["entity"], F.lit("."), s["attribute"], F.lit(" = "), s["value"])
-    x = acts.join(states_before(acts), ["episode_id", "event_idx"], "left")
+    x = acts.join(states_before(acts).hint("merge"), ["episode_id", "event_idx"], "left")
     state = F.coalesce(F.array_join(F.transform("state", line), "\n"), F.lit(EMPTY))
     head, rest = PROMPT.split("{state}")
     mid, tail = rest.split("{event}")

@@ -234,6 +234,15 @@ def test_reports_go_over_the_log_once(spark, name):
     assert AGAIN[name] not in plan
 
 
+@pytest.mark.parametrize("name", ["thesis_table", "run_summary", "recent_trace_flags", "manager_training_pairs", "memory_metrics", "annotated_contexts", "position_summary", "lost_in_middle", "agent_prompts", "retrieved_doses", "answer_layer"])
+def test_no_log_goes_through_the_driver(spark, name):
+    """Joins of events or episodes are merged, though the files are small enough for Spark to broadcast them."""
+    from slotledger.plans import registry, tables  # noqa: F401
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_log_is_sorted_once(spark):
     """The parse deals and sorts the log's events once; no grouping or windows by name follow."""
     from slotledger.plans import episodes
